@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
-from .common import map_texts
+from .common import extended, map_texts
 
 #: Pieces in each of the two tables of answers that a worker keeps: when the young one is full it becomes the old
 #: one, and answers found in the old one go to the young one.
@@ -196,8 +197,8 @@ def encode_texts(docs: DataFrame, path: str, kind: str = "ranks", column: str =
         made = [pa.array(ids, pa.list_(pa.int32()))] + [pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([*block.columns, *made], names=[*names, "ids", "token_starts", "token_ends"])
 
-    schema = docs.schema.add("ids", "array<int>").add("token_starts", "array<int>").add("token_ends", "array<int>")
-    return map_texts(docs, run, schema, column)
+    ints = T.ArrayType(T.IntegerType())
+    return map_texts(docs, run, extended(docs, ids=ints, token_starts=ints, token_ends=ints), column)
 
 
 def decode_ids(df: DataFrame, path: str, kind: str = "ranks", column: str = "ids") -> DataFrame:
@@ -211,7 +212,7 @@ def decode_ids(df: DataFrame, path: str, kind: str = "ranks", column: str = "ids
             out = [b"".join([table[i] for i in x or ()]) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "binary"))
+    return df.mapInArrow(run, extended(df, decoded=T.BinaryType()))
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text") -> DataFrame:

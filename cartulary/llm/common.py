@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python step holds at once, besides one document that is longer.
 BATCH_BYTES = 1 << 20
@@ -70,3 +71,8 @@ def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 
 def utf8_size(column: str = "text"):
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")
+
+
+def extended(df: DataFrame, **columns: T.DataType) -> T.StructType:
+    """The schema of df with more columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
