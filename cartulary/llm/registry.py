@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, lines, simhash
+from . import bpe, decontaminate, language, lines, shards, simhash, substrings
 from .common import table
 
 
@@ -15,10 +15,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_kd_tree": op2_kd_tree,
         "op3_line_dedup": op3_line_dedup,
+        "op4_recompression": op4_recompression,
         "op8_language_mixture": op8_language_mixture,
         "op9_decontaminate": op9_decontaminate,
         "op10_byte_bpe": op10_byte_bpe,
@@ -42,7 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.SQL, "op9_decontaminate": OP9_SQL}
+    return {"op3_line_dedup": lines.SQL, "op4_recompression": substrings.SQL, "op9_decontaminate": OP9_SQL}
 
 
 _OP9_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
