@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, lines, shards, simhash, substrings
+from . import bpe, decontaminate, gif, language, lines, shards, simhash, substrings, wavelet
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(table(spark, sf_dir, "documents"))
 
 
+def op5_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.id_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_kd_tree": op2_kd_tree,
         "op3_line_dedup": op3_line_dedup,
         "op4_recompression": op4_recompression,
+        "op5_wavelet_ids": op5_wavelet_ids,
+        "op6_gif": op6_gif,
         "op8_language_mixture": op8_language_mixture,
         "op9_decontaminate": op9_decontaminate,
         "op10_byte_bpe": op10_byte_bpe,
