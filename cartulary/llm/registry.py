@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, gif, language, lines, shards, simhash, substrings, wavelet
+from . import bpe, decontaminate, gif, language, lines, quality, shards, simhash, substrings, wavelet
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_report(table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_recompression": op4_recompression,
         "op5_wavelet_ids": op5_wavelet_ids,
         "op6_gif": op6_gif,
+        "op7_rule_ensemble": op7_rule_ensemble,
         "op8_language_mixture": op8_language_mixture,
         "op9_decontaminate": op9_decontaminate,
         "op10_byte_bpe": op10_byte_bpe,
