@@ -20,7 +20,7 @@ from .common import map_texts
 MOST_ROWS = 12_000
 TREES, DEPTH, CUTS, RATE, LEAST = 40, 3, 48, 0.3, 10
 #: Weight of the lasso penalty, and rounds of its descent.
-PENALTY, ROUNDS = 5e-4, 200
+PENALTY, ROUNDS = 2e-3, 400
 
 STATISTICS = (
     "bytes", "words", "lines", "word_bytes", "line_words", "distinct_words", "distinct_lines", "repeated_pairs", "upper", "digits", "spaces", "stops",
