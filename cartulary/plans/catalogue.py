@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import importlib
+
+from .registry import ORACLES, QUERIES
+
+for _part in ("documents", "evidence", "cases"):
+    importlib.import_module(f"{__package__}.{_part}")
+
+__all__ = ["ORACLES", "QUERIES"]
