@@ -76,9 +76,15 @@ def gaps(events: DataFrame, by: list[str], ts: str, days: int) -> DataFrame:
     return apart.groupBy(*by).agg(F.max("__gap").alias("max_gap"), F.coalesce(F.max(F.col("__gap") > days), F.lit(False)).alias("has_gap"))
 
 
+def _mean(column: str) -> Column:
+    """Mean to four places of values with two. They are added as whole hundredths, so the sum has no order."""
+    hundredths = F.sum(F.floor(F.col(column) * 100 + 0.5).cast("long"))
+    return F.floor(hundredths * F.lit(100.0) / F.count(column) + 0.5) / F.lit(10000.0)
+
+
 def metadata(links_df: DataFrame, by: list[str]) -> DataFrame:
     strength = lambda lo, hi: F.count_if((F.col("confidence") >= lo) & (F.col("confidence") < hi))
     return links_df.groupBy(*by).agg(
-        F.count("*").alias("total_links"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count_if(F.col("confidence") == 0.0).alias("n_conflict"),
+        F.count("*").alias("total_links"), _mean("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") == 0.0).alias("n_conflict"),
         strength(0.8, 9.0).alias("n_strong"), strength(0.6, 0.8).alias("n_medium"), F.count_if((F.col("confidence") > 0) & (F.col("confidence") < 0.6)).alias("n_weak"),
     )

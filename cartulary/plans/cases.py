@@ -61,7 +61,7 @@ _LINKS = f"""SELECT user_id, event_a, event_b, rule_id, confidence FROM (
  UNION ALL SELECT *, 'conflict', 0.0 FROM ({_PAIRS}) WHERE code_a = code_b AND abs(days) > 6)"""
 
 
-@query(f"""SELECT user_id, count(*) AS total_links, round(avg(confidence) :: DOUBLE, 4) AS mean_confidence, count(*) FILTER (confidence = 0) AS n_conflict, count(*) FILTER (confidence >= 0.8) AS n_strong,
+@query(f"""SELECT user_id, count(*) AS total_links, floor(CAST(sum(CAST(floor(CAST(confidence AS DOUBLE) * 100 + 0.5) AS BIGINT)) AS DOUBLE) * 100.0 :: DOUBLE / count(*) + 0.5) / 10000.0 :: DOUBLE AS mean_confidence, count(*) FILTER (confidence = 0) AS n_conflict, count(*) FILTER (confidence >= 0.8) AS n_strong,
  count(*) FILTER (confidence >= 0.6 AND confidence < 0.8) AS n_medium, count(*) FILTER (confidence > 0 AND confidence < 0.6) AS n_weak FROM ({_LINKS}) GROUP BY user_id""")
 def causal_metadata(spark, sf):
     return causal.metadata(causal.links(_events(spark, sf), ["user_id"], _rules()), ["user_id"])
@@ -69,7 +69,7 @@ def causal_metadata(spark, sf):
 
 @query(f"""WITH l AS ({_LINKS}), g AS (SELECT user_id, max(gap) AS max_gap FROM (SELECT user_id, CAST(floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400000000) AS BIGINT) AS gap FROM events) GROUP BY user_id),
  c AS (SELECT user_id, count(DISTINCT nullif(lower(trim(event_type)), '')) >= 2 AS conflicting FROM events GROUP BY user_id)
- SELECT l.user_id, count(*) AS total_links, round(avg(confidence) :: DOUBLE, 4) AS mean_confidence, any_value(g.max_gap) AS max_gap, any_value(coalesce(g.max_gap > 2, false)) AS has_gap, any_value(c.conflicting) AS conflicting
+ SELECT l.user_id, count(*) AS total_links, floor(CAST(sum(CAST(floor(CAST(confidence AS DOUBLE) * 100 + 0.5) AS BIGINT)) AS DOUBLE) * 100.0 :: DOUBLE / count(*) + 0.5) / 10000.0 :: DOUBLE AS mean_confidence, any_value(g.max_gap) AS max_gap, any_value(coalesce(g.max_gap > 2, false)) AS has_gap, any_value(c.conflicting) AS conflicting
  FROM l JOIN g ON g.user_id = l.user_id JOIN c ON c.user_id = l.user_id GROUP BY l.user_id""")
 def causal_case_graph(spark, sf):
     """The flagship: links of every case by four rules, weakened by gaps and conflicts of the case, and summed up."""
