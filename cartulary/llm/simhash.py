@@ -15,8 +15,6 @@ those bits are emitted before the shuffle (1 + 10 + 45 rows at most), and each t
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +27,6 @@ from .components import connected_components
 RADIUS, WIDTH, ROUTE = 3, 3, 10
 #: Fingerprint rows that a task of the join gets, about: each makes up to 1,431 variants.
 TASK_ROWS = 60_000
-_SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 #: Shingles counted at once.
@@ -135,15 +132,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
 
     Null, empty and blank texts have fingerprint zero and link like any other. Equal fingerprints are one node, so
     copies cost nothing in the join and repeated rows stay. Long texts are hashed in runs of shingles. Other columns of
-    docs are not read. An empty table gives an empty result."""
+    docs are not read. Rows with a null key link nothing: they get the component of an equal fingerprint, or null. An
+    empty table gives an empty result."""
     own = materialise(fingerprints(docs, key, column, width), "fingerprints")
-    nodes = materialise(own.groupBy("fp").agg(F.min(key).alias("node")), "nodes")
+    nodes = materialise(own.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("node")), "nodes")
     components = connected_components(ball_links(nodes))
     named = nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of docs whose key is the smallest of its near-duplicate group."""
+    """The rows of docs whose key is the smallest of its near-duplicate group. Rows with a null key go."""
     kept = near_duplicates(docs, key, column, width).where(F.col(key) == F.col("component_id")).select(key).distinct()
     return docs.join(kept, key, "left_semi").select(*docs.columns)
