@@ -53,3 +53,54 @@ def gap_alert(rows: DataFrame, key: str, ts: str, days: int, bad: Column, name:
     seen = rows.withColumn("__gap", floor_days(F.lag(ts).over(w), F.col(ts)))
     found = seen.groupBy(key).agg(F.max("__gap").alias("max_gap"), F.count_if(bad).alias("n_bad"))
     return found.where((F.col("max_gap") > days) | (F.col("n_bad") > 0)).withColumn("alert", F.lit(name))
+
+
+#: Codes of the seven alerts.
+ALERTS = (
+    "ALERTA_PRESCRICAO_SUSPENSAO_B92", "ALERTA_LIMBO_PREVIDENCIARIO", "ALERTA_CONCAUSA_AGRAVAMENTO", "ALERTA_EPI_IRREGULAR", "ALERTA_CONFLITO_NEXO_B31", "ALERTA_LOAS_TRABALHO_INFORMAL",
+    "ALERTA_ACIDENTE_TRAJETO_POS_REFORMA",
+)
+
+
+def case_alerts(rows: DataFrame, today: Column, case: str = "case_id") -> DataFrame:
+    """rows(case, doc_type, fields map<string,string>, cids array<string>) -> (case, alert), one row for each alert of a
+    case; the first two once for each pair of documents. All codes of a document count, not its last one alone."""
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    day = lambda name: parse_day(field(name))
+    of = lambda *types: rows.where(F.col("doc_type").isin(*types))
+    species = F.upper(field("Especie_Beneficio"))
+    says = lambda *terms: F.exists(F.map_values("fields"), lambda v: F.lower(v).rlike("|".join(terms)))
+    coded = lambda *prefixes: F.exists("cids", lambda c: F.upper(c).rlike(f"^({'|'.join(prefixes)})"))
+    named = lambda df, i: df.select(case, F.lit(ALERTS[i]).alias("alert"))
+    cases, grants = rows.select(case).distinct(), of("PREV_CARTA_CONCESSAO")
+
+    dismissed = of("TRAB_TRCT").where(day("Data_Demissao") < F.date_sub(today, 730)).select(case)
+    first = named(dismissed.join(grants.where(species == "B92").select(case), case), 0)
+
+    ended = of("PREV_CARTA_CONCESSAO", "PREV_LAUDO_SABI").select(case, day("DCB").alias("dcb"))
+    unfit = of("SST_ASO_RETORNO").where(F.lower(field("Resultado_ASO")) == "inapto").select(case, day("Data_ASO").alias("aso"))
+    second = named(ended.join(unfit, case).where("aso >= dcb"), 1)
+
+    hired = of("TRAB_CTPS", "TRAB_FICHA_REGISTRO").withColumn("hired", day("Data_Admissao")).groupBy(case).agg(F.max("hired").alias("hired"))
+    exams = of("MED_EXAME_IMAGEM").join(hired, case).select(case, "hired", day("Data_Documento").alias("seen"), F.lower(field("Conclusao_Exame")).alias("found"))
+    before = exams.where(F.col("found").contains("degenerativo") & (F.col("seen") < F.col("hired")))
+    after = exams.where(F.col("found").rlike("grave|incapacitante|extrusão discal|extrusao discal") & (F.col("seen") >= F.col("hired")))
+    third = named(lacking(having(cases, case, before, after), case, of("SST_AET")), 2)
+
+    gear = of("SST_FICHA_EPI").select(case, day("Data_Entrega_EPI").cast("timestamp").alias("ts"), F.coalesce(field("Numero_CA_EPI"), F.lit("")).alias("ca"))
+    deaf = having(cases, case, of("MED_ATESTADO", "MED_AUDIOMETRIA").where(coded("H90")))
+    irregular = gap_alert(gear, case, "ts", 180, F.col("ca") == "", "x").select(case).union(lacking(deaf, case, gear))
+    fourth = named(having(deaf, case, irregular), 3)
+
+    psychic = having(cases, case, grants.where(species == "B31"), of("MED_ATESTADO").where(coded("F32", "F41", "Z73")))
+    fifth = named(lacking(psychic, case, of("SST_PCMSO").where(says("psicossoc"))), 4)
+
+    exposed = of("MED_LAUDO_ASSISTENTE_TECNICO", "MED_PRONTUARIO_CLINICO", "MED_EXAME_IMAGEM").where(says("agrotóxicos", "agrotoxicos", "exposição", "silica", "ruído", "ruido"))
+    informal = having(cases, case, of("PREV_CNIS"), grants.where(species.isin("B87", "LOAS")), exposed)
+    sixth = named(lacking(informal, case, of("TRAB_CTPS")), 5)
+
+    seventh = named(having(cases, case, of("PREV_CAT"), of("PROVA_BOLETIM_OCORRENCIA").where(says("trajeto"))), 6)
+    out = first
+    for df in (second, third, fourth, fifth, sixth, seventh):
+        out = out.unionByName(df)
+    return out
