@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +28,19 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PART = re.compile(rf"[{_LETTER}]+|[!-&(-/:-@\[-`{{-~]+|\n(?!\n)")
 _WORD = re.compile(rf"[{_LETTER}]+")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Where a text isn't plain: white space or signs next to each other, other white space, or the marks below.
-_ODD = re.compile(rf"[^\S \n]|[\x01-\x03]|^[ .,\n]|[ \n]$|[ \n][ .,\n]|[.,][^ \n{_LETTER}0-9]|[^{_LETTER}0-9][.,]")
 _MARK = re.compile(r"[\x01-\x03]")
+#: Kinds of bytes in plain texts: 0 letters and digits (bytes of Latin letters beyond ASCII too), 1 commas and stops,
+#: 2 space, 3 line end, 4 other signs; 7 has no place in a plain text.
+_KIND = np.full(256, 7, np.uint8)
+_KIND[33:127] = 4
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = 0
+_KIND[[ord(","), ord(".")]], _KIND[32], _KIND[10] = 1, 2, 3
+#: Neighbours in plain texts: white space and signs never stand side by side, but for white space after a comma or stop,
+#: and other signs next to each other or to white space.
+_BESIDE = np.zeros((8, 8), bool)
+_BESIDE[0, :5] = _BESIDE[:5, 0] = True
+_BESIDE[1, 2] = _BESIDE[1, 3] = _BESIDE[4, 4] = _BESIDE[4, 2] = _BESIDE[2, 4] = _BESIDE[4, 3] = _BESIDE[3, 4] = True
+_BESIDE = _BESIDE.ravel()
 #: In plain texts, marks stand for signs that are cut off the words before them.
 _SIGNS = {"\x01": ",", "\x02": ".", "\x03": "\n"}
 
@@ -88,10 +97,19 @@ def tokenizer_of_json(path: str) -> Tokenizer:
     return made
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text is words, single spaces, line ends and signs in places where commas, stops and line ends can be cut
+    off the words before them."""
+    kinds = _KIND[np.frombuffer(text.encode(errors="surrogatepass"), np.uint8)]
+    if kinds[0] in (1, 2, 3) or kinds[-1] in (2, 3) or not _BESIDE[kinds[:-1] * np.uint8(8) + kinds[1:]].all() or kinds[0] == 7:
+        return False
+    return "×" not in text and "÷" not in text  # the two signs among the Latin letters
+
+
 def pieces_of(text: str) -> list[str]:
     """The text in pieces, between which the split pattern surely cuts. All but the first follow a space that isn't in
     the list, or start with a mark that stands for a sign."""
-    if _ODD.search(text) is None:
+    if is_plain(text):
         return text.replace(",", " \x01").replace(".", " \x02").replace("\n", " \x03").split(" ")
     return [text] if _MARK.search(text) else _SAFE.split(text)
 
@@ -113,12 +131,19 @@ class Answers(dict):
         return out
 
 
+#: Ids as little-endian unsigned 32-bit integers.
+_PACKED: list[bytes] = []
+
+
 class Encoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.shown = str.maketrans({chr(i): c for i, c in enumerate(byte_characters())})
+        self.space = byte_characters()[32]
+        while len(_PACKED) <= tokenizer.get_vocab_size():
+            _PACKED.append(len(_PACKED).to_bytes(4, "little"))
         self.pieces, self.parts = Answers(self.piece, KEPT), Answers(self.part, KEPT // 6)
 
     def encode(self, text: str) -> bytes:
@@ -133,7 +158,7 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         """A word after a space is one match of the split pattern. Of other pieces, the parts are asked for one by one
         where the pattern of parts covers them."""
-        if _WORD.fullmatch(piece):
+        if piece.isalpha() and (piece.isascii() or _WORD.fullmatch(piece)):
             return self.part(" " + piece)
         lead, text = ("", _SIGNS[piece[0]] + piece[1:]) if piece[:1] in _SIGNS else (" ", piece)
         found = _PART.findall(text)
@@ -144,8 +169,8 @@ class Encoder:
 
     def part(self, text: str) -> bytes:
         """One match of the split pattern: the library's model gets the characters of its bytes."""
-        tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        shown = text.replace(" ", self.space) if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(self.shown)
+        return b"".join([_PACKED[t.id] for t in self.model.tokenize(shown)])
 
 
 _MADE: dict[tuple[str, str], Encoder] = {}

@@ -34,14 +34,18 @@ _NO_KEY = np.iinfo(np.int64).min
 
 def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     """The file of a shard: head, directory of documents, index of blocks, blocks."""
-    pack, level, planes, ones = zstandard.ZstdCompressor(level=3).compress, ids, [], []
+    pack, level, planes, ones = zstandard.ZstdCompressor(level=1).compress, ids, [], []
     for b in range(bits - 1, -1, -1):
-        bit = ((level >> b) & 1).astype(bool)
-        packed = np.packbits(bit).tobytes()
-        before = np.concatenate(([0], np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), 8 * BLOCK), dtype=np.int64)))) if len(bit) else np.zeros(1, np.int64)
+        bit = (level & level.dtype.type(1 << b)) != 0
+        packed = np.packbits(bit)
+        sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        ones.append(np.concatenate(([0], np.cumsum(sums))))
+        packed = packed.tobytes()
         planes.append([pack(packed[i : i + BLOCK]) for i in range(0, len(packed), BLOCK)])
-        ones.append(before)
-        level = np.concatenate([level[~bit], level[bit]])
+        below = np.empty_like(level)
+        zeros = len(level) - int(ones[-1][-1])
+        below[:zeros], below[zeros:] = level[~bit], level[bit]
+        level = below
     directory = pack(keys.astype("<i8").tobytes() + counts.astype("<i8").tobytes())
     index = pack(np.array(ones, "<i8").tobytes() + np.array([[len(x) for x in p] for p in planes], "<i8").tobytes())
     head = MAGIC + struct.pack("<QQIQQ", len(ids), len(keys), bits, len(directory), len(index))
@@ -119,16 +123,17 @@ class WaveletMatrix:
         return i
 
     def tokens(self) -> np.ndarray:
-        """All ids in order."""
-        at, values = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for plane in range(self.bits):
-            bit = np.concatenate([self._block(plane, b) for b in range(self._blocks)])[: self.n] if self._blocks else np.zeros(0, np.uint8)
+        """All ids in order: from the last plane up, each stable partition is undone."""
+        values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        for plane in range(self.bits - 1, -1, -1):
+            blocks = [self._block(plane, b) for b in range(self._blocks)]
             self._known.clear()
-            ones = np.cumsum(bit, dtype=np.int64) - bit
-            here, before = bit[at], ones[at]
-            values = values * np.uint32(2) + here
-            at = np.where(here, self.zeros[plane] + before, at - before)
-        return values
+            bit = np.concatenate(blocks)[: self.n].view(bool) if blocks else np.zeros(0, bool)
+            above, zeros = np.empty_like(values), int(self.zeros[plane])
+            above[~bit] = values[:zeros]
+            above[bit] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - plane))
+            values = above
+        return values.astype(np.uint32)
 
 
 def write_ids(docs: DataFrame, vocabulary: str, kind: str = "json", path: str | None = None, end_id: int = END_ID, key: str = "doc_id", column: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[str, list[tuple[int, int]]]:
