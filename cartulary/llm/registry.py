@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import bpe, decontaminate, gif, language, lines, quality, shards, simhash, substrings, wavelet
 from .common import table
 
@@ -52,8 +54,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "pipeline": corpus_pipeline.run,
         "op1_simhash": op1_simhash,
         "op2_kd_tree": op2_kd_tree,
@@ -66,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_byte_bpe": op10_byte_bpe,
     }
+    return {name: _shipped(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
