@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _part in ("documents", "evidence", "cases"):
+for _part in ("documents", "evidence", "cases", "records"):
     importlib.import_module(f"{__package__}.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]
