@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
 
 
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of docs whose key is the smallest of its near-duplicate group. Rows with a null key go."""
+    """The row of docs whose key is the smallest of its near-duplicate group. Of rows that repeat that key one stays.
+    Rows with a null key go."""
     kept = near_duplicates(docs, key, column, width).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").select(*docs.columns)
+    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -40,6 +40,7 @@ def test_simhash(spark):
     labels = groups_of(fps, linked)
     assert got == {i: (f"{fps[i]:016x}", labels[i]) for i in fps}
     assert sorted(r["doc_id"] for r in simhash.first_of_each_group(docs).collect()) == sorted({labels[i] for i in fps})
+    assert sorted(r["doc_id"] for r in simhash.first_of_each_group(documents(spark)).collect()) == sorted({labels[i] for i in fps})
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.near_duplicates(documents(spark)).count() == len(texts()) + 2
 
