@@ -51,7 +51,7 @@ def last_wins_first_position(spark, sf):
 _K = "json_extract_string(props, '$.k')"
 
 
-@query(f"""SELECT user_id, code, event_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY score DESC, event_id) AS rn FROM
+@query(f"""SELECT user_id, code, event_id, round(score :: DOUBLE, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY score DESC, event_id) AS rn FROM
  (SELECT user_id, {_K} AS code, event_id, round(CASE WHEN event_type = 'error' THEN 0.9 ELSE 0.7 END - 0.03 * (event_id % 5), 4) AS score FROM events)) WHERE rn = 1""")
 def cid_consolidation(spark, sf):
     events = table(spark, sf, "events").withColumn("code", F.get_json_object("props", "$.k"))
