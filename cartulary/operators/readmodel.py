@@ -86,3 +86,32 @@ def entity_summary(facts: DataFrame, by: str) -> DataFrame:
     """facts(by, kind, ord, value) -> first value, and the distinct values in order, of each kind."""
     values = F.transform(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("ord", "value")))), lambda x: x["value"])
     return facts.groupBy(by, "kind").agg(F.min_by(F.col("value"), F.when(F.col("value").isNotNull(), F.col("ord"))).alias("first_value"), F.array_join(F.array_distinct(values), ",").alias("all_values"))
+
+
+def case_view(models: DataFrame, events: DataFrame, items: DataFrame) -> DataFrame:
+    """One row a document: its read model with its timeline in order, what waits for review, and counts. Lists are those
+    of one document, so their size is bounded by it."""
+    timeline = events.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("date_iso", "event_id", "event_type", "title", "confidence", "review_state", "provenance_status"))).alias("timeline"), F.count_if(F.col("provenance_status") == "exact").alias("n_exact"))
+    waiting = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("source", "field", "value"))).alias("review"))
+    rows = models.join(timeline, "document_id", "left").join(waiting, "document_id", "left")
+    return rows.withColumn("n_exact", F.coalesce("n_exact", F.lit(0))).withColumn("n_waiting", F.coalesce(F.size("review"), F.lit(0)))
+
+
+def assertion_of_dossier(provenance: Column) -> Column:
+    return F.when(provenance == "estimated", "estimated").when(provenance.isin("inferred", "text_fallback", "snippet_only"), "inferred").otherwise("observed")
+
+
+def dossier(events: DataFrame, rows_a_page: int = 40) -> DataFrame:
+    """(document_id, line_no, page_no, line): the printed dossier, a line of at most 120 characters an event, in order."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("document_id").orderBy("date_iso", "event_id")
+    line = F.left(F.concat_ws(" | ", "date_iso", "event_type", "title", assertion_of_dossier(F.col("provenance_status"))), F.lit(120))
+    numbered = events.select("document_id", F.row_number().over(w).alias("line_no"), line.alias("line"))
+    return numbered.withColumn("page_no", F.floor((F.col("line_no") - 1) / rows_a_page).cast("int") + 1)
+
+
+def panel_row(events: DataFrame) -> DataFrame:
+    """Public timeline rows: label, date as it is shown, and where the first citation leads."""
+    first = F.try_element_at("citations", F.lit(1))
+    return events.select("document_id", "event_id", F.col("event_type").alias("label"), "date_iso", F.coalesce(F.date_format(F.try_to_timestamp("date_iso"), "dd/MM/yyyy HH:mm"), "date_iso").alias("display_date"), first["page"].alias("page"), first["bbox"].alias("bbox"), F.transform("codes", lambda c: F.concat(F.lit("cid:"), c)).alias("tags"))

@@ -178,3 +178,19 @@ def test_streams(spark, tmp_path):
     windows = run(streams.tumbling(read(), "ts", ["event_type"]).select(F.date_format("window.start", "dd HH"), "event_type", "n", "total"), "tumbling", "append")
     assert ("01 00", "a", 2, 4.0) in windows and ("01 01", "a", 1, 3.0) in windows
     assert {(r[0], r[1]) for r in run(streams.growing_timelines(read().select("user_id", "event_id", "ts"), "user_id"), "growing", "update")} == {(7, 2), (8, 1)}
+
+
+def test_case_view_and_dossier(spark):
+    from cartulary.operators import canonical, readmodel
+
+    c = Collection(units=units(spark))
+    events = c.events()
+    docs = spark.createDataFrame([("d1", "documento", "atestado_medico", "Ana", None, "2024-01-11", ["S72.0"], "x"), ("d9", "imagem", None, None, None, None, None, None)], "document_id string, media string, doc_type string, patient string, provider string, date_canonical string, codes array<string>, text string")
+    items = canonical.review_items(events, spark.createDataFrame([], "document_id string, role string, name string, review_state string"), spark.createDataFrame([("d9", "ocr", "slow")], "document_id string, code string, message string"))
+    view = {r.document_id: r for r in readmodel.case_view(canonical.read_model(docs, events, items), events, items).collect()}
+    assert [t.event_type for t in view["d1"].timeline][0] == "internacao_inicio" and view["d1"].n_exact == 1 and view["d1"].n_waiting == 4
+    assert view["d9"].timeline is None and view["d9"].n_waiting == 1
+    lines = readmodel.dossier(events.where("document_id = 'd1'"), 2).orderBy("line_no").collect()
+    assert [r.page_no for r in lines] == [1, 1, 2, 2, 3] and lines[0].line.startswith("2024-01-02 | internacao_inicio") and all(len(r.line) <= 120 for r in lines)
+    rows = {r.label: r for r in readmodel.panel_row(events.where("document_id = 'd1'")).collect()}
+    assert rows["internacao_inicio"].display_date == "02/01/2024 00:00" and rows["internacao_inicio"].bbox and rows["parecer_emitido"].tags == ["cid:F32.1", "cid:F41"]
