@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each over all that the one before it kept.
 
-1. language: documents without a language (no text, no letter, or no language that holds half of the words) go.
+1. language: documents without a language (no text, no letter, or no language that holds three tenths of the words) go.
 2. lines: lines that stand earlier, equal or within one word, go; documents stay.
 3. near_duplicates: of each group of linked fingerprints the document of the smallest doc_id stays.
 4. benchmark: documents that benchmark items contaminate go; the others stay as they are.
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from cartulary.llm import bpe, decontaminate, language, lines, simhash
 from cartulary.llm.common import materialise, table
 
-#: Share of its words that a document's main language has at least.
-LEAST_SHARE = 0.5
+#: Share of its words that a document's main language has at least. Clean documents may mix three languages, so half of
+#: the words would be too much to ask.
+LEAST_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
