@@ -75,9 +75,10 @@ def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> Dat
     sought = halves.join(shared, "half", "left_semi").groupBy("k").agg(F.collect_set("no").alias("nos"))
     texts = docs.select(F.col(key).cast("long").alias("k"), column).join(sought, "k")
     lines = texts.select("k", F.col("nos"), F.posexplode(F.split(column, "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no")))
-    lines = lines.select("k", "no", _place("k", "no").alias("place"), F.split("line", " ", -1).alias("words"))
+    words = materialise(lines.select("k", "no", _place("k", "no").alias("place"), F.split("line", " ", -1).alias("words")), "line-words")
 
-    each = lines.select("k", "no", "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    # The few lines that are left are dealt out before they become words, so the window below needs no further shuffle.
+    each = words.repartition("k", "no").select("k", "no", "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     each = each.select("k", "no", "place", "n", "i", F.xxhash64("word", "i").alias("stay"), F.xxhash64("word", F.col("i") - 1).alias("move"))
     line = Window.partitionBy("k", "no").orderBy("i")
     to_here = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,8 +102,7 @@ def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> Dat
     met = own.join(by_position, ["rest", "m", "i"]).select("place", "near").union(own.join(by_rest, ["rest", "m", "is_whole"]).select("place", "near"))
     nearest = met.where("near < place").groupBy("place").agg(F.min("near").alias("near"))
 
-    words = materialise(lines.select("place", "words"), "line-words")
-    pairs = nearest.join(words, "place").withColumnRenamed("words", "a").join(words.select(F.col("place").alias("near"), F.col("words").alias("b")), "near")
+    pairs = nearest.join(words.select("place", "words"), "place").withColumnRenamed("words", "a").join(words.select(F.col("place").alias("near"), F.col("words").alias("b")), "near")
     return pairs.where(within_one_edit(F.col("a"), F.col("b"))).select("place", "near")
 
 
