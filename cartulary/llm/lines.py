@@ -15,6 +15,13 @@ is judged on the input, not on what is left.
 4. The edit distance of each line and its earliest neighbour is verified on their words.
 
 Lines of fewer than ``MIN_WORDS`` words are only removed as exact copies, and blank lines always stay.
+
+With ``wide``, the bound grows with the line, and a line also goes if an earlier one of as many words has at most two
+replaced words (lines of 20 words or more) or three (32 or more), or, under ``MIN_WORDS`` words and from ``MIN_CHARS``
+characters, if an earlier such line is one inserted, deleted or replaced character away. Lines within r replaced words
+share one of r + 1 segments, short lines one of their halves, so no such pair is lost. What meets is compared with the
+earliest line at its segment first; only lines that this leaves are compared with the others there. Two or three
+inserted or deleted words are still not found.
 """
 
 from __future__ import annotations
@@ -27,6 +34,9 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 MIN_WORDS = 8
+#: Replaced words in lines of so many words at least, and characters of short lines that are compared; both for ``wide``.
+REPLACED = ((32, 3), (20, 2))
+MIN_CHARS = 20
 _PLACE = T.DecimalType(38, 0)
 #: Lines of one document that a place can tell apart.
 _LINES = 1 << 40
@@ -51,9 +61,29 @@ def _half(side: str, words: Column, n: Column) -> Column:
     return F.when(n >= MIN_WORDS, F.xxhash64(F.lit(side), words, F.call_function("substring_index", F.col("line"), F.lit(" "), count)))
 
 
-def occurrences(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """(place, h1, h2, n, and three keys of halves) of every line that isn't blank."""
+def _segments(n: Column, count: int) -> Column:
+    """Keys of so many segments that make up the line."""
+    ends = [F.floor(n * i / count).cast("int") for i in range(count + 1)]
+    cut = lambda a, b: F.call_function("substring_index", F.call_function("substring_index", F.col("line"), F.lit(" "), b), F.lit(" "), a - b)
+    return F.array(*[F.xxhash64(F.lit(i), n, cut(ends[i], ends[i + 1])) for i in range(count)])
+
+
+def _short_keys() -> Column:
+    """Keys of the halves of a short line, as the shorter of two and as one that is a character longer."""
+    size = F.length("line")
+    keys = []
+    for shorter in (size, size - 1):
+        half = F.floor(shorter / 2).cast("int")
+        keys += [F.xxhash64(F.lit("P"), shorter, F.left(F.col("line"), half)), F.xxhash64(F.lit("S"), shorter, F.right(F.col("line"), shorter - half))]
+    return F.array(*keys)
+
+
+def occurrences(docs: DataFrame, key: str, column: str, wide: bool = False) -> DataFrame:
+    """(place, h1, h2, n, three keys of halves, and with wide those of segments) of every line that isn't blank."""
     n = F.col("n")
+    segments = F.when((n < MIN_WORDS) & (F.length("line") >= MIN_CHARS), _short_keys())
+    for least, replaced in REPLACED:
+        segments = segments.when(n >= least, _segments(n, replaced + 1))
     half, odd = F.floor(n / 2).cast("int"), n % 2 == 1
     return (
         _exploded(docs, key, column)
@@ -64,6 +94,7 @@ def occurrences(docs: DataFrame, key: str, column: str) -> DataFrame:
             _half("P", half, n).alias("p0"),
             F.when(odd, _half("P", half + 1, n)).otherwise(_half("S", half, n)).alias("p1"),
             _half("S", half + 1, n).alias("s0"),
+            *([segments.alias("segments")] if wide else []),
         )
     )
 
@@ -72,9 +103,7 @@ def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> Dat
     """(place, near): earliest places of distinct lines, and those of their earliest neighbours within one edit."""
     halves = types.where(F.col("n") >= MIN_WORDS).select("place", "k", "no", F.explode(F.array("p0", "p1", "s0")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
-    sought = halves.join(shared, "half", "left_semi").groupBy("k").agg(F.collect_set("no").alias("nos"))
-    texts = docs.select(F.col(key).cast("long").alias("k"), column).join(sought, "k")
-    lines = texts.select("k", F.col("nos"), F.posexplode(F.split(column, "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no")))
+    lines = _lines_at(docs, halves.join(shared, "half", "left_semi"), key, column)
     words = materialise(lines.select("k", "no", _place("k", "no").alias("place"), F.split("line", " ", -1).alias("words")), "line-words")
 
     # The few lines that are left are dealt out before they become words, so the window below needs no further shuffle.
@@ -106,6 +135,41 @@ def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> Dat
     return pairs.where(within_one_edit(F.col("a"), F.col("b"))).select("place", "near")
 
 
+def _lines_at(docs: DataFrame, places: DataFrame, key: str, column: str) -> DataFrame:
+    """(k, no, line) of the places (k, no)."""
+    sought = places.groupBy("k").agg(F.collect_set("no").alias("nos"))
+    texts = docs.select(F.col(key).cast("long").alias("k"), column).join(sought, "k")
+    return texts.select("k", F.col("nos"), F.posexplode(F.split(column, "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no"))).drop("nos")
+
+
+def _wide_neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> DataFrame:
+    """(place, near): distinct lines with an earlier one within the wide bound."""
+    each = types.where("segments IS NOT NULL").select("place", "k", "no", F.explode("segments").alias("segment"))
+    shared = each.groupBy("segment").agg(F.count("*").alias("c"), F.min("place").alias("earliest")).where("c > 1").drop("c")
+    met = materialise(each.join(shared, "segment"), "line-segments")
+    lines = materialise(_lines_at(docs, met, key, column).select(_place("k", "no").alias("place"), "line"), "line-texts")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(lines, "place").join(lines.select(F.col("place").alias("near"), F.col("line").alias("other")), "near")
+        return both.where(within_wide_bound("line", "other")).select("place", "near")
+
+    first = materialise(close(met.where("earliest < place").select("place", F.col("earliest").alias("near"))), "line-earliest")
+    left = met.where("earliest < place").join(first, "place", "left_anti").select("segment", "place", "earliest")
+    others = met.select("segment", F.col("place").alias("near"))
+    return first.union(close(left.join(others, "segment").where("near < place AND near > earliest").select("place", "near")))
+
+
+def within_wide_bound(line: str, other: str) -> Column:
+    """Whether two lines are of as many words and within the replaced words of that length, or short and one character apart."""
+    a, b = F.split(line, " ", -1), F.split(other, " ", -1)
+    replaced = F.size(F.filter(F.zip_with(a, b, lambda u, v: ~u.eqNullSafe(v)), lambda x: x))
+    bound = F.when(F.size(a) != F.size(b), -1)
+    for least, most in REPLACED:
+        bound = bound.when(F.size(a) >= least, most)
+    short = (F.greatest(F.size(a), F.size(b)) < MIN_WORDS) & (F.least(F.length(line), F.length(other)) >= MIN_CHARS)
+    return (short & F.levenshtein(F.col(line), F.col(other), 1).between(0, 1)) | (~short & (replaced <= bound.otherwise(-1)))
+
+
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether arrays of words are at edit distance 1 at most: their common head and tail leave no more than one word."""
 
@@ -116,10 +180,10 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False) -> DataFrame:
     """(k, gone): the numbers, from 0, of the lines that go, for every document that loses any."""
-    own = occurrences(docs, key, column)
-    first = ("n", "p0", "p1", "s0")
+    own = occurrences(docs, key, column, wide)
+    first = ("n", "p0", "p1", "s0", *(["segments"] if wide else []))
     types = own.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in first])
     base = F.lit(_LINES).cast(T.DecimalType(14, 0))
     no = (F.col("place") % base).cast("long")
@@ -127,12 +191,14 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") ->
     types = types.withColumn("no", no.cast("int")).withColumn("k", F.expr(f"(place - no) div {_LINES}").cast("long"))
     types = materialise(types, "line-types")
     near = materialise(_neighbours(docs, types, key, column), "line-near")
+    if wide:
+        near = near.union(_wide_neighbours(docs, types, key, column))
     copies = own.select("k", "no", "place", "h1", "h2").join(types.select("h1", "h2", F.col("place").alias("first")), ["h1", "h2"]).where("place <> first").select("k", "no")
     changed = types.join(near, "place", "left_semi").select("k", "no")
     return copies.union(changed).groupBy("k").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False) -> DataFrame:
     """docs with the text of column without its removed lines, and n_lines, n_removed (columns of these names in docs are
     replaced, all others stay as they are).
 
@@ -140,7 +206,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
     with an empty text. Rows that repeat a key are told apart by nothing, so they count as one place: a line of theirs
     goes from all of them or from none. Keys that are null keep their texts. An empty table gives an empty result."""
     docs = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs.where(F.col(key).isNotNull()), key, column)
+    gone = removed_lines(docs.where(F.col(key).isNotNull()), key, column, wide)
     out = docs.withColumn("__k", F.col(key).cast("long")).join(gone.withColumnRenamed("k", "__k"), "__k", "left")
     lines = F.split(column, "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
@@ -152,9 +218,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> D
     )
 
 
-def line_report(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False) -> DataFrame:
     """Per document: key, n_lines, n_removed, kept_sha256 of the text that is left (null: of nothing)."""
-    kept = dedup_lines(docs.select(F.col(key).cast("long").alias(key), column), key, column)
+    kept = dedup_lines(docs.select(F.col(key).cast("long").alias(key), column), key, column, wide)
     return kept.select(key, "n_lines", "n_removed", F.sha2(F.coalesce(F.col(column), F.lit("")), 256).alias("kept_sha256"))
 
 

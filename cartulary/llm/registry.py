@@ -26,6 +26,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_line_dedup with a bound that grows with the line."""
+    return lines.line_report(table(spark, sf_dir, "documents"), wide=True)
+
+
 def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_report(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_kd_tree": op2_kd_tree,
         "op3_line_dedup": op3_line_dedup,
+        "op3_line_dedup_wide": op3_line_dedup_wide,
         "op4_recompression": op4_recompression,
         "op5_wavelet_ids": op5_wavelet_ids,
         "op6_gif": op6_gif,

@@ -107,6 +107,44 @@ def test_line_dedup(spark):
     assert all_rows.count() == len(texts()) + 2 and all_rows.columns == [*documents(spark).columns, "n_lines", "n_removed"]
 
 
+def test_wide_line_dedup(spark):
+    def changed(line, at):
+        words = line.split(" ")
+        return " ".join(f"new{i}" if i in at else w for i, w in enumerate(words))
+
+    hub = prose(30, 40)
+    rows = [
+        (1, "\n".join([prose(31, 19), prose(32, 20), prose(33, 32), "a short line of words", "tiny line", hub])),
+        (2, "\n".join([changed(prose(31, 19), {2, 9}), changed(prose(32, 20), {0, 19}), changed(prose(33, 32), {3, 11, 30}), "a short line of word", "tiny lime"])),
+        (3, "\n".join([changed(prose(32, 20), {1, 9, 17}), changed(prose(33, 32), {1, 9, 17, 25}), "a short tine of words", "a short time of word"])),
+        # Far from the earliest line of their first segment, near to each other.
+        (4, changed(hub, set(range(12, 30))) + "\n" + changed(hub, {5, *range(12, 30)})),
+        (5, changed(hub, {*range(12, 30), 33, 35, 37})),
+    ]
+
+    def goes(line, earlier):
+        if line in earlier or any(near(line, e) for e in earlier):
+            return True
+        words = line.split(" ")
+        same = [sum(x != y for x, y in zip(words, e.split(" "))) for e in earlier if len(e.split(" ")) == len(words)]
+        bound = 3 if len(words) >= 32 else 2 if len(words) >= 20 else 0
+        short = len(words) < lines.MIN_WORDS and len(line) >= 20
+        one = lambda a, b: len(a) - len(b) in (-1, 0, 1) and any(a[:i] + a[i + (len(a) >= len(b)) :] == b[:i] + b[i + (len(b) >= len(a)) :] for i in range(max(len(a), len(b))))
+        return bool(bound) and any(d <= bound for d in same) or short and any(one(line, e) for e in earlier if len(e) >= 20 and len(e.split(" ")) < lines.MIN_WORDS)
+
+    seen, want = [], {}
+    for i, t in rows:
+        want[i] = []
+        for line in t.split("\n"):
+            want[i] += [] if goes(line, seen) else [line]
+            seen.append(line)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), wide=True).collect()}
+    assert got == {i: "\n".join(kept) for i, kept in want.items()}
+    # The 20-character line goes, as do two and three replaced words; the earliest of each segment does not decide alone.
+    assert [len(want[i]) for i in (1, 2, 3, 4, 5)] == [6, 2, 3, 1, 0]
+    assert lines.dedup_lines(empty(spark), wide=True).count() == 0
+
+
 def plain_windows(rows, window=35):
     words = {i: (t or "").encode().split() for i, t in rows}
     starts = {}
