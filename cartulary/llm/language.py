@@ -2,7 +2,8 @@
 
 A language is a distribution of byte trigrams of lower-cased words, counted over every learning document. A document
 is a mixture of languages: expectation-maximisation over its words (whose likelihoods are products of those of their
-trigrams) estimates the proportions, and the set of languages is the one with the best penalised likelihood.
+trigrams) estimates the proportions. The set of languages starts with the one that explains the document best and grows
+by the one that helps most while the penalised likelihood improves, up to all languages of the model.
 """
 
 from __future__ import annotations
@@ -82,19 +83,24 @@ class Model:
         peak = logs.max(axis=1, keepdims=True)
         odds = np.exp(logs - peak)
         whole = np.add.reduceat(logs - peak, starts, axis=0).astype(np.float64)  # log-likelihood of each language alone, up to a constant
-        alone, mixed, proportions = whole.max(axis=1), None, None
-        order = np.argsort(-self._expect(odds, starts, count, np.ones((len(some), k), bool))[0], axis=1, kind="stable")
         best[some], share[some], chosen[some] = whole.argmax(axis=1), 1.0, 1
-        score = alone - PRICE * np.log(count + 1)
-        for size in range(2, min(k, 3) + 1):
-            allowed = np.zeros((len(some), k), bool)
-            np.put_along_axis(allowed, order[:, :size], True, axis=1)
+        score = whole.max(axis=1) - PRICE * np.log(count + 1)
+        allowed = np.eye(k, dtype=bool)[best[some]]
+        proportions = allowed.astype(np.float64)
+        for size in range(2, k + 1):
+            mixed = (np.repeat(proportions.astype(np.float32), count, axis=0) * odds).sum(axis=1, keepdims=True)
+            with_one = np.add.reduceat(np.log(np.maximum(mixed * ((size - 1) / size) + odds / size, 1e-30)), starts, axis=0)
+            allowed[np.arange(len(some)), np.where(allowed, -np.inf, with_one).argmax(axis=1)] = True
             proportions, mixed = self._expect(odds, starts, count, allowed)
-            better = mixed - size * PRICE * np.log(count + 1) > score
-            score = np.where(better, mixed - size * PRICE * np.log(count + 1), score)
-            main = proportions.argmax(axis=1)
-            at = some[better]
-            best[at], share[at], chosen[at] = main[better], proportions[np.arange(len(some)), main][better], size
+            penalised = mixed - size * PRICE * np.log(count + 1)
+            better = penalised > score
+            if not better.any():
+                break
+            # Only the texts that want one more language go on.
+            odds = odds[np.repeat(better, count)]
+            some, count, score, allowed, proportions = some[better], count[better], penalised[better], allowed[better], proportions[better]
+            starts = np.cumsum(count) - count
+            best[some], share[some], chosen[some] = proportions.argmax(axis=1), proportions.max(axis=1), size
         return best, share, chosen
 
     def _expect(self, odds: np.ndarray, starts: np.ndarray, count: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -94,6 +94,15 @@ def test_language_mixture_and_awkward_rows(spark):
     assert {r["lang_pred"] for r in language.predict(keyed(spark), language.fit(empty(spark))).collect()} == {"und"}
 
 
+def test_four_languages_in_one_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    some = {r["lang"]: r["text"] for r in docs.where("n_chars > 3000").collect()}
+    parts = {name: " ".join(some[name].split()[:200]) for name in model.names}
+    best, share, size = model.infer([" ".join(parts.values()), " ".join([parts[n] for n in model.names[:3]]), parts["de"], None])
+    assert len(parts) == 4 and size[:3].tolist() == [4, 3, 1] and 0.2 < share[0] < 0.3 and 0.3 < share[1] < 0.45 and share[2] == 1 and best[3] == -1
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.quality_report(docs, labels).join(labels, "doc_id").toPandas()
