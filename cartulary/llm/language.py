@@ -103,6 +103,16 @@ class Model:
             best[some], share[some], chosen[some] = proportions.argmax(axis=1), proportions.max(axis=1), size
         return best, share, chosen
 
+    def known(self, texts: list[str | None]) -> np.ndarray:
+        """Per text: the share of its words that some language explains better than chance, that is, better than trigrams
+        drawn evenly from all cells."""
+        cells, starts, bounds = trigram_cells(texts)
+        if not len(starts) or not self.names:
+            return np.zeros(len(texts))
+        chance = -np.log(CELLS) * np.diff(np.append(starts, len(cells)))
+        better = np.append(0, np.cumsum(np.add.reduceat(self.logs[cells], starts, axis=0).max(axis=1) > chance))
+        return (better[bounds[1:]] - better[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+
     def _expect(self, odds: np.ndarray, starts: np.ndarray, count: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (texts x languages) after some rounds of expectation-maximisation, and their log-likelihoods."""
         proportions = allowed / allowed.sum(axis=1, keepdims=True)
@@ -127,10 +137,11 @@ def fit(docs: DataFrame, column: str = "text", lang: str = "lang") -> Model:
     return Model(names, np.log(n / n.sum(axis=0)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, column: str = "text", of_all: bool = False) -> DataFrame:
     """docs with lang_pred (`und`: null text, no letter, or nothing learned), score (proportion of that language
     among the chosen ones, 0 for `und`) and n_langs. Columns of those names in docs are replaced, all others stay;
-    repeated rows stay; an empty table gives an empty result. Texts of any length are used whole."""
+    repeated rows stay; an empty table gives an empty result. Texts of any length are used whole. With ``of_all`` the
+    score is the proportion among all words, those that no language explains better than chance too."""
     docs = docs.drop("lang_pred", "score", "n_langs")
     names, at, sent = docs.columns, docs.columns.index(column), docs.sparkSession.sparkContext.broadcast(model)
 
@@ -139,6 +150,7 @@ def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
         for batch in text_blocks(batches, column):
             texts = [x if x and any(map(str.isalpha, x)) else None for x in batch.column(at).to_pylist()]
             best, share, chosen = own.infer(texts)
+            share = share * own.known(texts) if of_all else share
             made = [pa.array([own.names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(np.clip(share, 0, 1), pa.float64()), pa.array(chosen, pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "lang_pred", "score", "n_langs"])
 

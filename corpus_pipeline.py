@@ -17,13 +17,13 @@ from cartulary.llm import bpe, decontaminate, language, lines, simhash
 from cartulary.llm.common import materialise, table
 
 #: Share of its words that a document's main language has at least. Clean documents may mix three languages, so half of
-#: the words would be too much to ask.
+#: the words would be too much to ask. Words that no language explains better than chance count as nobody's.
 LEAST_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~language.held_out()))
-    return language.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return language.predict(docs, model, of_all=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,6 +103,24 @@ def test_four_languages_in_one_document(spark):
     assert len(parts) == 4 and size[:3].tolist() == [4, 3, 1] and 0.2 < share[0] < 0.3 and 0.3 < share[1] < 0.45 and share[2] == 1 and best[3] == -1
 
 
+def test_pipeline_language_stage_rejects_and_keeps(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
+    some = {r["lang"]: r["text"].split()[:200] for r in docs.where("n_chars > 3000").collect()}
+    names, r = sorted(some), random.Random(1)
+    junk = " ".join("".join(r.choice("qxzjkvwpyghf") for _ in range(r.randint(5, 9))) for _ in range(600))
+    other = "текст на языке которого здесь никто не учил " * 40
+    made = [
+        (-1, " ".join(sum((some[n] for n in names), []))), (-2, junk), (-3, other), (-4, "123 !"), (-5, None),
+        (-6, " ".join(sum((some[n] for n in names[:3]), []))), (-7, " ".join(sum((some[n] for n in names[1:]), []))), (-8, " ".join(some["de"])),
+    ]
+    rows = spark.createDataFrame([(i, t, None, len(t or "")) for i, t in made], "doc_id long, text string, lang string, n_chars long")
+    kept = corpus_pipeline.language_stage(spark, docs.union(rows), SF).select("doc_id")
+    assert sorted(x[0] for x in kept.where("doc_id < 0").collect()) == [-8, -7, -6]
+    assert kept.where("doc_id >= 0").count() == docs.count()
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.quality_report(docs, labels).join(labels, "doc_id").toPandas()
