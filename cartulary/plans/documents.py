@@ -217,6 +217,17 @@ def token_jaccard(spark, sf):
     return _token_pairs(spark, sf).select("doc_id", "item_id", F.round(text.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)) AS t FROM documents),
+ b AS (SELECT item_id, list_distinct(regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)) AS u FROM benchmark),
+ p AS (SELECT doc_id, item_id, len(t) AS n, len(u) AS m, len(list_intersect(t, u)) AS c FROM d, b)
+ SELECT doc_id, item_id, round((c / least(n, m)) :: DOUBLE, 6) AS overlap, round((c / (n + m - c)) :: DOUBLE, 6) AS jaccard FROM p WHERE c > 0""")
+def token_pairs_by_content(spark, sf):
+    """Every document beside every item that shares a token with it. Shared tokens are counted before the shuffle."""
+    one = lambda name, key, n: table(spark, sf, name).select(key, F.array_distinct(text.tokens("text")).alias("t")).select(key, F.size("t").alias(n), F.explode("t").alias("token"))
+    shared = one("documents", "doc_id", "n").join(one("benchmark", "item_id", "m"), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    return shared.select("doc_id", "item_id", F.round(F.col("c") / F.least("n", "m"), 6).alias("overlap"), F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("jaccard"))
+
+
 QUERY = "the and die les missing"
 
 

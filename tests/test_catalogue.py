@@ -41,3 +41,11 @@ def test_query_agrees_with_oracle(spark, duck, name):
     want = duck.sql(catalogue.ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_each_item_meets_the_documents_that_share_a_token(spark, tmp_path):
+    """Whatever the ids: item 77 has no document of that id or of that rest by 40."""
+    spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "nothing shared"), (77, "Alpha, beta! omega"), (78, "delta delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["jaccard"]) for r in catalogue.QUERIES["token_pairs_by_content"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 77): (0.666667, 0.5), (2, 78): (1.0, 1.0)}
