@@ -49,3 +49,11 @@ def test_each_item_meets_the_documents_that_share_a_token(spark, tmp_path):
     spark.createDataFrame([(0, "nothing shared"), (77, "Alpha, beta! omega"), (78, "delta delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["jaccard"]) for r in catalogue.QUERIES["token_pairs_by_content"](spark, str(tmp_path)).collect()}
     assert got == {(1, 77): (0.666667, 0.5), (2, 78): (1.0, 1.0)}
+
+
+def test_the_best_line_may_stand_in_any_document(spark, tmp_path):
+    docs = [(1, "unrelated line\n\none two three"), (900, "x\nbefore The quick brown fox jumps over it after"), (901, "so the quick brown fox jumps over itself")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "he quick brown fox jumps over it"), (2, "three two one four"), (3, "absent")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["doc_id"], r["line_no"], r["score"]) for r in catalogue.QUERIES["span_best_line_of_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: (900, 1, 18.5714), 2: (1, 2, 10.0)}
