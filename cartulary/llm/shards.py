@@ -146,26 +146,30 @@ def slots(rows: DataFrame, shard: str, order: str) -> DataFrame:
     return at.join(F.broadcast(starts), ["__p", shard]).withColumn("slot", F.col("__m") - F.col("__first") + F.col("__base")).drop("__p", "__m", "__first", "__base")
 
 
-def assign(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, key: str = "doc_id", column: str = "text", dimensions: dict[str, Column] | None = None) -> DataFrame:
-    """Per row of docs: key, size (UTF-8 bytes and one), text_crc32, shard, slot. Give shards, or target_bytes for leaves.
+def assign(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, key: str = "doc_id", column: str = "text", dimensions: dict[str, Column] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: key, size (UTF-8 bytes and one), text_crc32, shard, slot, and the columns to carry. Give shards, or target_bytes for leaves.
 
     Null texts have size 1 and checksum 0, as empty ones. Null keys come before all others. Equal rows may part: bytes
     bind, not copies. Shards that get no row (fewer rows than shards) stay empty. Documents are single units, so a
     shard's bytes differ from its share by less than the documents at its cuts. An empty table gives an empty result."""
-    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(key).cast("long").alias("own"), (utf8_size(column) + 1).alias("size"), F.crc32(F.coalesce(F.col(column), F.lit(""))).alias("text_crc32"), *[c for c in ("source", "lang") if c in docs.columns])
+    named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(key).cast("long").alias("own"), (utf8_size(column) + 1).alias("size"), F.crc32(F.coalesce(F.col(column), F.lit(""))).alias("text_crc32"), *[c for c in ("source", "lang") if c in docs.columns], *carry)
     made = dimensions or {d: c for d, c in metadata(named, "key").items() if d not in ("source", "lang") or d in named.columns}
-    rows = named.select("key", "own", "text_crc32", F.col("size").alias("weight"), *[c.cast("long").alias(f"d_{d}") for d, c in made.items()])
+    rows = named.select("key", "own", "text_crc32", *carry, F.col("size").alias("weight"), *[c.cast("long").alias(f"d_{d}") for d, c in made.items()])
     rows = materialise(rows, "metadata")
     placed = tree_leaves(rows, [f"d_{d}" for d in made], shards, target_bytes)
     order = _in_order([r[0] for r in placed.select("cell").distinct().collect()])
-    out = slots(placed.select("own", "key", F.col("weight").alias("size"), "text_crc32", _numbered(order).cast("int").alias("shard")), "shard", "key")
-    return out.select(F.col("own").alias(key), "size", "text_crc32", "shard", "slot")
+    out = slots(placed.select("own", "key", F.col("weight").alias("size"), "text_crc32", *carry, _numbered(order).cast("int").alias("shard")), "shard", "key")
+    return out.select(F.col("own").alias(key), "size", "text_crc32", "shard", "slot", *carry)
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str | None = None, key: str = "doc_id") -> str:
-    """The documents themselves, one folder a shard, in the order of their slots."""
+def write_shards(docs: DataFrame, path: str | None = None, shards: int | None = 8, target_bytes: int | None = None, key: str = "doc_id", column: str = "text") -> str:
+    """The documents themselves, one folder a shard, in the order of their slots. Rows are told apart by numbers of their
+    own, so those with null or repeated keys are written once each. Columns shard and slot of docs are replaced."""
     path = path or scratch_path(docs.sparkSession, "shards")
-    docs.join(assigned.select(key, "shard", "slot"), key).repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = materialise(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    placed = assign(rows, shards, target_bytes, key, column, carry=("__row",)).select("__row", "shard", "slot")
+    out = rows.join(placed, "__row").drop("__row")
+    out.repartitionByRange(shuffle_partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
 
 

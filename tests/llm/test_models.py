@@ -34,6 +34,17 @@ def test_shards_of_awkward_rows(spark):
     assert shards.shard_report(empty(spark)).count() == 0
 
 
+def test_shards_are_written_once_a_row(spark, tmp_path):
+    docs = documents(spark).union(spark.createDataFrame([(3, "another text", None, None, 12, "own"), (None, "a second null key", None, None, 17, "own")], documents(spark).schema))
+    path = shards.write_shards(docs, f"file://{tmp_path}/out", shards=4)
+    got = spark.read.parquet(path).collect()
+    whole = lambda rows: sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows), key=repr)
+    assert whole(got) == whole(docs.collect())
+    for shard in range(4):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own)))
+
+
 def test_gif_payloads_come_back(spark):
     got = {r["doc_id"]: r for r in gif.media_report(keyed(spark)).collect()}
     for i, t in enumerate(texts()):
