@@ -52,14 +52,14 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH) -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, *carry: str) -> DataFrame:
+    """(key, fp, and the long columns to carry): fp is the fingerprint as a signed long."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(x, width) for x in block.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([block.column(0), pa.array(found)], names=[key, "fp"])
+        return pa.RecordBatch.from_arrays([block.column(0), pa.array(found), *block.columns[2:]], names=[key, "fp", *carry])
 
-    return map_texts(docs.select(F.col(key).cast("long").alias(key), column), run, f"{key} long, fp long", column)
+    return map_texts(docs.select(F.col(key).cast("long").alias(key), column, *carry), run, ", ".join(f"{c} long" for c in (key, "fp", *carry)), column)
 
 
 def ball_links(nodes: DataFrame) -> DataFrame:
@@ -142,7 +142,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
 
 
 def first_of_each_group(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH) -> DataFrame:
-    """The row of docs whose key is the smallest of its near-duplicate group. Of rows that repeat that key one stays.
-    Rows with a null key go."""
-    kept = near_duplicates(docs, key, column, width).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """The row of docs whose (key, hash of text) is the smallest of its near-duplicate group. Groups are of fingerprints,
+    so different texts under one key are judged apart; of rows that repeat key and text one stays. Rows with a null key
+    go."""
+    own = docs.where(F.col(key).isNotNull()).withColumn("__text", F.xxhash64(column))
+    found = materialise(fingerprints(own, key, column, width, "__text"), "fingerprints")
+    nodes = materialise(found.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
+    groups = connected_components(ball_links(nodes)).withColumnRenamed("node", "fp")
+    group = F.coalesce("component", "fp").alias("group")
+    kept = found.join(groups, "fp", "left").groupBy(group).agg(F.min(F.struct(key, "__text")).alias("first")).select("first.*").distinct()
+    return own.join(kept, [key, "__text"], "left_semi").dropDuplicates([key, "__text"]).select(*docs.columns)

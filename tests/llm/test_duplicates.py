@@ -45,6 +45,12 @@ def test_simhash(spark):
     assert simhash.near_duplicates(documents(spark)).count() == len(texts()) + 2
 
 
+def test_different_texts_under_one_key_stay(spark):
+    rows = [(1, prose(40, 80)), (5, prose(41, 80)), (5, prose(42, 80)), (5, prose(42, 80)), (6, prose(42, 80)), (7, prose(41, 80))]
+    got = simhash.first_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(set(rows[:4]))
+
+
 def test_ball_links_connect_all_within_three_bits(spark):
     import random
 
