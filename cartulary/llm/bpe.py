@@ -1,8 +1,9 @@
 """Operators 10 and 5 share this: byte-level BPE of whole texts through the tokenizers library, over Arrow batches.
 
-The library is asked for each distinct piece of text once per worker; a bounded table keeps its answers. A text is
-cut only where the split pattern of byte-level BPE surely cuts: before a single space between two characters that
-are no white space. So the ids of a text are the ids of its pieces, one after the other.
+All texts of a block are cut at once where the split pattern of byte-level BPE surely cuts, by looking at the kinds of
+neighbouring bytes. Each distinct piece of a block is looked up in a bounded table of answers, and only pieces that
+aren't in it go to the library: to its model if the piece is one match of the pattern, else to the whole tokenizer. The
+ids of the texts are then gathered from those of the distinct pieces, and decoding gathers bytes by id, with numpy.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,29 +23,28 @@ from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
 from .common import extended, map_texts
 
-#: Pieces in each of the two tables of answers that a worker keeps: when the young one is full it becomes the old
-#: one, and answers found in the old one go to the young one.
+#: Pieces in each generation of the table of answers that a worker keeps.
 KEPT = 300_000
+#: Text bytes that are cut and looked up at once, and characters of the longest piece whose answer is kept.
+BLOCK_BYTES, LONGEST_KEPT = 4 << 20, 64
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: The split pattern on pieces of Latin letters, ASCII signs other than the apostrophe, and single line ends.
-_PART = re.compile(rf"[{_LETTER}]+|[!-&(-/:-@\[-`{{-~]+|\n(?!\n)")
-_WORD = re.compile(rf"[{_LETTER}]+")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-_MARK = re.compile(r"[\x01-\x03]")
-#: Kinds of bytes in plain texts: 0 letters and digits (bytes of Latin letters beyond ASCII too), 1 commas and stops,
-#: 2 space, 3 line end, 4 other signs; 7 has no place in a plain text.
-_KIND = np.full(256, 7, np.uint8)
-_KIND[33:127] = 4
-_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = 0
-_KIND[[ord(","), ord(".")]], _KIND[32], _KIND[10] = 1, 2, 3
-#: Neighbours in plain texts: white space and signs never stand side by side, but for white space after a comma or stop,
-#: and other signs next to each other or to white space.
-_BESIDE = np.zeros((8, 8), bool)
-_BESIDE[0, :5] = _BESIDE[:5, 0] = True
-_BESIDE[1, 2] = _BESIDE[1, 3] = _BESIDE[4, 4] = _BESIDE[4, 2] = _BESIDE[2, 4] = _BESIDE[4, 3] = _BESIDE[3, 4] = True
-_BESIDE = _BESIDE.ravel()
-#: In plain texts, marks stand for signs that are cut off the words before them.
-_SIGNS = {"\x01": ",", "\x02": ".", "\x03": "\n"}
+#: Pieces that are one match of the split pattern.
+_ONE = re.compile(rf" ?(?:[{_LETTER}]+|[0-9]+|[!-&(-/:-@\[-`{{-~]+)|[\t\v\f\r]")
+
+# Kinds of bytes. Letters are ASCII and Latin ones (lead bytes 0xC3 to 0xC8, less two signs); of all other characters
+# beyond ASCII, and of control characters, nothing is said.
+_L, _N, _S, _A, _SP, _W, _U = range(7)  # letter, digit, sign, apostrophe, space, other white space, unknown
+_KIND = np.full(256, _U, np.uint8)
+_KIND[33:127] = _S
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = _L
+_KIND[48:58], _KIND[39], _KIND[32], _KIND[9:14] = _N, _A, _SP, _W
+_INK = np.array([True] * 4 + [False] * 3)
+#: Whether the pattern cuts between two kinds, whatever stands around them: letters, digits and signs are different
+#: matches, but an apostrophe may belong to signs before it or to letters after it; and white space never follows ink
+#: within a match. An entry a pair, the first kind times eight.
+_CUTS = np.zeros(64, bool)
+for _a, _next in ((_L, (_N, _S, _A, _SP, _W)), (_N, (_L, _S, _A, _SP, _W)), (_S, (_L, _N, _SP, _W)), (_A, (_N, _SP, _W))):
+    _CUTS[[_a * 8 + _b for _b in _next]] = True
 
 
 def byte_characters() -> list[str]:
@@ -97,81 +99,122 @@ def tokenizer_of_json(path: str) -> Tokenizer:
     return made
 
 
-def is_plain(text: str) -> bool:
-    """Whether a text is words, single spaces, line ends and signs in places where commas, stops and line ends can be cut
-    off the words before them."""
-    kinds = _KIND[np.frombuffer(text.encode(errors="surrogatepass"), np.uint8)]
-    if kinds[0] in (1, 2, 3) or kinds[-1] in (2, 3) or not _BESIDE[kinds[:-1] * np.uint8(8) + kinds[1:]].all() or kinds[0] == 7:
-        return False
-    return "×" not in text and "÷" not in text  # the two signs among the Latin letters
-
-
-def pieces_of(text: str) -> list[str]:
-    """The text in pieces, between which the split pattern surely cuts. All but the first follow a space that isn't in
-    the list, or start with a mark that stands for a sign."""
-    if is_plain(text):
-        return text.replace(",", " \x01").replace(".", " \x02").replace("\n", " \x03").split(" ")
-    return [text] if _MARK.search(text) else _SAFE.split(text)
-
-
-class Answers(dict):
-    """A bounded table of answers in two generations."""
-
-    def __init__(self, ask, most: int):
-        super().__init__()
-        self.ask, self.most, self.old = ask, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if (out := self.old.get(key)) is None:
-            out = self.ask(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """Kinds of the bytes of UTF-8 texts."""
+    kinds = _KIND[data]
+    at = np.flatnonzero((kinds == _U) & (data >= 0xC0))
+    for _ in range(3):  # the other bytes of characters that nothing is said of
+        at = at[at + 1 < len(data)] + 1
+        at = at[(data[at] & 0xC0) == 0x80]
+        kinds[at] = _U
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    at = at[(data[at + 1] == 0x97) | (data[at + 1] == 0xB7)]  # the two signs among the Latin letters
+    kinds[at] = kinds[at + 1] = _U
+    return kinds
+
+
+def pieces_of(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places where texts (of which starts has the first bytes) are cut, so that no match of the split pattern lies across."""
+    kinds = kinds_of(data)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = _CUTS[kinds[:-1] * np.uint8(8) + kinds[1:]]
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    # A tab or line end that stands alone between ink, or between the start of a text and ink, is a match of its own.
+    after = np.flatnonzero(kinds[:-1] == _W) + 1
+    alone = _INK[kinds[after]] & (first[after - 1] | _INK[kinds[np.maximum(after - 2, 0)]])
+    cut[after[alone]] = True
+    cut |= first
+    return np.flatnonzero(cut[:-1])
+
+
+def gathered(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values, the k-th of which ends at ends[k]: the runs that ``which`` names, one after the other, and their lengths."""
+    lengths = np.diff(ends, prepend=0)
+    sizes = lengths[which]
+    stops = np.cumsum(sizes)
+    shift = (ends - lengths)[which] - (stops - sizes)
+    kind = np.int32 if max(len(values), int(stops[-1]) if len(stops) else 0) < 1 << 31 else np.int64
+    places = np.repeat(shift.astype(kind), sizes)
+    places += np.arange(len(places), dtype=kind)
+    return values[places], sizes
+
+
+def runs(values: Iterable[bytes], kind: str = "u1") -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as runs for ``gathered``."""
+    values = list(values)
+    flat = np.frombuffer(b"".join(values), kind)
+    return flat, np.cumsum(np.fromiter(map(len, values), np.int64, len(values))) // flat.itemsize
+
+
+class Answers:
+    """A bounded table of answers in two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        if (out := self.young.get(key)) is None and (out := self.old.get(key)) is not None:
+            self.young[key] = out
         return out
 
+    def put(self, new: dict[str, bytes]) -> None:
+        self.young |= new
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
 
 #: Ids as little-endian unsigned 32-bit integers.
 _PACKED: list[bytes] = []
 
 
 class Encoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit integers."""
+    """Ids of texts."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.shown = str.maketrans({chr(i): c for i, c in enumerate(byte_characters())})
-        self.space = byte_characters()[32]
         while len(_PACKED) <= tokenizer.get_vocab_size():
             _PACKED.append(len(_PACKED).to_bytes(4, "little"))
-        self.pieces, self.parts = Answers(self.piece, KEPT), Answers(self.part, KEPT // 6)
+        self.kept = Answers(KEPT)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = pieces_of(text)
-        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+        """The ids of one text as little-endian unsigned 32-bit integers."""
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. Nulls have none."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        offsets = offsets - offsets[0]
+        places = pieces_of(data, offsets[:-1])
+        pieces = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(data)).astype(np.int64)), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        flat, ends = runs(self.answers(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), "<u4")
+        ids, sizes = gathered(flat, ends, coded.indices.to_numpy())
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, np.diff(before[np.searchsorted(places, offsets)])
+
+    def answers(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces. Those of one match of the split pattern go to the library's model, as the characters
+        of their bytes; others go to the whole tokenizer."""
+        found = list(map(self.kept.get, pieces))
+        asked = [p for p, x in zip(pieces, found) if x is None]
+        single = list(filter(_ONE.fullmatch, asked))
+        new = {p: self.whole(p) for p in set(asked).difference(single)}
+        tokenize, packed = self.model.tokenize, _PACKED
+        # None of these holds a line feed, so they are turned into characters of bytes together.
+        shown = "\n".join(single).encode().decode("latin-1").translate(self.shown).split(self.shown[10]) if single else ()
+        new |= {p: b"".join([packed[t.id] for t in tokenize(s)]) for p, s in zip(single, shown)}
+        self.kept.put({p: x for p, x in new.items() if len(p) <= LONGEST_KEPT})
+        return [new[p] if x is None else x for p, x in zip(pieces, found)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        """A word after a space is one match of the split pattern. Of other pieces, the parts are asked for one by one
-        where the pattern of parts covers them."""
-        if piece.isalpha() and (piece.isascii() or _WORD.fullmatch(piece)):
-            return self.part(" " + piece)
-        lead, text = ("", _SIGNS[piece[0]] + piece[1:]) if piece[:1] in _SIGNS else (" ", piece)
-        found = _PART.findall(text)
-        if not found or sum(map(len, found)) != len(text):
-            return self.whole(lead + text)
-        found[0] = lead + found[0]
-        return b"".join(map(self.parts.__getitem__, found))
-
-    def part(self, text: str) -> bytes:
-        """One match of the split pattern: the library's model gets the characters of its bytes."""
-        shown = text.replace(" ", self.space) if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(self.shown)
-        return b"".join([_PACKED[t.id] for t in self.model.tokenize(shown)])
-
 
 _MADE: dict[tuple[str, str], Encoder] = {}
 
@@ -217,7 +260,8 @@ def encode_texts(docs: DataFrame, path: str, kind: str = "ranks", column: str =
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         own, table = encoder(kind, path), decode_table(kind, path)
-        ids = [np.frombuffer(own.encode(x or ""), "<u4").tolist() for x in block.column(column).to_pylist()]
+        flat, counts = own.encode_all(block.column(column))
+        ids = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if len(counts) else []
         spans = [offsets(x, table) for x in ids]
         made = [pa.array(ids, pa.list_(pa.int32()))] + [pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([*block.columns, *made], names=[*names, "ids", "token_starts", "token_ends"])
@@ -247,23 +291,34 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", column: str = "t
     its ids are held as 4 bytes each. Other columns of docs are not read. An empty table gives an empty result."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
-        own, table = encoder("ranks", path), decode_table("ranks", path)
-        shown = _decimals(len(table))
-        n, ids_hex, decoded_hex = [], [], []
-        for text in block.column(column).to_pylist():
-            ids = np.frombuffer(own.encode(text or ""), "<u4").tolist()
-            n.append(len(ids))
-            ids_hex.append(hashlib.sha256(b",".join([shown[i] for i in ids])).hexdigest())
-            decoded_hex.append(hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest())
-        return pa.RecordBatch.from_arrays([block.column(key), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(decoded_hex)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids, n = encoder("ranks", path).encode_all(block.column(column))
+        table = decode_table("ranks", path)
+        commas, n_decimals = gathered(*_decimals(len(table)), ids)
+        decoded, n_bytes = gathered(*_decode_runs(path, table), ids)
+        ends = np.cumsum(n)
+        sha = lambda data, sizes, less: [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in _spans(sizes, ends, n)]
+        return pa.RecordBatch.from_arrays([block.column(key), pa.array(n, pa.int64()), pa.array(sha(commas, n_decimals, 1)), pa.array(sha(decoded, n_bytes, 0))], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_texts(docs.select(F.col(key).cast("long").alias(key), column), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", column, BLOCK_BYTES)
+
+
+def _spans(sizes: np.ndarray, ends: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """Where the bytes of each text lie, if each of its ids has so many."""
+    before = np.concatenate(([0], np.cumsum(sizes)))
+    return list(zip(before[ends - n].tolist(), before[ends].tolist()))
+
 
-    return map_texts(docs.select(F.col(key).cast("long").alias(key), column), run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", column)
+_RUNS: dict[object, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_SHOWN: list[bytes] = []
+def _decode_runs(path: str, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    if path not in _RUNS:
+        _RUNS[path] = runs(table)
+    return _RUNS[path]
 
 
-def _decimals(n: int) -> list[bytes]:
-    if len(_SHOWN) < n:
-        _SHOWN[:] = [b"%d" % i for i in range(n)]
-    return _SHOWN
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each id as a decimal and a comma."""
+    if n not in _RUNS:
+        _RUNS[n] = runs(b"%d," % i for i in range(n))
+    return _RUNS[n]

@@ -58,11 +58,11 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", most: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow with text_blocks before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, column):
+        for block in text_blocks(batches, column, most):
             if (out := function(block)) is not None and out.num_rows:
                 yield out
 

@@ -1,6 +1,7 @@
 """Operator 5: token ids in binary files, a wavelet matrix per shard.
 
-A shard is a run of documents in ascending key order. Its file holds the keys and token counts of its documents, and
+A shard is a run of documents in ascending key order; a task writes one or several, so what it holds is bounded by a
+shard and the number of tasks by the input. Its file holds the keys and token counts of its documents, and
 the ids of all of them as bit planes: plane 0 has the highest bit of each id in order, and each further plane the next
 bit, after a stable partition by the bit before. Planes are cut into blocks, compressed one by one, with the number of
 ones before each block, so that token access, counting and occurrence lookup open a block a plane and no more.
@@ -8,25 +9,28 @@ ones before each block, so that token access, counting and occurrence lookup ope
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .bpe import encoder
-from .common import scratch_path, text_blocks, utf8_size
+from .bpe import BLOCK_BYTES, encoder
+from .common import materialise, scratch_path, shuffle_partitions, text_blocks, utf8_size
 
 MAGIC, END_ID = b"CWM1", 2
-#: Text bytes a shard, about; what a task holds is the shard's ids, 4 bytes each.
-SHARD_BYTES = 12 << 20
+#: Text bytes a shard, about, and a task at most, about. What a task holds is the ids of a shard.
+SHARD_BYTES, TASK_BYTES = 32 << 20, 512 << 20
+#: Shards whose starts one window sums up.
+_GROUP = 4096
 #: Bytes of a plane in one compressed block.
 BLOCK = 1 << 15
 _NO_KEY = np.iinfo(np.int64).min
@@ -37,15 +41,15 @@ def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, bits: int) -> b
     pack, level, planes, ones = zstandard.ZstdCompressor(level=1).compress, ids, [], []
     for b in range(bits - 1, -1, -1):
         bit = (level & level.dtype.type(1 << b)) != 0
+        low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
         packed = np.packbits(bit)
         sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
         ones.append(np.concatenate(([0], np.cumsum(sums))))
         packed = packed.tobytes()
         planes.append([pack(packed[i : i + BLOCK]) for i in range(0, len(packed), BLOCK)])
-        below = np.empty_like(level)
-        zeros = len(level) - int(ones[-1][-1])
-        below[:zeros], below[zeros:] = level[~bit], level[bit]
-        level = below
+        if b == 8:  # the lower planes need no more than this
+            level = level.astype(np.uint8)
+        level = np.concatenate([level[low], level[high]])
     directory = pack(keys.astype("<i8").tobytes() + counts.astype("<i8").tobytes())
     index = pack(np.array(ones, "<i8").tobytes() + np.array([[len(x) for x in p] for p in planes], "<i8").tobytes())
     head = MAGIC + struct.pack("<QQIQQ", len(ids), len(keys), bits, len(directory), len(index))
@@ -124,74 +128,110 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: from the last plane up, each stable partition is undone."""
-        values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
+        values = np.zeros(self.n, np.uint8)
         for plane in range(self.bits - 1, -1, -1):
             blocks = [self._block(plane, b) for b in range(self._blocks)]
             self._known.clear()
             bit = np.concatenate(blocks)[: self.n].view(bool) if blocks else np.zeros(0, bool)
+            if self.bits - 1 - plane in (8, 16):  # wider numbers from this plane up
+                values = values.astype((np.uint16, np.uint32)[(self.bits - 1 - plane) // 16])
             above, zeros = np.empty_like(values), int(self.zeros[plane])
-            above[~bit] = values[:zeros]
-            above[bit] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~bit)] = values[:zeros]
+            above[np.flatnonzero(bit)] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = above
         return values.astype(np.uint32)
 
 
-def write_ids(docs: DataFrame, vocabulary: str, kind: str = "json", path: str | None = None, end_id: int = END_ID, key: str = "doc_id", column: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[str, list[tuple[int, int]]]:
-    """Writes one file a shard below path (a folder that all machines reach), in ascending key order, and returns the
-    path with (shard, its number of ids) in order: as many rows as there are files.
+class Shards:
+    """What write_ids() has written: a table (task, part, n) with one row a file, and their number."""
+
+    def __init__(self, path: str, table: DataFrame):
+        self.path, self.table, self.count = path, table, table.count()
+
+    def __len__(self) -> int:
+        return self.count
+
+    def starts(self) -> DataFrame:
+        """(task, part, start): the ids of all files before each. Sums of groups of tasks come to the driver."""
+        groups = self.table.withColumn("g", F.floor(F.col("task") / _GROUP))
+        sums, before = [], 0
+        for r in sorted(groups.groupBy("g").agg(F.sum("n").alias("n")).collect()):
+            sums.append((r["g"], before))
+            before += r["n"]
+        bases = self.table.sparkSession.createDataFrame(sums, "g long, base long")
+        order = Window.partitionBy("g").orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
+        return groups.withColumn("own", F.coalesce(F.sum("n").over(order), F.lit(0))).join(bases, "g").select("task", "part", (F.col("base") + F.col("own")).alias("start"))
+
+
+def _name(folder: str, task: int, part: int) -> str:
+    return f"{folder}/shard-{task:07d}-{part:05d}.cwm"
+
+
+def write_ids(docs: DataFrame, vocabulary: str, kind: str = "json", path: str | None = None, end_id: int = END_ID, key: str = "doc_id", column: str = "text", shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> tuple[str, Shards]:
+    """Writes the shards below path (a folder that all machines reach), in ascending key order, and returns the path and
+    what was written.
 
     Null and empty texts have the end id alone. Rows that repeat a key follow each other by hash of their text; null
-    keys come first. A file is written under a name of its own attempt and then renamed, so a task that runs twice
-    does no harm. An empty table writes no file."""
+    keys come first. A text of any length is in one shard, and is held whole. Other columns of docs are not read, so
+    their names can't clash. A file is written under a name of its own attempt and then renamed, so a task that runs
+    twice does no harm. An empty table writes no file."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "ids")
     total = docs.agg(F.sum(utf8_size(column) + 1)).first()[0] or 0
+    tasks = max(1, -(-total // max(task_bytes, shard_bytes)), min(-(-total // shard_bytes), shuffle_partitions(spark)))
     text = F.coalesce(F.col(column), F.lit(""))
     ordered = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_KEY)).alias("key"), F.xxhash64(text).alias("t"), text.alias("text"))
-    ordered = ordered.repartitionByRange(max(1, -(-total // shard_bytes)), "key", "t").sortWithinPartitions("key", "t")
+    ordered = ordered.repartitionByRange(tasks, "key", "t").sortWithinPartitions("key", "t")
 
     def run(batches):
-        own, keys, counts, ids = encoder(kind, vocabulary), [], [], []
-        end = struct.pack("<I", end_id)
-        for batch in text_blocks(batches):
-            keys.append(batch.column(0).to_numpy())
-            made = [own.encode(x) + end for x in batch.column(2).to_pylist()]
-            counts.append(np.array([len(x) // 4 for x in made], np.int64))
-            ids.append(np.frombuffer(b"".join(made), "<u4"))
-        if not keys:
-            return
-        shard, all_ids = TaskContext.get().partitionId(), np.concatenate(ids)
+        own, task, part = encoder(kind, vocabulary), TaskContext.get().partitionId(), 0
         bits = max(int(own.tokenizer.get_vocab_size() - 1), end_id, 1).bit_length()
-        data = build(all_ids.astype(np.uint16) if bits <= 16 else all_ids, np.concatenate(keys), np.concatenate(counts), bits)
         fs, folder = pa.fs.FileSystem.from_uri(path)
         fs.create_dir(folder, recursive=True)
-        trial = f"{folder}/_{uuid.uuid4().hex}"
-        with fs.open_output_stream(trial) as f:
-            f.write(data)
-        fs.move(trial, f"{folder}/shard-{shard:07d}.cwm")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(all_ids)], pa.int64())], names=["shard", "n"])
+        keys, counts, ids, held = [], [], [], 0
+
+        def write() -> pa.RecordBatch:
+            all_ids = np.concatenate(ids)
+            trial = f"{folder}/_{uuid.uuid4().hex}"
+            with fs.open_output_stream(trial) as f:
+                f.write(build(all_ids, np.concatenate(keys), np.concatenate(counts), bits))
+            fs.move(trial, _name(folder, task, part))
+            for x in (keys, counts, ids):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (task, part, len(all_ids))], names=["task", "part", "n"])
+
+        for batch in text_blocks(batches, most=min(BLOCK_BYTES, shard_bytes)):
+            keys.append(batch.column(0).to_numpy())
+            made, n = own.encode_all(batch.column(2))
+            counts.append(n + 1)
+            ids.append(np.insert(made.astype(np.uint16 if bits <= 16 else np.uint32), np.cumsum(n), end_id))
+            held += pc.sum(pc.binary_length(batch.column(2))).as_py() + batch.num_rows
+            # Ranges are only about equal, so a file of half as much again is rather written than a small one after it.
+            if 2 * held >= 3 * shard_bytes:
+                yield write()
+                part, held = part + 1, 0
+        if keys:
+            yield write()
 
-    written = ordered.mapInArrow(run, "shard long, n long").collect()
-    return path, sorted((r[0], r[1]) for r in written)
+    return path, Shards(path, materialise(ordered.mapInArrow(run, "task long, part long, n long"), "id-shards"))
 
 
-def read_ids(spark, path: str, shards: list[tuple[int, int]], key: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32, with_ids: ids) of every document, from the files. start counts the ids of all documents
-    before; a shard's first one follows from the sizes of the shards before it."""
-    base, at = {}, 0
-    for shard, n in shards:
-        base[shard], at = at, at + n
+def read_ids(spark: SparkSession, path: str, shards: Shards, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32, with_ids: ids) of every document, from the files. start counts the ids of all
+    documents before; a shard's first one follows from the sizes of the shards before it."""
 
     def run(batches):
+        fs, folder = pa.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m, start = WaveletMatrix(data), base[int(re.search(r"shard-(\d+)\.cwm$", name)[1])]
+            for task, part, start in zip(*(c.to_pylist() for c in batch.columns)):
+                with fs.open_input_stream(_name(folder, task, part)) as f:
+                    m = WaveletMatrix(f.read())
                 ids = m.tokens().astype("<u4")
                 ends = np.cumsum(m.counts)
                 begins = ends - m.counts
                 for i in range(0, len(ends), 2000):
                     some = slice(i, i + 2000)
-                    sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins[some], ends[some])]
+                    sums = [zlib.crc32(ids[a:b]) for a, b in zip(begins[some].tolist(), ends[some].tolist())]
                     keys = m.keys[some]
                     made = [pa.array(keys, mask=keys == _NO_KEY), pa.array(start + begins[some]), pa.array(m.counts[some]), pa.array(sums, pa.int64())]
                     if with_ids:
@@ -199,10 +239,10 @@ def read_ids(spark, path: str, shards: list[tuple[int, int]], key: str = "doc_id
                     yield pa.RecordBatch.from_arrays(made, names=[key, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    if not shards:
+    if not len(shards):
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cwm").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    # Only places travel, a few files a task; the task opens them.
+    return shards.starts().repartition(min(len(shards), 4 * shuffle_partitions(spark)), "task", "part").mapInArrow(run, schema)
 
 
 def id_report(docs: DataFrame, vocabulary: str) -> DataFrame:

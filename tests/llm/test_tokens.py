@@ -43,6 +43,35 @@ def test_any_text_as_tiktoken_and_tokenizers(text, tik, hug):
     assert b"".join(table[i] for i in ids_of("ranks", RANKS, text)).decode() == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(many=st.lists(st.one_of(st.none(), st.text(alphabet=st.one_of(st.sampled_from(" .,\n\t\r'!aAzé0×\x01\x1c\x85　ɐ"), st.characters(exclude_categories=["Cs"])), max_size=12)), max_size=8))
+def test_texts_of_a_block_are_told_apart(many, tik, hug):
+    import pyarrow as pa
+
+    for kind, path, want in (("ranks", RANKS, tik.encode_ordinary), ("json", JSON, lambda t: hug.encode(t, add_special_tokens=False).ids)):
+        ids, counts = bpe.encoder(kind, path).encode_all(pa.array(["before", *many], pa.string()).slice(1))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(many)] == [want(t or "") for t in many]
+
+
+def test_answers_are_bounded(hug):
+    import pyarrow as pa
+
+    own = bpe.Encoder(bpe.tokenizer_of_json(JSON))
+    own.kept.most = 50
+    for i in range(40):
+        text = " ".join(f"w{i}x{j} same" for j in range(30))
+        assert own.encode_all(pa.array([text]))[0].tolist() == hug.encode(text, add_special_tokens=False).ids
+    assert len(own.kept.young) + len(own.kept.old) <= 4 * 50 + 200
+
+
+def test_several_shards_a_task(spark):
+    docs = documents(spark)
+    _, some = wavelet.write_ids(docs, JSON, shard_bytes=3000, task_bytes=20_000)
+    parts = {(r["task"], r["part"]) for r in some.table.collect()}
+    whole = wavelet.read_ids(spark, *wavelet.write_ids(docs, JSON)).orderBy("start").collect()
+    assert max(p for _, p in parts) > 0 and wavelet.read_ids(spark, some.path, some).orderBy("start").collect() == whole
+
+
 def test_offsets_cover_split_characters():
     table = bpe.decode_table("ranks", RANKS)
     text = "a🎉é b"
