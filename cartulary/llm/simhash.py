@@ -6,11 +6,12 @@ fingerprints at odd distance have weights of different parity, so the two balls
 emit the variant in the middle.
 
 Each variant has an owner among the fingerprints within one bit of it. Whoever else emits the variant is within two
-bits of it, so within three of the owner: the link owner-member is true without looking at pairs, and a group of any
-size gives one link a member.
+bits of it, so within three of the owner: a variant gives the links owner-member and no other pairs, and a group of any
+size one link a member. The distance of every link is verified on both fingerprints.
 
-Variants aren't shuffled one by one. ROUTE bits of the fingerprint choose the task: only the variants that differ in
-those bits are emitted before the shuffle (1 + 10 + 45 rows at most), and each task makes the rest of its balls itself.
+Variants aren't shuffled one by one. Some bits of the fingerprint, as many as the number of fingerprints asks for, choose
+the task: only the variants that differ in those bits are emitted before the shuffle (56 rows at most for 10 bits, 211
+for 20), and each task makes the rest of its balls itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialise, shuffle_partitions
 from .components import connected_components
 
-RADIUS, WIDTH, ROUTE = 3, 3, 10
+RADIUS, WIDTH = 3, 3
+#: Bits that choose the task, from least to most.
+ROUTES = range(10, 25)
 #: Fingerprint rows that a task of the join gets, about: each makes up to 1,431 variants.
 TASK_ROWS = 60_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
@@ -65,68 +68,74 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", column: str = "text", wid
 def ball_links(nodes: DataFrame) -> DataFrame:
     """nodes(fp, node), fp distinct -> links (a, b) of nodes within RADIUS bits that connect whatever is within it."""
     spark, n = nodes.sparkSession, nodes.count()
-    parts = max(shuffle_partitions(spark), n * 34 // TASK_ROWS)
-    flips = [(0, 0)] + [(1 << i, 1) for i in range(ROUTE)] + [((1 << i) | (1 << j), 2) for i in range(ROUTE) for j in range(i)]
+    # Half of the fingerprints are sent 1 + r times and half 1 + r + r * (r - 1) / 2 times, to 2 ** r routes.
+    sent_rows = {r: n * (1 + r + r * (r - 1) // 4) for r in ROUTES}
+    route = next((r for r in ROUTES if sent_rows[r] >> r <= TASK_ROWS), ROUTES[-1])
+    parts = max(shuffle_partitions(spark), sent_rows[route] // TASK_ROWS)
+    flips = [(0, 0)] + [(1 << i, 1) for i in range(route)] + [((1 << i) | (1 << j), 2) for i in range(route) for j in range(i)]
     table = F.array(*[F.struct(F.lit(f).cast("long").alias("flip"), F.lit(d).cast("int").alias("used")) for f, d in flips])
     odd = F.bit_count("fp") % 2 == 1
     sent = (
-        nodes.select("fp", "node", F.explode(F.when(odd, F.slice(table, 1, ROUTE + 1)).otherwise(table)).alias("r"))
-        .select(F.col("fp").bitwiseXOR(F.col("r.flip")).alias("base"), "node", F.col("r.used").alias("used"), (F.bit_count("fp") % 2).alias("odd"))
-        .repartition(parts, F.col("base").bitwiseAND(F.lit((1 << ROUTE) - 1).cast("long")))
+        nodes.select("fp", "node", F.explode(F.when(odd, F.slice(table, 1, route + 1)).otherwise(table)).alias("r"))
+        .select(F.col("fp").bitwiseXOR(F.col("r.flip")).alias("base"), "node", F.col("r.used").alias("used"), "fp")
+        .repartition(parts, F.col("base").bitwiseAND(F.lit((1 << route) - 1).cast("long")))
     )
-    return sent.mapInArrow(_meet, "a long, b long").distinct()
+    return sent.mapInArrow(lambda b: _meet(b, route), "a long, b long").distinct()
 
 
-def _meet(batches):
+def _meet(batches, route: int):
     """All rows of a task: whole routes, so whatever meets at a variant meets here."""
     rows = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()) for b in batches]
     if not rows:
         return
-    base, node, used, odd = (np.concatenate([r[k] for r in rows]) for k in range(4))
-    base = base.view(np.uint64)
-    rest = np.uint64(1) << np.arange(ROUTE, 64, dtype=np.uint64)
-    near, fresh = base[used <= 1], used == 0
-    inner = np.concatenate([near, (base[fresh, None] ^ rest).ravel()])
-    owner = np.concatenate([node[used <= 1], np.repeat(node[fresh], len(rest))])
-    order = np.lexsort((owner, inner))
+    base, node, used, fp = (np.concatenate([r[k] for r in rows]) for k in range(4))
+    base, fp = base.view(np.uint64), fp.view(np.uint64)
+    odd = np.bitwise_count(fp) % 2 == 1
+    rest = np.uint64(1) << np.arange(route, 64, dtype=np.uint64)
+    near, fresh = np.flatnonzero(used <= 1), np.flatnonzero(used == 0)
+    inner = np.concatenate([base[near], (base[fresh, None] ^ rest).ravel()])
+    owner = np.concatenate([near, np.repeat(fresh, len(rest))])  # as rows
+    order = np.lexsort((node[owner], inner))
     inner, owner = inner[order], owner[order]
     first = np.concatenate(([True], inner[1:] != inner[:-1])) if len(inner) else np.zeros(0, bool)
     heads, head_owner = inner[first], owner[first]
-    links = _pairs(owner, np.repeat(head_owner, np.diff(np.append(np.flatnonzero(first), len(inner)))))
+
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distinct links of rows, verified."""
+        true = (node[a] != node[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS)
+        return np.unique(np.stack([node[a[true]], node[b[true]]], axis=1), axis=0)
+
+    links = linked(owner, np.repeat(head_owner, np.diff(np.append(np.flatnonzero(first), len(inner)))))
     bits = np.uint64(min(25, max(12, int(16 * max(len(heads), 1)).bit_length())))
     spot = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - bits)
     taken = np.zeros(1 << int(bits), bool)
     taken[spot(heads)] = True
 
-    def outer(values: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    def outer(values: np.ndarray, members: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(taken[spot(values)])
         if not len(maybe) or not len(heads):
             return np.zeros((0, 2), np.int64)
-        values, nodes = values[maybe], nodes[maybe]
+        values, members = values[maybe], members[maybe]
         at = np.minimum(np.searchsorted(heads, values), len(heads) - 1)
         met = heads[at] == values
-        return _pairs(nodes[met], head_owner[at[met]])
+        return linked(members[met], head_owner[at[met]])
 
-    found = [links, outer(base[used == 2], node[used == 2])]
+    twice = np.flatnonzero(used == 2)
+    found, most = [links, outer(base[twice], twice)], 1 << 20
     pairs = np.array([rest[i] | rest[j] for i in range(len(rest)) for j in range(i)], np.uint64)
     for use, flips, chunk in ((1, rest, 4096), (0, pairs, 256)):
-        own = np.flatnonzero((used == use) & (odd == 0))
+        own = np.flatnonzero((used == use) & ~odd)
         for at in range(0, len(own), chunk):
             some = own[at : at + chunk]
-            found.append(outer((base[some, None] ^ flips).ravel(), np.repeat(node[some], len(flips))))
-            if sum(map(len, found)) > 1 << 20:
+            found.append(outer((base[some, None] ^ flips).ravel(), np.repeat(some, len(flips))))
+            if sum(map(len, found)) > most:
                 found = [np.unique(np.concatenate(found), axis=0)]
+                most = max(most, 2 * len(found[0]))
     out = np.unique(np.concatenate(found), axis=0)
     for at in range(0, len(out), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(out[at : at + 50_000, k]) for k in (0, 1)], names=["a", "b"])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distinct links; loops go."""
-    differ = a != b
-    return np.unique(np.stack([a[differ], b[differ]], axis=1), axis=0) if differ.any() else np.zeros((0, 2), np.int64)
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH) -> DataFrame:
     """Per row of docs: key, fingerprint (16 lowercase hex digits), component_id (smallest key reachable by links).
 
@@ -141,14 +150,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     return own.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each_group(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH) -> DataFrame:
+def first_of_each_group(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, null_keys: bool = False) -> DataFrame:
     """The row of docs whose (key, hash of text) is the smallest of its near-duplicate group. Groups are of fingerprints,
     so different texts under one key are judged apart; of rows that repeat key and text one stays. Rows with a null key
-    go."""
-    own = docs.where(F.col(key).isNotNull()).withColumn("__text", F.xxhash64(column))
+    go, or, with null_keys, are judged like any other and come after all keys, so that a text which no keyed document is
+    near to stays. Null, empty and blank texts are one group. Columns of docs stay as they are; an empty table gives an
+    empty result."""
+    own = docs.withColumn("__text", F.xxhash64(column))
+    own = own if null_keys else own.where(F.col(key).isNotNull())
     found = materialise(fingerprints(own, key, column, width, "__text"), "fingerprints")
     nodes = materialise(found.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
     groups = connected_components(ball_links(nodes)).withColumnRenamed("node", "fp")
     group = F.coalesce("component", "fp").alias("group")
-    kept = found.join(groups, "fp", "left").groupBy(group).agg(F.min(F.struct(key, "__text")).alias("first")).select("first.*").distinct()
-    return own.join(kept, [key, "__text"], "left_semi").dropDuplicates([key, "__text"]).select(*docs.columns)
+    least = F.min(F.struct(F.col(key).isNull().alias("__no_key"), F.coalesce(key, F.lit(0)).alias("__key"), "__text")).alias("first")
+    kept = found.join(groups, "fp", "left").groupBy(group).agg(least).select("first.*").distinct()
+    own = own.withColumn("__no_key", F.col(key).isNull()).withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(0)))
+    by = ["__no_key", "__key", "__text"]
+    return own.join(kept, by, "left_semi").dropDuplicates(by).select(*docs.columns)
