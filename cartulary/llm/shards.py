@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch_path, shuffle_partitions, utf8_size
 
 BINS = 1024
-#: Cells of a level at most whose medians are sought at once.
+#: Cells whose medians are sought at once: what a round brings to the driver is at most so many times BINS sums, and
+#: what it sends is a row a cell. A level of more cells is split in several goes.
 MOST_CELLS = 4096
 
 
@@ -39,11 +40,9 @@ class _Search:
     def step(self) -> int:
         return max(1, -(-(self.hi - self.lo + 1) // BINS))
 
-    def bin_of(self, cell: int) -> tuple[Column, Column]:
-        sought = F.col(self.by if self.value is None else "key")
-        here = (F.col("cell") == cell) & sought.between(self.lo, self.hi)
-        here = here if self.value is None else here & (F.col(self.by) == self.value)
-        return here, F.struct(F.lit(cell).alias("cell"), F.call_function("div", sought - self.lo, F.lit(self.step).cast("long")).alias("bin"))
+    def row(self, cell: int) -> tuple:
+        """The bracket as a row of the table of searches."""
+        return cell, self.by, self.value, self.lo, self.hi, self.step
 
     def narrow(self, sums: list[tuple[int, int]], keys: tuple[int, int]) -> int | None:
         """Narrows the bracket to the bin where the weight reaches left; the last key of the lower part, once found."""
@@ -62,16 +61,28 @@ class _Search:
         return self.lo if w - self.left <= self.left else self.lo - 1
 
 
+def _dimension(names: list[str]) -> Column:
+    """The value of the dimension that column ``by`` names."""
+    out = F.when(F.col("by") == names[0], F.col(names[0]))
+    for name in names[1:]:
+        out = out.when(F.col("by") == name, F.col(name))
+    return out
+
+
 def _medians(rows: DataFrame, searches: dict[int, _Search], keys: tuple[int, int]) -> dict[int, tuple[int, int]]:
     """rows(cell, key, weight, dimensions) -> for each cell the greatest (value, key) of its lower part, which weighs as
     near to the wanted weight as any."""
     done: dict[int, tuple[int, int]] = {}
+    spark, dimensions = rows.sparkSession, sorted({s.by for s in searches.values()})
     while searches:
-        bins = None
-        for c, s in searches.items():
-            bins = F.when(*s.bin_of(c)) if bins is None else bins.when(*s.bin_of(c))
+        table = spark.createDataFrame([s.row(c) for c, s in searches.items()], "cell long, by string, value long, lo long, hi long, step long")
+        met = rows.join(F.broadcast(table), "cell")  # MOST_CELLS rows at most
+        found = _dimension(dimensions)
+        sought = F.when(F.col("value").isNull(), found).otherwise(F.col("key"))
+        here = sought.between(F.col("lo"), F.col("hi")) & (F.col("value").isNull() | (found == F.col("value")))
+        bins = met.where(here).groupBy("cell", F.call_function("div", sought - F.col("lo"), F.col("step")).alias("bin")).agg(F.sum("weight").alias("w"))
         sums: dict[int, list[tuple[int, int]]] = {}
-        for r in rows.select(bins.alias("b"), "weight").where("b IS NOT NULL").groupBy("b.cell", "b.bin").agg(F.sum("weight").alias("w")).collect():
+        for r in bins.collect():
             sums.setdefault(r[0], []).append((r[1], r[2]))
         for c in list(searches):
             if (key := searches[c].narrow(sorted(sums[c]), keys)) is not None:
@@ -81,7 +92,7 @@ def _medians(rows: DataFrame, searches: dict[int, _Search], keys: tuple[int, int
 
 def tree_leaves(rows: DataFrame, dimensions: list[str], shards: int | None, target: int | None) -> DataFrame:
     """rows(key, weight, dimensions) -> rows with ``cell``: the number of the leaf, in the order of the tree."""
-    rows = rows.withColumn("cell", F.lit(0))
+    rows = rows.withColumn("cell", F.lit(0).cast("long"))
     wanted: dict[int, int] = {0: shards or 0}
     low, high, *spans = rows.agg(F.min("key"), F.max("key"), *[F.max(d) - F.min(d) for d in dimensions]).first()
     whole = {d: max(s or 0, 1) for d, s in zip(dimensions, spans)}
@@ -100,24 +111,17 @@ def tree_leaves(rows: DataFrame, dimensions: list[str], shards: int | None, targ
         if not cells:
             break
         cuts = _medians(rows, dict(cells), (low, high))
-        lower = None
-        for c, (value, key) in cuts.items():
-            by = F.col(cells[c].by)
-            here = F.when((by < value) | ((by == value) & (F.col("key") <= key)), 2 * c + 1).otherwise(2 * c + 2)
-            lower = F.when(F.col("cell") == c, here) if lower is None else lower.when(F.col("cell") == c, here)
-            if shards:
-                wanted[2 * c + 1], wanted[2 * c + 2] = wanted[c] // 2, wanted[c] - wanted[c] // 2
-        rows = rows.withColumn("cell", lower.otherwise(F.col("cell")))
+        for c in cuts if shards else ():
+            wanted[2 * c + 1], wanted[2 * c + 2] = wanted[c] // 2, wanted[c] - wanted[c] // 2
+        table = rows.sparkSession.createDataFrame([(c, cells[c].by, value, key) for c, (value, key) in cuts.items()], "cell long, by string, cut long, cut_key long")
+        by = _dimension(dimensions)
+        side = F.when((by < F.col("cut")) | ((by == F.col("cut")) & (F.col("key") <= F.col("cut_key"))), 1).otherwise(2)
+        split = F.when(F.col("by").isNull(), F.col("cell")).otherwise(2 * F.col("cell") + side)
+        # A level is a table of its own, so the plan stays as small as its first one.
+        rows = materialise(rows.join(F.broadcast(table), "cell", "left").select(*[c for c in rows.columns if c != "cell"], split.alias("cell")), "cells")
     return rows
 
 
-def _numbered(cell_order: list[int]) -> Column:
-    out = None
-    for i, c in enumerate(cell_order):
-        out = F.when(F.col("cell") == c, i) if out is None else out.when(F.col("cell") == c, i)
-    return F.lit(0) if out is None else out
-
-
 def _in_order(cells: list[int]) -> list[int]:
     """Leaves from left to right: by the path from the root."""
 
@@ -150,7 +154,8 @@ def assign(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = N
     """Per row of docs: key, size (UTF-8 bytes and one), text_crc32, shard, slot, and the columns to carry. Give shards, or target_bytes for leaves.
 
     Null texts have size 1 and checksum 0, as empty ones. Null keys come before all others. Equal rows may part: bytes
-    bind, not copies. Shards that get no row (fewer rows than shards) stay empty. Documents are single units, so a
+    bind, not copies. Rows that tie in everything but their place in the table are parted by no rule. Texts of any length
+    count with their bytes alone. Other columns of docs are not read, so their names can't clash. Shards that get no row (fewer rows than shards) stay empty. Documents are single units, so a
     shard's bytes differ from its share by less than the documents at its cuts. An empty table gives an empty result."""
     named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(key).cast("long").alias("own"), (utf8_size(column) + 1).alias("size"), F.crc32(F.coalesce(F.col(column), F.lit(""))).alias("text_crc32"), *[c for c in ("source", "lang") if c in docs.columns], *carry)
     made = dimensions or {d: c for d, c in metadata(named, "key").items() if d not in ("source", "lang") or d in named.columns}
@@ -158,7 +163,9 @@ def assign(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = N
     rows = materialise(rows, "metadata")
     placed = tree_leaves(rows, [f"d_{d}" for d in made], shards, target_bytes)
     order = _in_order([r[0] for r in placed.select("cell").distinct().collect()])
-    out = slots(placed.select("own", "key", F.col("weight").alias("size"), "text_crc32", *carry, _numbered(order).cast("int").alias("shard")), "shard", "key")
+    numbers = docs.sparkSession.createDataFrame([(c, i) for i, c in enumerate(order)], "cell long, shard int")
+    placed = placed.join(numbers, "cell")  # Spark broadcasts the table of leaves if it is small
+    out = slots(placed.select("own", "key", F.col("weight").alias("size"), "text_crc32", *carry, "shard"), "shard", "key")
     return out.select(F.col("own").alias(key), "size", "text_crc32", "shard", "slot", *carry)
 
 
