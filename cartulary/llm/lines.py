@@ -1,27 +1,24 @@
 """Operator 3: line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Lines are the parts of a text between line feeds, words the parts of a line between single spaces, and the edit
-distance of two lines counts inserted, deleted and replaced words. A line is removed if an equal line, or one within
-the edit bound of one word, stands earlier: in a document of a smaller key, or further up in the same document. This
-is judged on the input, not on what is left.
+Lines are the parts of a text between line feeds. A line is a sequence of units: of words (the parts between single
+spaces) if it has ``MIN_WORDS`` of them, else of characters. A line is removed if an equal line stands earlier, in a
+document of a smaller key or further up in the same document, or if a line of the same kind of units that is one
+inserted, deleted or replaced unit away does. Lines of characters are compared from ``MIN_CHARS`` on: in shorter ones
+(a number in a heading, say) one character is a difference of its own. This is judged on the input, not on what is left.
 
 1. Occurrences are reduced to distinct lines (128 bits of hash) with their earliest place.
 2. Two lines within one edit share their first or their last half: lines that share neither with any other line have
    no neighbour and are done. This only spares work, no pair is lost.
-3. Each other line emits itself and all its variants with one word deleted, as hashed keys made from running
-   exclusive ors, so the keys of a line of n words cost n steps and not n squared. Lines that meet at a variant deleted
-   at the same position differ by one replaced word; a line that equals another's variant differs by one deleted word.
+3. Each other line emits itself and all its variants with one unit deleted, as hashed keys made from running
+   exclusive ors, so the keys of a line of n units cost n steps and not n squared. Lines that meet at a variant deleted
+   at the same position differ by one replaced unit; a line that equals another's variant differs by one deleted unit.
    A key is reduced to the earliest line at it, so a group of any size yields one link a member and no pairs.
-4. The edit distance of each line and its earliest neighbour is verified on their words.
+4. The edit distance of each line and its earliest neighbour is verified on their units.
 
-Lines of fewer than ``MIN_WORDS`` words are only removed as exact copies, and blank lines always stay.
-
-With ``wide``, the bound grows with the line, and a line also goes if an earlier one of as many words has at most two
-replaced words (lines of 20 words or more) or three (32 or more), or, under ``MIN_WORDS`` words and from ``MIN_CHARS``
-characters, if an earlier such line is one inserted, deleted or replaced character away. Lines within r replaced words
-share one of r + 1 segments, short lines one of their halves, so no such pair is lost. What meets is compared with the
-earliest line at its segment first; only lines that this leaves are compared with the others there. Two or three
-inserted or deleted words are still not found.
+With ``wide``, a line also goes if an earlier one of as many words has at most two replaced words (lines of 20 words or
+more) or three (32 or more). Lines within r replaced words share one of r + 1 segments, so no such pair is lost. What
+meets is compared with the earliest line at its segment first; only lines that this leaves are compared with the others
+there. Two or three inserted or deleted words are not found.
 """
 
 from __future__ import annotations
@@ -33,32 +30,59 @@ from pyspark.sql.window import Window
 
 from .common import materialise
 
-MIN_WORDS = 8
-#: Replaced words in lines of so many words at least, and characters of short lines that are compared; both for ``wide``.
+#: Words from which on a line is compared by words; characters from which on a shorter one is compared by characters.
+MIN_WORDS, MIN_CHARS = 8, 20
+#: Replaced words in lines of so many words at least, for ``wide``.
 REPLACED = ((32, 3), (20, 2))
-MIN_CHARS = 20
 _PLACE = T.DecimalType(38, 0)
-#: Lines of one document that a place can tell apart.
-_LINES = 1 << 40
+#: Bits of a place for the line, and for the hash of the text that tells rows of one key apart.
+_LINE_BITS, _TEXT_BITS = 31, 28
+_ROW = 1 << (_LINE_BITS + _TEXT_BITS)
+#: What a place is made of: key, hash of the text, line.
+AT = ("k", "t", "no")
+
+
+def _place() -> Column:
+    """Order of places as one number: key, hash of the text, line."""
+    inner = F.shiftleft(F.col("t"), _LINE_BITS) + F.col("no")
+    return (F.col("k").cast(_PLACE) * F.lit(_ROW).cast(T.DecimalType(18, 0)) + inner).cast(_PLACE)
+
+
+def _with_parts(df: DataFrame) -> DataFrame:
+    """df(place) with what its places are made of."""
+    inner = F.pmod(F.col("place"), F.lit(_ROW).cast(T.DecimalType(18, 0))).cast("long")
+    # Decimal division rounds; the inner part is taken off first, so the quotient is whole.
+    df = df.withColumn("__inner", inner).withColumn("k", F.expr(f"(place - __inner) div {_ROW}").cast("long"))
+    df = df.withColumn("t", F.shiftright("__inner", _LINE_BITS))
+    return df.withColumn("no", F.col("__inner").bitwiseAND(F.lit((1 << _LINE_BITS) - 1).cast("long")).cast("int")).drop("__inner")
 
 
-def _place(key: str, no: str) -> Column:
-    """Order of places as one number: key, then line."""
-    return (F.col(key).cast(_PLACE) * F.lit(_LINES).cast(T.DecimalType(14, 0)) + F.col(no)).cast(_PLACE)
+def _rows(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """(k, t, text)"""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("k"), _text_hash(column).alias("t"), text.alias("text"))
 
 
-def _exploded(docs: DataFrame, key: str, column: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.coalesce(F.col(column), F.lit("")), "\n", -1)).alias("no", "line"))
+def _text_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1).cast("long"))
 
 
-def _words(line: str = "line") -> Column:
-    return (F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1).cast("int")
+def _units() -> Column:
+    """Units of a line: words as a positive number, characters as a negative one, 0 for lines that are not compared."""
+    words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    size = F.length("line")
+    return F.when(words >= MIN_WORDS, words).when(size >= MIN_CHARS, -size).otherwise(0).cast("int")
+
+
+def _unit_list() -> Column:
+    return F.when(F.col("n") > 0, F.split("line", " ", -1)).otherwise(F.split("line", ""))
 
 
-def _half(side: str, words: Column, n: Column) -> Column:
-    """Key of the first or last so many words, of lines long enough."""
-    count = words if side == "P" else -words
-    return F.when(n >= MIN_WORDS, F.xxhash64(F.lit(side), words, F.call_function("substring_index", F.col("line"), F.lit(" "), count)))
+def _half(side: str, units: Column) -> Column:
+    """Key of the first or last so many units, of lines that are compared."""
+    words = F.call_function("substring_index", F.col("line"), F.lit(" "), units if side == "P" else -units)
+    characters = (F.left if side == "P" else F.right)(F.col("line"), units)
+    return F.when(F.col("n") > 0, F.xxhash64(F.lit(side), units, words)).when(F.col("n") < 0, F.xxhash64(F.lit(side + "c"), units, characters))
 
 
 def _segments(n: Column, count: int) -> Column:
@@ -68,55 +92,62 @@ def _segments(n: Column, count: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), n, cut(ends[i], ends[i + 1])) for i in range(count)])
 
 
-def _short_keys() -> Column:
-    """Keys of the halves of a short line, as the shorter of two and as one that is a character longer."""
-    size = F.length("line")
-    keys = []
-    for shorter in (size, size - 1):
-        half = F.floor(shorter / 2).cast("int")
-        keys += [F.xxhash64(F.lit("P"), shorter, F.left(F.col("line"), half)), F.xxhash64(F.lit("S"), shorter, F.right(F.col("line"), shorter - half))]
-    return F.array(*keys)
-
-
 def occurrences(docs: DataFrame, key: str, column: str, wide: bool = False) -> DataFrame:
-    """(place, h1, h2, n, three keys of halves, and with wide those of segments) of every line that isn't blank."""
-    n = F.col("n")
-    segments = F.when((n < MIN_WORDS) & (F.length("line") >= MIN_CHARS), _short_keys())
+    """(k, t, no, place, h1, h2, n, three keys of halves, and with wide those of segments) of every line that isn't blank."""
+    n, segments = F.col("n"), None
     for least, replaced in REPLACED:
-        segments = segments.when(n >= least, _segments(n, replaced + 1))
-    half, odd = F.floor(n / 2).cast("int"), n % 2 == 1
+        segments = (F if segments is None else segments).when(n >= least, _segments(n, replaced + 1))
+    half, odd = F.floor(F.abs("n") / 2).cast("int"), n % 2 != 0
     return (
-        _exploded(docs, key, column)
+        _rows(docs, key, column)
+        .select("k", "t", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
         .where(F.trim("line") != "")
-        .withColumn("n", _words())
+        .withColumn("n", _units())
         .select(
-            "k", "no", _place("k", "no").alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), "n",
-            _half("P", half, n).alias("p0"),
-            F.when(odd, _half("P", half + 1, n)).otherwise(_half("S", half, n)).alias("p1"),
-            _half("S", half + 1, n).alias("s0"),
+            *AT, _place().alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), "n",
+            _half("P", half).alias("p0"),
+            F.when(odd, _half("P", half + 1)).otherwise(_half("S", half)).alias("p1"),
+            _half("S", half + 1).alias("s0"),
             *([segments.alias("segments")] if wide else []),
         )
     )
 
 
+def _flags(numbers: str) -> Column:
+    """An array of booleans: whether each number from 0 to the greatest is in the array of numbers. In steps of n log n."""
+    others = F.array_except(F.sequence(F.lit(0), F.array_max(numbers)), numbers)
+    marked = F.concat(
+        F.transform(numbers, lambda i: F.struct(i.alias("i"), F.lit(True).alias("yes"))),
+        F.transform(others, lambda i: F.struct(i.alias("i"), F.lit(False).alias("yes"))),
+    )
+    return F.transform(F.sort_array(marked), lambda x: x["yes"])
+
+
+def _lines_at(docs: DataFrame, places: DataFrame, key: str, column: str) -> DataFrame:
+    """(k, t, no, line) of the places (k, t, no)."""
+    sought = places.groupBy("k", "t").agg(F.collect_set("no").alias("nos")).select("k", "t", _flags("nos").alias("flags"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
+    return _rows(docs, key, column).join(sought, ["k", "t"]).select("k", "t", F.inline(F.filter(lines, lambda x: F.get("flags", x["no"]))))
+
+
 def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> DataFrame:
     """(place, near): earliest places of distinct lines, and those of their earliest neighbours within one edit."""
-    halves = types.where(F.col("n") >= MIN_WORDS).select("place", "k", "no", F.explode(F.array("p0", "p1", "s0")).alias("half"))
+    halves = types.where("n <> 0").select(*AT, F.explode(F.array("p0", "p1", "s0")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
-    lines = _lines_at(docs, halves.join(shared, "half", "left_semi"), key, column)
-    words = materialise(lines.select("k", "no", _place("k", "no").alias("place"), F.split("line", " ", -1).alias("words")), "line-words")
+    lines = _lines_at(docs, halves.join(shared, "half", "left_semi"), key, column).withColumn("n", _units())
+    words = materialise(lines.select(*AT, _place().alias("place"), F.signum("n").cast("int").alias("kind"), _unit_list().alias("words")), "line-words")
 
     # The few lines that are left are dealt out before they become words, so the window below needs no further shuffle.
-    each = words.repartition("k", "no").select("k", "no", "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    each = each.select("k", "no", "place", "n", "i", F.xxhash64("word", "i").alias("stay"), F.xxhash64("word", F.col("i") - 1).alias("move"))
-    line = Window.partitionBy("k", "no").orderBy("i")
+    each = words.repartition(*AT).select(*AT, "place", "kind", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    each = each.select(*AT, "place", "kind", "n", "i", F.xxhash64("word", "i").alias("stay"), F.xxhash64("word", F.col("i") - 1).alias("move"))
+    line = Window.partitionBy(*AT).orderBy("i")
     to_here = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_of = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    each = each.select("place", "n", "i", "stay", F.bit_xor("stay").over(to_here).alias("stays"), F.bit_xor("move").over(to_here).alias("moves"), F.bit_xor("move").over(all_of).alias("all_moves"))
+    each = each.select("place", "kind", "n", "i", "stay", F.bit_xor("stay").over(to_here).alias("stays"), F.bit_xor("move").over(to_here).alias("moves"), F.bit_xor("move").over(all_of).alias("all_moves"))
     before = F.col("stays").bitwiseXOR(F.col("stay"))
     rest = before.bitwiseXOR(F.col("all_moves")).bitwiseXOR(F.col("moves"))
-    whole = F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("i"), F.col("stays").alias("rest"), F.col("n").alias("m")))
-    variants = each.select("place", F.explode(F.array_compact(F.array(F.struct("i", rest.alias("rest"), (F.col("n") - 1).alias("m")), whole))).alias("v")).select("place", "v.*")
+    whole = F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("i"), F.col("stays").alias("rest"), (F.col("kind") * F.col("n")).alias("m")))
+    variants = each.select("place", F.explode(F.array_compact(F.array(F.struct("i", rest.alias("rest"), (F.col("kind") * (F.col("n") - 1)).alias("m")), whole))).alias("v")).select("place", "v.*")
     variants = materialise(variants, "line-variants")
 
     by_position = variants.where("i >= 0").groupBy("rest", "m", "i").agg(F.min("place").alias("near"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -135,19 +166,12 @@ def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> Dat
     return pairs.where(within_one_edit(F.col("a"), F.col("b"))).select("place", "near")
 
 
-def _lines_at(docs: DataFrame, places: DataFrame, key: str, column: str) -> DataFrame:
-    """(k, no, line) of the places (k, no)."""
-    sought = places.groupBy("k").agg(F.collect_set("no").alias("nos"))
-    texts = docs.select(F.col(key).cast("long").alias("k"), column).join(sought, "k")
-    return texts.select("k", F.col("nos"), F.posexplode(F.split(column, "\n", -1)).alias("no", "line")).where(F.array_contains("nos", F.col("no"))).drop("nos")
-
-
 def _wide_neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> DataFrame:
     """(place, near): distinct lines with an earlier one within the wide bound."""
-    each = types.where("segments IS NOT NULL").select("place", "k", "no", F.explode("segments").alias("segment"))
+    each = types.where("segments IS NOT NULL").select("place", *AT, F.explode("segments").alias("segment"))
     shared = each.groupBy("segment").agg(F.count("*").alias("c"), F.min("place").alias("earliest")).where("c > 1").drop("c")
     met = materialise(each.join(shared, "segment"), "line-segments")
-    lines = materialise(_lines_at(docs, met, key, column).select(_place("k", "no").alias("place"), "line"), "line-texts")
+    lines = materialise(_lines_at(docs, met, key, column).select(_place().alias("place"), "line"), "line-texts")
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(lines, "place").join(lines.select(F.col("place").alias("near"), F.col("line").alias("other")), "near")
@@ -160,14 +184,13 @@ def _wide_neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -
 
 
 def within_wide_bound(line: str, other: str) -> Column:
-    """Whether two lines are of as many words and within the replaced words of that length, or short and one character apart."""
+    """Whether two lines are of as many words and within the replaced words of that length."""
     a, b = F.split(line, " ", -1), F.split(other, " ", -1)
     replaced = F.size(F.filter(F.zip_with(a, b, lambda u, v: ~u.eqNullSafe(v)), lambda x: x))
     bound = F.when(F.size(a) != F.size(b), -1)
     for least, most in REPLACED:
         bound = bound.when(F.size(a) >= least, most)
-    short = (F.greatest(F.size(a), F.size(b)) < MIN_WORDS) & (F.least(F.length(line), F.length(other)) >= MIN_CHARS)
-    return (short & F.levenshtein(F.col(line), F.col(other), 1).between(0, 1)) | (~short & (replaced <= bound.otherwise(-1)))
+    return replaced <= bound.otherwise(-1)
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -181,40 +204,39 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False) -> DataFrame:
-    """(k, gone): the numbers, from 0, of the lines that go, for every document that loses any."""
+    """(k, t, gone): the numbers, from 0, of the lines that go, for every row of docs that loses any."""
     own = occurrences(docs, key, column, wide)
     first = ("n", "p0", "p1", "s0", *(["segments"] if wide else []))
     types = own.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in first])
-    base = F.lit(_LINES).cast(T.DecimalType(14, 0))
-    no = (F.col("place") % base).cast("long")
-    # Decimal division rounds; the line is taken off first, so the quotient is whole.
-    types = types.withColumn("no", no.cast("int")).withColumn("k", F.expr(f"(place - no) div {_LINES}").cast("long"))
-    types = materialise(types, "line-types")
+    types = materialise(_with_parts(types), "line-types")
     near = materialise(_neighbours(docs, types, key, column), "line-near")
     if wide:
         near = near.union(_wide_neighbours(docs, types, key, column))
-    copies = own.select("k", "no", "place", "h1", "h2").join(types.select("h1", "h2", F.col("place").alias("first")), ["h1", "h2"]).where("place <> first").select("k", "no")
-    changed = types.join(near, "place", "left_semi").select("k", "no")
-    return copies.union(changed).groupBy("k").agg(F.collect_set("no").alias("gone"))
+    copies = own.select(*AT, "place", "h1", "h2").join(types.select("h1", "h2", F.col("place").alias("first")), ["h1", "h2"]).where("place <> first").select(*AT)
+    changed = types.join(near, "place", "left_semi").select(*AT)
+    return copies.union(changed).groupBy("k", "t").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False) -> DataFrame:
-    """docs with the text of column without its removed lines, and n_lines, n_removed (columns of these names in docs are
-    replaced, all others stay as they are).
+def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the text of column without its removed lines, and two counts, n_lines and n_removed or other names
+    (columns of these names in docs are replaced, all others stay as they are).
 
     A null text stays null and has no lines; an empty text has one blank line. Documents that lose every line stay,
-    with an empty text. Rows that repeat a key are told apart by nothing, so they count as one place: a line of theirs
-    goes from all of them or from none. Keys that are null keep their texts. An empty table gives an empty result."""
-    docs = docs.drop("n_lines", "n_removed")
+    with an empty text. Rows that repeat key and text count as one place: a line of theirs goes from all of them or
+    from none. Rows that repeat a key with other texts are places of their own, in the order of a hash of their texts (28
+    bits; rows whose hashes agree share what goes by line). Keys that are null keep their texts. A text of any length is one row, and
+    its lines cost n log n steps. An empty table gives an empty result."""
+    docs = docs.drop(*counts)
     gone = removed_lines(docs.where(F.col(key).isNotNull()), key, column, wide)
-    out = docs.withColumn("__k", F.col(key).cast("long")).join(gone.withColumnRenamed("k", "__k"), "__k", "left")
+    gone = gone.select(F.col("k").alias("__line_k"), F.col("t").alias("__line_t"), F.size("gone").alias("__line_n"), _flags("gone").alias("__line_gone"))
+    out = docs.withColumn("__line_k", F.col(key).cast("long")).withColumn("__line_t", _text_hash(column)).join(gone, ["__line_k", "__line_t"], "left")
     lines = F.split(column, "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    n_removed = F.when(F.col(column).isNull() | F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    kept = F.filter(lines, lambda _, i: ~F.coalesce(F.get("__line_gone", i), F.lit(False)))
+    n_removed = F.when(F.col(column).isNull(), 0).otherwise(F.coalesce("__line_n", F.lit(0))).cast("long")
     return out.select(
-        *[F.when(F.col("gone").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == column else c for c in docs.columns],
-        F.when(F.col(column).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        n_removed.alias("n_removed"),
+        *[F.when(F.col("__line_n").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == column else c for c in docs.columns],
+        F.when(F.col(column).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(counts[0]),
+        n_removed.alias(counts[1]),
     )
 
 
@@ -228,15 +250,17 @@ def line_report(docs: DataFrame, key: str = "doc_id", column: str = "text", wide
 SQL = f"""
 WITH occ AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS line
              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-types AS (SELECT line, min({{'d': doc_id, 'n': no}}) AS place, string_split(line, ' ') AS w FROM occ WHERE trim(line, ' ') <> '' GROUP BY line),
-fuzzy AS (SELECT line, place, w FROM types WHERE len(w) >= {MIN_WORDS}),
-parts AS (SELECT line, place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS rest
-          FROM (SELECT line, place, w, unnest(range(1, len(w) + 1)) AS i FROM fuzzy)),
-pos AS (SELECT rest, i, min(place) AS near FROM parts GROUP BY rest, i HAVING count(*) > 1),
-per AS (SELECT rest, min(place) AS near FROM parts GROUP BY rest),
-met AS (SELECT p.line FROM parts p JOIN pos ON p.rest = pos.rest AND p.i = pos.i AND pos.near < p.place
-        UNION SELECT p.line FROM parts p JOIN fuzzy f ON p.rest = f.line AND f.place < p.place
-        UNION SELECT f.line FROM fuzzy f JOIN per ON per.rest = f.line AND per.near < f.place),
+types AS (SELECT line, min({{'d': doc_id, 'n': no}}) AS place FROM occ WHERE trim(line, ' ') <> '' GROUP BY line),
+fuzzy AS (SELECT line, place, len(string_split(line, ' ')) >= {MIN_WORDS} AS by_words,
+                 CASE WHEN len(string_split(line, ' ')) >= {MIN_WORDS} THEN string_split(line, ' ') ELSE string_split(line, '') END AS w
+          FROM types WHERE len(string_split(line, ' ')) >= {MIN_WORDS} OR length(line) >= {MIN_CHARS}),
+parts AS (SELECT line, by_words, place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), CASE WHEN by_words THEN ' ' ELSE '' END) AS rest
+          FROM (SELECT line, by_words, place, w, unnest(range(1, len(w) + 1)) AS i FROM fuzzy)),
+pos AS (SELECT by_words, rest, i, min(place) AS near FROM parts GROUP BY by_words, rest, i HAVING count(*) > 1),
+per AS (SELECT by_words, rest, min(place) AS near FROM parts GROUP BY by_words, rest),
+met AS (SELECT p.line FROM parts p JOIN pos ON p.by_words = pos.by_words AND p.rest = pos.rest AND p.i = pos.i AND pos.near < p.place
+        UNION SELECT p.line FROM parts p JOIN fuzzy f ON p.by_words = f.by_words AND p.rest = f.line AND f.place < p.place
+        UNION SELECT f.line FROM fuzzy f JOIN per ON per.by_words = f.by_words AND per.rest = f.line AND per.near < f.place),
 gone AS (SELECT occ.doc_id, occ.no FROM occ JOIN types USING (line) LEFT JOIN met USING (line)
          WHERE {{'d': occ.doc_id, 'n': occ.no}} <> types.place OR met.line IS NOT NULL)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END :: BIGINT AS n_lines,

@@ -175,8 +175,9 @@ def test_pipeline_stage_by_stage(spark):
         kept = []
         for line in r["text"].split("\n"):
             words = line.split(" ")
-            fuzzy = len(words) >= 8
-            keys = [("", line)] + ([(i, " ".join(words[:i] + words[i + 1 :])) for i in range(len(words))] if fuzzy else [])
+            fuzzy, by_words = len(words) >= 8 or len(line) >= 20, len(words) >= 8
+            units, sep = (words, " ") if by_words else (list(line), "")
+            keys = [("", line)] + ([(i, sep.join(units[:i] + units[i + 1 :])) for i in range(len(units))] if fuzzy else [])
             close = [c for k in keys for c in index.get(k[1], ())] if fuzzy else []
             gone = line.strip(" ") != "" and (line in seen or any(near(line, c) for c in close))
             kept += [] if gone else [line]
