@@ -23,6 +23,8 @@ UNIT = WIDTH = 192
 #: Rows of pixels in a frame at most, and hundredths of a second that a frame is shown.
 FRAME_ROWS, DELAY = 64, 10
 HISTOGRAM_BINS = 16
+#: Pixels of a screen or frame that a decoder holds at most (4 bytes each): a header may claim 65,535 by 65,535.
+MOST_PIXELS = 1 << 26
 _MOST_CODES = 1 << 12
 _GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
@@ -147,11 +149,14 @@ class Frame:
     __slots__ = ("left", "top", "width", "height", "pixels", "palette", "delay", "disposal", "transparent")
 
 
-def parse(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Width and height of the screen, and all frames. Raises ValueError where the bytes are no GIF."""
+def parse(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[Frame]]:
+    """Width and height of the screen, and all frames. Raises ValueError where the bytes are no GIF, where they end
+    before the first frame does, and where a frame or the screen claims more than most_pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > most_pixels:
+        raise ValueError("a screen of too many pixels")
     at, shared, frames = 13, None, []
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
@@ -183,6 +188,8 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
                 f.palette, at = _palette(data, at, flags)
             if f.palette is None or at >= len(data) or not 2 <= data[at] <= 8:
                 raise ValueError("a frame without palette or pixels")
+            if f.width * f.height > most_pixels:
+                raise ValueError("a frame of too many pixels")
             size = data[at]
             stream, at = sub_blocks(at + 1)
             flat = lzw_decode(stream, size, f.width * f.height)
@@ -197,27 +204,35 @@ def parse(data: bytes) -> tuple[int, int, list[Frame]]:
             delay, disposal, transparent = 0, 0, None
         else:
             raise ValueError("an unknown block")
+    if not frames:
+        raise ValueError("cut off before its first frame")
     return width, height, frames
 
 
 def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     n = 3 << (flags & 7) + 1
+    if at + n > len(data):
+        raise ValueError("a palette that is cut off")
     colours = np.zeros((256, 3), np.uint8)
-    colours[: n // 3] = np.frombuffer(data[at : at + n].ljust(n, b"\0"), np.uint8).reshape(-1, 3)
+    colours[: n // 3] = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
     return colours, at + n
 
 
-def shown(data: bytes):
-    """(frame, canvas) as they are seen: RGBA of the whole screen after palette, transparency and disposal."""
-    width, height, frames = parse(data)
+def shown(data: bytes, most_pixels: int = MOST_PIXELS):
+    """(frame, canvas) as they are seen: RGBA of the whole screen after palette, transparency and disposal. The canvas is
+    painted on further, so whoever keeps it copies it."""
+    width, height, frames = parse(data, most_pixels)
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
         place = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         part = f.pixels[: place.shape[0], : place.shape[1]]
-        colours = np.dstack([f.palette[part], np.full(part.shape, 255, np.uint8)])
-        place[...] = colours if f.transparent is None else np.where((part == f.transparent)[..., None], place, colours)
-        yield f, canvas.copy()
+        if f.transparent is None:
+            place[..., :3], place[..., 3] = f.palette.take(part, axis=0), 255
+        else:
+            painted = part != f.transparent
+            place[painted] = np.column_stack([f.palette[part[painted]], np.full(painted.sum(), 255, np.uint8)])
+        yield f, canvas
         if f.disposal == 2:
             place[...] = 0
         elif f.disposal == 3:
@@ -264,24 +279,34 @@ def store(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFra
 
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """media(key, n_bytes, media) -> digests of the payload that is read back, and of what is stored; feature has the
-    number of frames, their time in ms, and the histogram of their grey pixels."""
+    number of frames, their time in ms, and the histogram of their grey pixels. Pixels are read from the frames as they
+    are shown. frames has start and delay in ms and the histogram of each."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for data in block.column(2).to_pylist():
-            frames = parse(data)[2]
-            pixels = b"".join([f.palette[f.pixels, 0].tobytes() for f in frames])
-            histogram = np.bincount(np.frombuffer(pixels, np.uint8) >> 4, minlength=HISTOGRAM_BINS)
-            feature = f"{len(frames)} frames, {10 * sum(f.delay for f in frames)} ms, grey {' '.join(map(str, histogram))}"
-            rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            parts, timed, time = [], [], 0
+            for f, canvas in shown(data):
+                part = canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
+                parts.append(part)
+                timed.append((time, 10 * f.delay, np.bincount(np.frombuffer(part, np.uint8) >> 4, minlength=HISTOGRAM_BINS).tolist()))
+                time += 10 * f.delay
+            pixels = b"".join(parts)
+            histogram = np.sum([h for *_, h in timed], axis=0)
+            feature = f"{len(timed)} frames, {time} ms, grey {' '.join(map(str, histogram))}"
+            rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, [dict(zip(("start_ms", "delay_ms", "grey"), x)) for x in timed]))
+        frame = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("grey", pa.list_(pa.int64()))])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame)]
         return pa.RecordBatch.from_arrays([*block.columns[:2], *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=names)
 
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return map_texts(media.select(key, "n_bytes", "media"), run, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", "media")
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    return map_texts(media.select(key, "n_bytes", "media"), run, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_ms: long, delay_ms: long, grey: array<long>>>", "media")
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Stores every text as a GIF in a table of the shared folder, and computes features from that table. Empty texts
-    are one unit of spaces; an empty table gives an empty result."""
+    """Stores every text as a GIF in a table of the shared folder, and computes features from that table.
+
+    Null and empty texts are one unit of spaces, stored as any other. Texts of any length are whole: further frames take
+    what one can't hold. Repeated rows and null keys stay, and equal texts have equal values. Other columns of docs are
+    not read, so their names can't clash. An empty table gives an empty result."""
     return features(materialise(store(docs), "media", "lz4"))
