@@ -188,12 +188,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", most_rows: int = MOST_ROWS) -> Model:
-    """Learns from at most most_rows labelled rows that are not held out. A key with several labels counts with the
-    least of them; null labels and labels without a document teach nothing."""
+    """Learns from at most most_rows labelled keys that are not held out. A key with several labels counts with the
+    least of them, one with several texts with that of the least hash; null labels and labels without a document teach
+    nothing. Keys are taken in the order of their hash, so ties can't change the sample."""
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.min(label).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64(key), key).limit(most_rows)
     texts = docs.select(F.col(key).cast("long").alias(key), "text").join(F.broadcast(known), key)  # most_rows bounds it
-    found = with_statistics(texts, key).join(F.broadcast(known), key).orderBy(key, *STATISTICS).limit(2 * most_rows).toPandas()
+    # One text a key, so that most_rows bounds what comes to the driver too.
+    texts = texts.groupBy(key).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = with_statistics(texts, key).join(F.broadcast(known), key).orderBy(key).toPandas()
     return fit(found[list(STATISTICS)].to_numpy(), found["y"].to_numpy())
 
 
@@ -203,6 +206,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted. Repeated rows stay; an empty table gives an empty result."""
+    """Per row of docs: doc_id, held_out, score, predicted.
+
+    Repeated rows stay, each with the same score; rows with a null key count as held out. Null and empty texts have zeros
+    for statistics and a score like any other; texts of any length are used whole. A score of exactly a half predicts
+    1. Other columns of docs are not read, so their names can't clash. An empty table gives an empty result, and
+    without labels every score is a half."""
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
