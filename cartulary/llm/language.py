@@ -16,17 +16,16 @@ from pyspark.sql import types as T
 
 from .common import extended, text_blocks
 
-#: Trigrams are hashed to so many cells: the model is languages x CELLS numbers, whatever the corpus.
-CELLS = 1 << 18
+#: Trigrams are hashed to so many cells a language, whatever the corpus. A model has MODEL_CELLS numbers at most (256 MB),
+#: which bounds what is sent to executors: beyond 256 languages the cells of each are halved until all fit.
+CELLS, MODEL_CELLS = 1 << 18, 1 << 26
 SMOOTH, ROUNDS = 0.1, 6
 #: Price of one more language in a document, in units of the logarithm of its number of words.
 PRICE = 2.0
-#: Languages in a model at most, the bound of what is sent to executors (1 MB each).
-MOST_LANGUAGES = 256
 _SPACED = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
 
-def trigram_cells(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trigram_cells(texts: list[str | None], of: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words of the texts, one after the other: cells of trigrams, where each word's trigrams start, and where
     each text's words start (one entry more than texts). A trigram starts at the space before a word, or at one of its
     bytes but the last."""
@@ -39,23 +38,30 @@ def trigram_cells(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     lengths = np.array([len(x) for x in data], np.int64)
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
     h = (whole[:-2] * np.uint32(0x9E3779B1)) ^ (whole[1:-1] * np.uint32(0x85EBCA77)) ^ (whole[2:] * np.uint32(0xC2B2AE3D))
-    return ((h ^ (h >> np.uint32(15))) & np.uint32(CELLS - 1)).astype(np.int32), starts, bounds
+    return ((h ^ (h >> np.uint32(15))) & np.uint32(of - 1)).astype(np.int32), starts, bounds
 
 
-def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, cell, n) over all rows with a lang: each task counts its own, then the tasks' counts are added."""
+def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang", of: int = CELLS) -> DataFrame:
+    """(lang, cell, n) over all rows with a lang: each task counts its own, then the tasks' counts are added. A task hands
+    on what it has counted when its languages hold MODEL_CELLS cells."""
+
+    def counted(counts: dict[str, np.ndarray]):
+        for name, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "cell", "n"])
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in text_blocks(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in {*langs} - {None}:
-                cells, starts, _ = trigram_cells([x for x, y in zip(texts, langs) if y == name])
+                cells, starts, _ = trigram_cells([x for x, y in zip(texts, langs) if y == name], of)
                 if len(starts):
-                    counts.setdefault(name, np.zeros(CELLS, np.int64))[:] += np.bincount(cells, minlength=CELLS)
-        for name, n in counts.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "cell", "n"])
+                    counts.setdefault(name, np.zeros(of, np.int64))[:] += np.bincount(cells, minlength=of)
+                if len(counts) * of > MODEL_CELLS // 2:
+                    yield from counted(counts)
+                    counts = {}
+        yield from counted(counts)
 
     return docs.where(F.col(lang).isNotNull()).select(column, lang).mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
@@ -64,17 +70,40 @@ class Model:
     def __init__(self, names: list[str], logs: np.ndarray):
         self.names, self.logs = names, logs
 
-    def word_logs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihoods, words x languages, and where each text's words start."""
-        cells, starts, bounds = trigram_cells(texts)
+    @property
+    def cells(self) -> int:
+        return len(self.logs)
+
+    def word_logs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihoods, words x languages, where each text's words start, and how many trigrams each word has."""
+        cells, starts, bounds = trigram_cells(texts, self.cells)
         if not len(starts):
-            return np.zeros((0, len(self.names)), np.float32), bounds
-        return np.add.reduceat(self.logs[cells], starts, axis=0), bounds
+            return np.zeros((0, len(self.names)), np.float32), bounds, np.zeros(0, np.int64)
+        return np.add.reduceat(self.logs[cells], starts, axis=0), bounds, np.diff(np.append(starts, len(cells)))
 
     def infer(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: index of the main language (-1: no letters), its proportion in the chosen set, size of that set."""
-        logs, bounds = self.word_logs(texts)
-        n, k, count = len(texts), len(self.names), np.diff(bounds)
+        return self._infer(len(texts), *self.word_logs(texts)[:2])
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """infer(), the posterior of the main language, and the share of words that some language explains better than
+        chance, that is, better than trigrams drawn evenly from all cells. The posterior is that of a word of the text
+        on average, all languages being as likely beforehand: close words of two languages lower it, length doesn't
+        raise it."""
+        logs, bounds, sizes = self.word_logs(texts)
+        best, share, chosen = self._infer(len(texts), logs, bounds)
+        n_words = np.diff(bounds)
+        if not len(logs) or not self.names:
+            return best, share, chosen, np.zeros(len(texts)), np.zeros(len(texts))
+        peak = logs.max(axis=1)
+        own = logs[np.arange(len(logs)), np.repeat(np.maximum(best, 0), n_words)]
+        each = np.exp(own - peak) / np.exp(logs - peak[:, None]).sum(axis=1)
+        sums = [np.append(0, np.cumsum(x, dtype=np.float64)) for x in (each, peak > -np.log(self.cells) * sizes)]
+        posterior, known = ((s[bounds[1:]] - s[bounds[:-1]]) / np.maximum(n_words, 1) for s in sums)
+        return best, share, chosen, posterior, known
+
+    def _infer(self, n: int, logs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, count = len(self.names), np.diff(bounds)
         best, share, chosen = np.full(n, -1), np.zeros(n), np.zeros(n, int)
         some = np.flatnonzero(count)
         if not len(some) or not k:
@@ -103,16 +132,6 @@ class Model:
             best[some], share[some], chosen[some] = proportions.argmax(axis=1), proportions.max(axis=1), size
         return best, share, chosen
 
-    def known(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: the share of its words that some language explains better than chance, that is, better than trigrams
-        drawn evenly from all cells."""
-        cells, starts, bounds = trigram_cells(texts)
-        if not len(starts) or not self.names:
-            return np.zeros(len(texts))
-        chance = -np.log(CELLS) * np.diff(np.append(starts, len(cells)))
-        better = np.append(0, np.cumsum(np.add.reduceat(self.logs[cells], starts, axis=0).max(axis=1) > chance))
-        return (better[bounds[1:]] - better[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
-
     def _expect(self, odds: np.ndarray, starts: np.ndarray, count: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions (texts x languages) after some rounds of expectation-maximisation, and their log-likelihoods."""
         proportions = allowed / allowed.sum(axis=1, keepdims=True)
@@ -125,36 +144,43 @@ class Model:
 
 
 def fit(docs: DataFrame, column: str = "text", lang: str = "lang") -> Model:
-    """The model of every language that docs name. What comes to the driver is at most CELLS rows a language."""
-    counts = count_trigrams(docs, column, lang).toPandas()
-    names = sorted(set(counts["lang"]))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; a model has {MOST_LANGUAGES} at most")
-    n = np.full((CELLS, max(len(names), 1)), SMOOTH)
-    for i, name in enumerate(names):
-        own = counts[counts["lang"] == name]
-        n[own["cell"].to_numpy(), i] += own["n"].to_numpy()
-    return Model(names, np.log(n / n.sum(axis=0)).astype(np.float32))
-
-
-def predict(docs: DataFrame, model: Model, column: str = "text", of_all: bool = False) -> DataFrame:
-    """docs with lang_pred (`und`: null text, no letter, or nothing learned), score (proportion of that language
-    among the chosen ones, 0 for `und`) and n_langs. Columns of those names in docs are replaced, all others stay;
-    repeated rows stay; an empty table gives an empty result. Texts of any length are used whole. With ``of_all`` the
-    score is the proportion among all words, those that no language explains better than chance too."""
-    docs = docs.drop("lang_pred", "score", "n_langs")
-    names, at, sent = docs.columns, docs.columns.index(column), docs.sparkSession.sparkContext.broadcast(model)
+    """The model of every language that docs name. The driver gets one row a language, of at most as many cells as the
+    model has for it, one after the other."""
+    names = sorted(r[0] for r in docs.where(F.col(lang).isNotNull()).select(lang).distinct().collect())
+    cells = CELLS
+    while cells > 1 and cells * len(names) > MODEL_CELLS:
+        cells //= 2
+    n = np.full((cells, max(len(names), 1)), SMOOTH, np.float32)
+    counts = count_trigrams(docs, column, lang, cells).groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    place, learned = {name: i for i, name in enumerate(names)}, set()
+    for row in counts.select("lang", F.col("cells.cell").alias("cell"), F.col("cells.n").alias("n")).toLocalIterator():
+        n[np.array(row["cell"]), place[row["lang"]]] += np.array(row["n"])
+        learned.add(row["lang"])
+    with_words = [i for i, name in enumerate(names) if name in learned]
+    n = n[:, with_words] if with_words else n[:, :1]
+    return Model([names[i] for i in with_words], np.log(n / n.sum(axis=0, dtype=np.float64)).astype(np.float32))
+
+
+def predict(docs: DataFrame, model: Model, column: str = "text", of_all: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "n_langs")) -> DataFrame:
+    """docs with lang_pred (`und`: null text, no letter, or nothing learned), score (posterior of that language for a word
+    of the text on average, 0 for `und`) and n_langs (languages in the chosen set), under these or other names. Columns
+    of those names in docs are replaced, all others stay; repeated rows stay; an empty table gives an empty result.
+    Texts of any length are used whole. Of languages that explain a text equally well the first by name is taken. With
+    ``of_all`` the score is the proportion of the language among all words, those that no language explains better than
+    chance too."""
+    docs = docs.drop(*names)
+    own_names, at, sent = docs.columns, docs.columns.index(column), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = sent.value
         for batch in text_blocks(batches, column):
             texts = [x if x and any(map(str.isalpha, x)) else None for x in batch.column(at).to_pylist()]
-            best, share, chosen = own.infer(texts)
-            share = share * own.known(texts) if of_all else share
-            made = [pa.array([own.names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(np.clip(share, 0, 1), pa.float64()), pa.array(chosen, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, "lang_pred", "score", "n_langs"])
+            best, share, chosen, posterior, known = own.judge(texts)
+            score = np.where(best >= 0, share * known if of_all else posterior, 0)
+            made = [pa.array([own.names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(chosen, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*own_names, *names])
 
-    return docs.mapInArrow(run, extended(docs, lang_pred=T.StringType(), score=T.DoubleType(), n_langs=T.IntegerType()))
+    return docs.mapInArrow(run, extended(docs, **dict(zip(names, (T.StringType(), T.DoubleType(), T.IntegerType())))))
 
 
 def held_out(key: str = "doc_id"):
