@@ -3,9 +3,10 @@
 Documents stream through the automaton word by word; at each word it knows the longest run of words, ending there,
 that occurs in an item. A run of WINDOW words or more is an occurrence of windows, and all its words are hit.
 
-Items are read in blocks of at most ``block_words`` words, each of which becomes one automaton that is sent to the
-executors: that is the bound of what is broadcast. Further blocks are further passes over the same rows, so any
-number of items is handled without a shuffle of documents.
+Items are read in blocks of at most ``block_words`` words (or one item, if that is longer), each of which becomes one
+automaton that is sent to the executors. Further blocks are further passes over the same rows, so any number of items is
+handled without a shuffle of documents. One automaton is alive at a time: what a pass has found is written along with
+the rows before the next block is read.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_blocks
+from .common import extended, materialise, text_blocks
 
 WINDOW = 13
 #: Words of items in one automaton: about 300 bytes each.
@@ -159,44 +161,75 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode(errors="surrogatepass")
 
 
+def _with_hits(docs: DataFrame, items: DataFrame, finish, schema, column: str, item_key: str, item_column: str, window: int, block_words: int) -> DataFrame:
+    """finish(batch, rows of (words, hit spans, items)) over docs. The passes before the last one write their hits as
+    columns of docs, under names that no column of docs has."""
+    spark, names, at = docs.sparkSession, docs.columns, docs.columns.index(column)
+    own = [_free(names, "__spans"), _free(names, "__items")]
+    with_hits = extended(docs, **{own[0]: T.BinaryType(), own[1]: T.ArrayType(T.StringType())})
+
+    def one_pass(df: DataFrame, sent, last: bool) -> DataFrame:
+        first = len(df.columns) == len(names)
+
+        def run(batches):
+            automaton = sent.value
+            for batch in text_blocks(batches, column):
+                texts = batch.column(at).to_pylist()
+                before = [(b"", ())] * len(texts) if first else zip(*(c.to_pylist() for c in batch.columns[-2:]))
+                rows = []
+                for text, (spans, items) in zip(texts, before):
+                    words = words_of(text)
+                    new, found = automaton.match(words)
+                    rows.append((words, joined([*map(tuple, np.frombuffer(spans, "<i8").reshape(-1, 2).tolist()), *new]), {*items, *map(str, found)}))
+                columns = batch.columns[: len(names)]
+                if last:
+                    yield finish(pa.RecordBatch.from_arrays(columns, names=names), rows)
+                else:
+                    spans = pa.array([np.array(s, "<i8").tobytes() for _, s, _ in rows], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*columns, spans, pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))], names=[*names, *own])
+
+        return df.mapInArrow(run, schema if last else with_hits)
+
+    blocks, df = item_blocks(items, item_key, item_column, block_words), docs
+    block = next(blocks, [])
+    while (after := next(blocks, None)) is not None:
+        sent = spark.sparkContext.broadcast(Automaton(block, window))
+        df = materialise(one_pass(df, sent, False), "hits")
+        sent.destroy()
+        block = after
+    return one_pass(df, spark.sparkContext.broadcast(Automaton(block, window)), True)
+
+
+def _free(names: list[str], name: str) -> str:
+    while name in names:
+        name += "_"
+    return name
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", column: str = "text", item_key: str = "item_id", item_column: str = "text", window: int = WINDOW, share: int = 20, clean: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: key, n_words, n_hit, n_items, items_sha256 (ids of items with occurring windows, sorted as
     strings, comma-joined), contaminated (some word is hit, and ``share`` times the hit words are all words at least);
     with clean, also clean_text: the text without the hit spans.
 
     Null and empty texts have no words and are not contaminated. Repeated rows stay, each judged alone. Without items
-    (or with only null or wordless ones) nothing is hit. Long texts are streamed, one document at a time. Other
-    columns of docs are not read, so their names can't clash."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(Automaton(b, window)) for b in item_blocks(items, item_key, item_column, block_words)] or [spark.sparkContext.broadcast(Automaton([], window))]
-    df = docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text"))
-    for k, block in enumerate(blocks):
-        first, last = k == 0, k == len(blocks) - 1
-        schema = "key long, text string, spans binary, items array<string>" if not last else f"{key} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * clean
-
-        def run(batches, block=block, first=first, last=last):
-            automaton = block.value
-            for batch in text_blocks(batches):
-                texts = batch.column(1).to_pylist()
-                before = [(b"", [])] * len(texts) if first else zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-                rows = []
-                for text, (spans, items) in zip(texts, before):
-                    words = words_of(text)
-                    new, found = automaton.match(words)
-                    spans = joined([*map(tuple, np.frombuffer(spans, "<i8").reshape(-1, 2).tolist()), *new])
-                    rows.append((words, spans, {*items, *map(str, found)}))
-                if not last:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([np.array(s, "<i8").tobytes() for _, s, _ in rows], pa.binary()), pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))], names=["key", "text", "spans", "items"])
-                    continue
-                n = [len(w) for w, _, _ in rows]
-                hit = [sum(b - a for a, b in s) for _, s, _ in rows]
-                out = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for _, _, i in rows], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in rows], pa.string()), pa.array([h > 0 and share * h >= w for h, w in zip(hit, n)], pa.bool_())]
-                if clean:
-                    out.append(pa.array([without_spans(t, s) if s else t for t, (_, s, _) in zip(texts, rows)], pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] + ["clean_text"] * clean)
-
-        df = df.mapInArrow(run, schema)
-    return df
+    (or with only null or wordless ones) nothing is hit; items of one id count once. Long texts are streamed, one
+    document at a time. Other columns of docs are not read, so their names can't clash. An empty table gives an empty
+    result."""
+    names = [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] + ["clean_text"] * clean
+
+    def finish(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        n = [len(w) for w, _, _ in rows]
+        hit = [sum(b - a for a, b in s) for _, s, _ in rows]
+        out = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for _, _, i in rows], pa.int64())]
+        out.append(pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in rows], pa.string()))
+        out.append(pa.array([h > 0 and share * h >= w for h, w in zip(hit, n)], pa.bool_()))
+        if clean:
+            out.append(pa.array([without_spans(t, s) if s else t for t, (_, s, _) in zip(batch.column(1).to_pylist(), rows)], pa.string()))
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = f"{key} long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", clean_text string" * clean
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text"))
+    return _with_hits(texts, items, finish, schema, "text", item_key, item_column, window, block_words)
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,21 +242,12 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contaminated_keys_gone(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones; the others stay as they are. The judgement is made row by row within the
-    same pass, so nothing is joined or shuffled."""
-    spark, names = docs.sparkSession, docs.columns
-    blocks = [spark.sparkContext.broadcast(Automaton(b)) for b in item_blocks(items, "item_id", "text", BLOCK_WORDS)]
-
-    def run(batches):
-        for batch in text_blocks(batches):
-            keep = []
-            for text in batch.column(names.index("text")).to_pylist():
-                words, spans = words_of(text), []
-                for block in blocks:
-                    spans += block.value.match(words)[0]
-                n_hit = sum(b - a for a, b in joined(spans))
-                keep.append(not (n_hit > 0 and 20 * n_hit >= len(words)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def contaminated_keys_gone(docs: DataFrame, items: DataFrame, column: str = "text", item_key: str = "item_id", item_column: str = "text", window: int = WINDOW, share: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the contaminated ones, as decontaminate() judges them; the others stay as they are. The judgement is
+    made row by row within the same passes, so nothing is joined or shuffled."""
+
+    def finish(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+        hit = [sum(b - a for a, b in s) for _, s, _ in rows]
+        return batch.filter(pa.array([not (h > 0 and share * h >= len(w)) for h, (w, _, _) in zip(hit, rows)], pa.bool_()))
+
+    return _with_hits(docs, items, finish, docs.schema, column, item_key, item_column, window, block_words)
