@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset (tests in one
-    process), a folder of this session's own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and everything runs in one
+    process, as in tests, it is a folder of this session's own; on a cluster that is an error."""
     if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = f"file://{tempfile.mkdtemp(prefix='cartulary-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
