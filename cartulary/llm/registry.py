@@ -5,12 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, decontaminate, gif, language, lines, quality, shards, simhash, substrings, wavelet
+from . import bpe, decontaminate, gif, language, lines, pipeline, quality, shards, simhash, substrings, wavelet
 from .common import table
 
 
@@ -70,7 +69,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_simhash": op1_simhash,
         "op2_kd_tree": op2_kd_tree,
         "op3_line_dedup": op3_line_dedup,
@@ -88,7 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {"op3_line_dedup": lines.SQL, "op4_recompression": substrings.SQL, "op9_decontaminate": OP9_SQL}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
 
 
 _OP9_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
