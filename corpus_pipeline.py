@@ -1,62 +1,5 @@
-"""A corpus pipeline of five stages, each over all that the one before it kept.
+"""The corpus pipeline's stages, its run() and its SQL; they are part of the llm subpackage."""
 
-1. language: documents without a language (no text, no letter, or no language that holds three tenths of the words) go.
-2. lines: lines that stand earlier, equal or within one word, go; documents stay.
-3. near_duplicates: of each group of linked fingerprints the document of the smallest doc_id stays.
-4. benchmark: documents that benchmark items contaminate go; the others stay as they are.
-5. tokens: byte-level BPE encoding of the texts, and their decoding.
-"""
+from cartulary.llm.pipeline import ORACLE_SQL, STAGES, benchmark_stage, language_stage, line_stage, near_duplicate_stage, run, token_stage
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cartulary.llm import bpe, decontaminate, language, lines, simhash
-from cartulary.llm.common import materialise, table
-
-#: Share of its words that a document's main language has at least. Clean documents may mix three languages, so half of
-#: the words would be too much to ask. Words that no language explains better than chance count as nobody's.
-LEAST_SHARE = 0.3
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language.fit(docs.where(~language.held_out()))
-    return language.predict(docs, model, of_all=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each_group(docs)
-
-
-def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated_keys_gone(docs, table(spark, sf_dir, "benchmark"))
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-
-
-STAGES = [
-    ("language", language_stage),
-    ("lines", line_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("benchmark", benchmark_stage),
-    ("tokens", token_stage),
-]
-
-#: Hashes of shingles, mixtures of languages and byte-level BPE are beyond SQL: tests hold the stages against plain Python.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a Parquet table that the next stage reads."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run", "language_stage", "line_stage", "near_duplicate_stage", "benchmark_stage", "token_stage"]
