@@ -28,7 +28,9 @@ from .common import materialise, scratch_path, shuffle_partitions, text_blocks,
 
 MAGIC, END_ID = b"CWM1", 2
 #: Text bytes a shard, about, and a task at most, about. What a task holds is the ids of a shard.
-SHARD_BYTES, TASK_BYTES = 32 << 20, 512 << 20
+SHARD_BYTES, TASK_BYTES = 16 << 20, 512 << 20
+#: Ids that are parted at once, so that what a step touches stays in a core's cache.
+_RUN = 1 << 16
 #: Shards whose starts one window sums up.
 _GROUP = 4096
 #: Bytes of a plane in one compressed block.
@@ -41,7 +43,6 @@ def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, bits: int) -> b
     pack, level, planes, ones = zstandard.ZstdCompressor(level=1).compress, ids, [], []
     for b in range(bits - 1, -1, -1):
         bit = (level & level.dtype.type(1 << b)) != 0
-        low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
         packed = np.packbits(bit)
         sums = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
         ones.append(np.concatenate(([0], np.cumsum(sums))))
@@ -49,7 +50,13 @@ def build(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, bits: int) -> b
         planes.append([pack(packed[i : i + BLOCK]) for i in range(0, len(packed), BLOCK)])
         if b == 8:  # the lower planes need no more than this
             level = level.astype(np.uint8)
-        level = np.concatenate([level[low], level[high]])
+        parted, at = np.empty_like(level), [0, len(level) - int(ones[-1][-1])]
+        for i in range(0, len(level), _RUN):
+            some, here = level[i : i + _RUN], bit[i : i + _RUN]
+            for one, places in enumerate((np.flatnonzero(~here), np.flatnonzero(here))):
+                some.take(places, out=parted[at[one] : at[one] + len(places)], mode="clip")
+                at[one] += len(places)
+        level = parted
     directory = pack(keys.astype("<i8").tobytes() + counts.astype("<i8").tobytes())
     index = pack(np.array(ones, "<i8").tobytes() + np.array([[len(x) for x in p] for p in planes], "<i8").tobytes())
     head = MAGIC + struct.pack("<QQIQQ", len(ids), len(keys), bits, len(directory), len(index))
@@ -130,14 +137,20 @@ class WaveletMatrix:
         """All ids in order: from the last plane up, each stable partition is undone."""
         values = np.zeros(self.n, np.uint8)
         for plane in range(self.bits - 1, -1, -1):
-            blocks = [self._block(plane, b) for b in range(self._blocks)]
-            self._known.clear()
-            bit = np.concatenate(blocks)[: self.n].view(bool) if blocks else np.zeros(0, bool)
             if self.bits - 1 - plane in (8, 16):  # wider numbers from this plane up
                 values = values.astype((np.uint16, np.uint32)[(self.bits - 1 - plane) // 16])
-            above, zeros = np.empty_like(values), int(self.zeros[plane])
-            above[np.flatnonzero(~bit)] = values[:zeros]
-            above[np.flatnonzero(bit)] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - plane))
+            above, own = np.empty_like(values), values.dtype.type(1 << (self.bits - 1 - plane))
+            at = [0, int(self.zeros[plane])]
+            for b in range(self._blocks):
+                start = b * 8 * BLOCK
+                bit = self._block(plane, b)[: self.n - start].view(bool)
+                for i in range(0, len(bit), _RUN):
+                    here, part = bit[i : i + _RUN], above[start + i : start + i + _RUN]
+                    for one, places in enumerate((np.flatnonzero(~here), np.flatnonzero(here))):
+                        below = values[at[one] : at[one] + len(places)]
+                        part[places] = below | own if one else below
+                        at[one] += len(places)
+            self._known.clear()
             values = above
         return values.astype(np.uint32)
 
