@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,12 +64,20 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def search_score(corpus: Column, query: str) -> Column:
     """Share of the query's words that the corpus has, and a quarter more where it has the whole phrase; at most 1.
-    Repeated query words count each time."""
-    folded, wanted = accent_fold(corpus), tokens(F.lit(query))
-    have = F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), 1)
-    hits = F.size(F.filter(wanted, lambda w: F.array_contains(have, w)))
-    phrase = F.when(F.contains(folded, accent_fold(F.lit(query))), 0.25).otherwise(0.0)
-    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / F.size(wanted) + phrase))
+    Repeated query words count each time. The corpus is folded and cut into words once, whatever the query."""
+    phrase = query.strip().lower().translate(str.maketrans(ACCENTED, PLAIN))
+    wanted = Counter(re.findall("[a-z0-9]+", phrase))
+    if not wanted:
+        return F.lit(0.0)
+    folded = accent_fold(corpus)
+    words = F.array(*[F.lit(w) for w in wanted])
+    found = F.array_intersect(words, F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), 1))
+    if max(wanted.values()) == 1:
+        hits = F.size(found)
+    else:
+        times = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
+        hits = F.aggregate(found, F.lit(0), lambda n, w: n + times[w])
+    return F.coalesce(F.least(F.lit(1.0), hits / F.lit(wanted.total()) + F.when(F.contains(folded, F.lit(phrase)), 0.25).otherwise(0.0)), F.lit(0.0))
 
 
 def snippet(text: Column, found: Column, before: int = 60, size: int = 240) -> Column:

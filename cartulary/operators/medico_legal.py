@@ -3,7 +3,9 @@ rules of social-security law and what weakens a link, case merging."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence, hashing
@@ -37,6 +39,7 @@ EVENT_LABELS = {
 }
 INTERVAL_TYPES = ["internacao_inicio", "internacao_fim", "afastamento_inicio", "afastamento_fim_estimado"]
 MEDICAL_TYPES = ["parecer_medico", "atestado_medico", "receituario", "laudo_medico", "documento_composto"]
+MEDICAL_PAGES = ["documento_medico", "laudo_medico", "receituario", "atestado_medico", "parecer_medico"]
 BIRTH_MARKERS = "nascimento|nascto|data de nascimento|idade"
 #: Pairs of code prefixes where the second may follow from the first.
 PROGRESSION = [("S72", "S73"), ("S73", "M17"), ("T20", "L89"), ("T20", "M79"), ("T21", "M79"), ("M17", "M19"), ("M65", "M67")]
@@ -136,35 +139,83 @@ def events(seed_rows: DataFrame, units: DataFrame, zones: DataFrame | None = Non
 # --- causes ---------------------------------------------------------------------------------------------------------
 
 
-def _prefix(side: str) -> Column:
-    return F.nullif(F.left(F.col(f"{side}.cid"), F.lit(3)), F.lit(""))
+#: What a rule says of a link, and the law that it rests on.
+NO_CODE = "N/A"
+LEGAL_BASIS = {
+    "rule_presuncao_ntep": "Lei 8.213/1991 Art. 20; Decreto 3.048/1999; Tabela CEREST",
+    "rule_afastamento_prolongado": "TNU; Jurisprudência dominante em benefícios previdenciários",
+    "rule_mesmo_cid_multiplos_documentos": "Princípio de coerência probatória",
+    "rule_progressao_anatomica": "Critério médico-pericial: dose-resposta e progressão temporal",
+    "rule_conflito_datas_cids": "Coerência probatória e análise de documentos contraditórios",
+    "rule_pericia_confirma_anterior": "Jurisprudência STJ: peso probatório da perícia em benefícios previdenciários",
+}
+EXPLANATIONS = {
+    "rule_presuncao_ntep": "Presunção legal: {atividade} + {cid} está na tabela NTEP (Lei 8.213/91 Art. 20)",
+    "rule_afastamento_prolongado": "Afastamento de {dias} dias após acidente indica nexo causal (Jurisprudência TNU)",
+    "rule_mesmo_cid_multiplos_documentos": "CID {cid} confirmado em múltiplos documentos ({doc_a} e {doc_b}), validando diagnóstico",
+    "rule_progressao_anatomica": "Progressão anatômica: {cid_a} (lesão inicial) → {cid_b} (complicação) indica nexo da lesão inicial",
+    "rule_conflito_datas_cids": "⚠ CONFLITO: {cid} em {data_a} vs {data_b} (diferença: {dias} dias). Requer revisão.",
+    "rule_pericia_confirma_anterior": "Perícia INSS (data: {data_pericia}) confirma {cid} diagnosticado anteriormente, reforçando nexo causal",
+}
+
+
+def explanation(template: str) -> Column:
+    """A template with the values of the events a and b; values that are missing read as such."""
+    of = lambda c, otherwise: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(otherwise))
+    day = lambda side: F.coalesce(F.date_format(f"{side}.ts", "dd/MM/yyyy"), F.lit(NO_CODE))
+    values = {
+        "cid": of("b.cid", NO_CODE), "cid_a": of("a.cid", NO_CODE), "cid_b": of("b.cid", NO_CODE), "atividade": of("a.document_activity", NO_CODE),
+        "dias": F.coalesce(floor_days(F.col("a.ts"), F.col("b.ts")).cast("string"), F.lit(NO_CODE)), "data_a": day("a"), "data_b": day("b"), "data_pericia": day("b"),
+        "doc_a": of("a.event_type", "Evento A"), "doc_b": of("b.event_type", "Evento B"),
+    }
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
 
+def read_ntep(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """The table of occupational presumption from CSV files with columns activity and code: some hundred pairs."""
+    rows = spark.read.option("header", True).csv(path).select(F.lower("activity"), F.upper("code")).distinct().collect()
+    return sorted((r[0].replace(" ", "_"), r[1]) for r in rows)
 
-def _rules(ntep: list[tuple[str, str]]) -> list[causal.Rule]:
-    a, b = _prefix("a"), _prefix("b")
+
+def _rules(with_ntep: bool) -> list[causal.Rule]:
+    prefix, own = F.col("prefix"), F.array_compact(F.array("prefix"))
     later, days = F.col("a.ts") < F.col("b.ts"), floor_days(F.col("a.ts"), F.col("b.ts"))
-    same = a == b
-    activity = F.nullif(F.lower(F.trim("a.provider_activity")), F.lit(""))
-    listed = F.exists(F.array(*[F.struct(F.lit(x).alias("act"), F.lit(y).alias("code")) for x, y in ntep]), lambda t: F.contains(t["act"], activity) & F.contains(b, t["code"])) if ntep else F.lit(False)
-    conditions = {
-        "rule_presuncao_ntep": listed & later,
-        "rule_afastamento_prolongado": F.contains(F.lower("b.event_type"), F.lit("afastamento")) & (days > 30),
-        "rule_mesmo_cid_multiplos_documentos": same & later,
-        "rule_progressao_anatomica": F.array_contains(F.array(*[F.lit(f"{x}>{y}") for x, y in PROGRESSION]), F.concat_ws(">", a, b)) & a.isNotNull() & b.isNotNull() & later,
-        "rule_conflito_datas_cids": same & (F.abs(days) > 60),
-        "rule_pericia_confirma_anterior": F.contains(F.lower("b.event_type"), F.lit("perícia")) & same & later,
+    says = lambda word: F.contains(F.lower("event_type"), F.lit(word))
+    tests = {
+        "rule_presuncao_ntep": causal.Test(later, F.col("ntep_reach"), F.col("ntep_offers")),
+        "rule_afastamento_prolongado": causal.Test(days > 30, second=says("afastamento")),
+        "rule_mesmo_cid_multiplos_documentos": causal.Test(later, own),
+        "rule_progressao_anatomica": causal.Test(later, causal.next_codes(prefix, PROGRESSION), own),
+        "rule_conflito_datas_cids": causal.Test(F.abs(days) > 60, own),
+        "rule_pericia_confirma_anterior": causal.Test(later & F.contains(F.lower("b.event_type"), F.lit("perícia")), own),
     }
-    return [causal.Rule(k, F.coalesce(c, F.lit(False)), RULE_CONFIDENCE[k]) for k, c in conditions.items()]
+    # The codes of the same-code rules are compared by their prefix too.
+    tests = {k: causal.Test(t.condition, t.reach, t.offers if t.offers is not None or t.reach is None else own, t.second) for k, t in tests.items()}
+    return [causal.Rule(k, t, RULE_CONFIDENCE[k], explanation(EXPLANATIONS[k]), LEGAL_BASIS[k]) for k, t in tests.items() if with_ntep or k != "rule_presuncao_ntep"]
 
 
-def causal_links(events_df: DataFrame, ntep: list[tuple[str, str]], scope: str = "scope_id") -> DataFrame:
-    """events(scope, pos, event_id, event_type, ts, cid, provider_activity) -> links with confidence, weakening factors,
-    review state, level and colours of display. ntep: pairs of an activity and a fragment of a code prefix; the activity
-    of the first event is looked for inside the table's, and its code fragment inside the second event's prefix.
+def _activity(name: str) -> Column:
+    return F.nullif(F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_")), F.lit(""))
+
 
-    Links come in the order of pairs; conflicts have confidence 0 and stay."""
-    rows = events_df.withColumn("prefix", F.nullif(F.left("cid", F.lit(3)), F.lit("")))
-    found = causal.links(rows.withColumn("code", F.col("cid")), [scope], _rules(ntep))
+def causal_links(events_df: DataFrame, ntep: list[tuple[str, str]], scope: str = "scope_id") -> DataFrame:
+    """events(scope, pos, event_id, event_type, ts, cid, provider_activity, and if there are such document_activity and
+    citations) -> links with confidence, explanation, citations, weakening factors, review state, level and thickness of display.
+
+    ntep: pairs of an activity and a fragment of a code. A pair speaks for a link if its activity is within that of the
+    first event (or, where that has none, of its document), spaces read as underscores, and its fragment within the
+    first three characters of the second event's code. Conflicts have confidence 0 and stay."""
+    rows = events_df.withColumn("prefix", F.nullif(F.left("cid", F.lit(3)), F.lit(""))).withColumn("code", F.col("cid"))
+    for name, kind in (("document_activity", "string"), ("citations", "array<struct<source:string,page:int,snippet:string,bbox:array<double>,provenance_status:string>>")):
+        rows = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast(kind))
+    if ntep:
+        rows = rows.withColumn("__activity", F.coalesce(_activity("provider_activity"), _activity("document_activity")))
+        acts = rows.select("__activity").distinct().withColumn("ntep_reach", causal.reached(F.col("__activity"), ntep))
+        codes = rows.select("prefix").distinct().withColumn("ntep_offers", causal.held(F.col("prefix"), [c for _, c in ntep]))
+        rows = rows.join(acts, "__activity", "left").join(codes, "prefix", "left")
+    cited = F.array_compact(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"{side}.event_id").alias("event_id"), F.try_element_at(f"{side}.citations", F.lit(1)).alias("citation")) for side, kind in (("a", "source_event"), ("b", "target_event"))]))
+    found = causal.links(rows, [scope], _rules(bool(ntep)), more={"citations": F.filter(cited, lambda c: c["citation"].isNotNull())})
     coded = rows.where("prefix IS NOT NULL")
     busy = causal.conflicting_values(coded, [scope, "prefix"], "provider_activity").select(scope, F.col("prefix").alias("__pb"), F.col("conflicting"))
     gap = causal.gaps(coded, [scope, "prefix"], "ts", 730).select(scope, F.col("prefix").alias("__pa"), F.col("has_gap"))
@@ -173,12 +224,20 @@ def causal_links(events_df: DataFrame, ntep: list[tuple[str, str]], scope: str =
     factors = F.array_compact(F.array(F.when(late, "diagnóstico_tardio"), F.when(F.col("conflicting"), "ocupações_conflitantes"), F.when(F.col("has_gap"), "intervalo_sem_tratamento")))
     c = F.col("confidence")
     return out.select(
-        scope, "event_a", "event_b", "rule_id", "confidence", factors.alias("weakening_factors"), (F.col("rule_id") == "rule_conflito_datas_cids").alias("is_conflict"),
+        scope, "event_a", "event_b", "ts_a", "ts_b", "rule_id", "confidence", "explanation", "legal_basis", "citations", factors.alias("weakening_factors"), (F.col("rule_id") == "rule_conflito_datas_cids").alias("is_conflict"),
         F.when(F.size(factors) > 0, "needs_review").otherwise(confidence.review_state(c)).alias("review_state"), confidence.causal_level(c).alias("level"), confidence.link_strength(c).alias("strength"),
         F.when(c >= 0.9, 3).when(c >= 0.75, 2).otherwise(1).alias("thickness"),
     )
 
 
+def with_citations(events_df: DataFrame, document: str = "document_id") -> DataFrame:
+    """events with a citation each: those that have none point at the first page of their document, as inferred."""
+    kind = "array<struct<source:string,page:int,snippet:string,bbox:array<double>,provenance_status:string>>"
+    said = F.coalesce("description", "title", F.lit(""))
+    stand_in = F.array(F.struct(F.concat(F.lit("document://"), F.coalesce(F.col(document).cast("string"), F.lit("unknown"))), F.lit(1), said, F.lit(None).cast("array<double>"), F.lit("inferred"))).cast(kind)
+    return events_df.withColumn("citations", F.when(F.size(F.coalesce("citations", F.array().cast(kind))) > 0, F.col("citations")).otherwise(stand_in))
+
+
 def merged_case(documents: list[DataFrame], scope: str) -> DataFrame:
     """Events of several documents as one case: each event once, in order of dates, undated ones last."""
     merged = timeline.merge(documents, "event_id", "ts").withColumn("scope_id", F.lit(scope))

@@ -58,8 +58,9 @@ def page(df: DataFrame, date: str, key: str, skip: int, limit: int) -> DataFrame
 
 def search(df: DataFrame, key: str, text: str, query: str, limit: int, least: float = 0.15) -> DataFrame:
     """Hits of a text search, best first, with a snippet."""
-    found = df.withColumn("score", search_score(F.col(text), query)).where((F.col("score") >= least) & F.col(key).isNotNull())
-    return found.orderBy(F.col("score").desc(), key).limit(max(1, limit)).select(key, F.round("score", 6).alias("score"), snippet(F.col(text), F.lit(query)).alias("snippet"))
+    # The best rows are taken before the bound of the score and the snippet, so the score is computed once a row.
+    found = df.where(F.col(key).isNotNull()).withColumn("score", search_score(F.col(text), query))
+    return found.orderBy(F.col("score").desc(), key).limit(max(1, limit)).where(F.col("score") >= least).select(key, F.round("score", 6).alias("score"), snippet(F.col(text), F.lit(query)).alias("snippet"))
 
 
 def title(doc_type: Column, patient: Column, media: Column, document_id: Column) -> Column:

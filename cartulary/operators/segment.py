@@ -47,3 +47,17 @@ def merge_readings(native: DataFrame, ocr: DataFrame, on: list[str], quality, le
     take_native = (F.col("__n") >= least) & (F.length(n) >= F.greatest(F.lit(20.0), 0.6 * F.length(o)))
     source = F.when(take_native, "native").when(F.col("__o") > 0, "ocr").when(F.length(n) > 0, "native").otherwise("none")
     return both.withColumn("source", source).withColumn("text", F.when(source == "native", n).when(source == "ocr", o).otherwise("")).drop("__n", "__o")
+
+
+def spans_text(spans: DataFrame, by: list[str], joint: str = " ") -> DataFrame:
+    """(by, text, n_spans): the spans of each page from top to bottom and from left to right, blank ones left out; spans at one
+    place keep their order. spans(by, span_ord, text, bbox as [x0, y0, x1, y1])."""
+    row = F.struct(F.col("bbox")[1].alias("y0"), F.col("bbox")[0].alias("x0"), "span_ord", F.trim("text").alias("text"))
+    parts = F.array_sort(F.collect_list(F.when(F.trim("text") != "", row)))
+    return spans.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["text"]), joint).alias("text"), F.count("*").alias("n_spans"))
+
+
+def box(values: Column) -> Column:
+    """A box as four numbers; null for anything else."""
+    numbers = F.transform(values, lambda v: v.cast("string").try_cast("double"))
+    return F.when((F.size(numbers) == 4) & F.forall(numbers, lambda v: v.isNotNull()), numbers)

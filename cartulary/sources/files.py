@@ -23,7 +23,9 @@ from ..session import ship
 
 #: MIME types by suffix.
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "wav": "audio/wav", "mp3": "audio/mpeg", "mp4": "video/mp4", "txt": "text/plain", "csv": "text/csv", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
-LEAST_NATIVE_CHARS, MOST_PAGES = 20, 300
+LEAST_NATIVE_CHARS = 20
+#: Fixed value: pages of a file whose layout is read; texts are read from all pages.
+LAYOUT_PAGES = 300
 
 
 def suffix(path: str | Column) -> Column:
@@ -98,7 +100,7 @@ def pdf_pages(data: bytes) -> list[tuple[str, int]] | None:
     if importlib.util.find_spec("pypdf") is None:
         return None
     reader = importlib.import_module("pypdf").PdfReader(io.BytesIO(data))
-    return [(p.extract_text() or "", len(p.images)) for p in reader.pages[:MOST_PAGES]]
+    return [(p.extract_text() or "", len(p.images)) for p in reader.pages]
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +151,76 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def _tiff(data: bytes) -> tuple[bytes, str] | None:
+    """The TIFF part of a JPEG's EXIF block, and its byte order."""
+    at = data.find(b"Exif\0\0")
+    if at < 0 or data[at + 6 : at + 8] not in (b"II", b"MM"):
+        return None
+    return data[at + 6 :], "<" if data[at + 6 : at + 8] == b"II" else ">"
+
+
+def exif_tags(data: bytes) -> dict[str, dict[int, object]]:
+    """Tags of the directories ``main``, ``exif`` and ``gps`` by number: texts, numbers, or lists of numbers. Entries that
+    point outside the block are left out."""
+    found = _tiff(data)
+    if found is None:
+        return {}
+    block, order = found
+    sizes = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 7: ("B", 1), 9: ("i", 4), 10: ("ii", 8)}
+
+    def directory(at: int) -> dict[int, object]:
+        out: dict[int, object] = {}
+        if at + 2 > len(block):
+            return out
+        for i in range(struct.unpack_from(order + "H", block, at)[0]):
+            place = at + 2 + 12 * i
+            if place + 12 > len(block):
+                break
+            tag, kind, count = struct.unpack_from(order + "HHI", block, place)
+            if kind not in sizes:
+                continue
+            shape, size = sizes[kind]
+            start = place + 8 if size * count <= 4 else struct.unpack_from(order + "I", block, place + 8)[0]
+            if start + size * count > len(block):
+                continue
+            if kind == 2:
+                out[tag] = block[start : start + count].split(b"\0")[0].decode("latin-1").strip()
+            else:
+                values = [struct.unpack_from(order + shape, block, start + size * k) for k in range(count)]
+                values = [v[0] / v[1] if len(v) == 2 and v[1] else v[0] for v in values]
+                out[tag] = values[0] if count == 1 else values
+        return out
+
+    main = directory(struct.unpack_from(order + "I", block, 4)[0])
+    below = {name: directory(int(main[tag])) for name, tag in (("exif", 0x8769), ("gps", 0x8825)) if isinstance(main.get(tag), (int, float))}
+    return {"main": main, **below}
+
+
+def gps_position(tags: dict[str, dict[int, object]]) -> tuple[float | None, float | None]:
+    """Latitude and longitude in degrees, south and west being negative."""
+    gps, out = tags.get("gps", {}), []
+    for side, value in ((1, 2), (3, 4)):
+        v = gps.get(value)
+        degrees = v[0] + v[1] / 60 + v[2] / 3600 if isinstance(v, list) and len(v) == 3 else None
+        out.append(-degrees if degrees is not None and gps.get(side) in ("S", "W") else degrees)
+    return out[0], out[1]
+
+
+def mp4_seconds(data: bytes) -> float | None:
+    """Duration by the movie header of an MP4 or MOV file."""
+    at = data.find(b"mvhd")
+    if at < 0 or at + 32 > len(data):
+        return None
+    scale, units = struct.unpack_from(">IQ", data, at + 24) if data[at + 4] == 1 else struct.unpack_from(">II", data, at + 16)
+    return units / scale if scale else None
+
+
 def exif_time(data: bytes) -> str | None:
-    """The first `YYYY:MM:DD HH:MM:SS` of the head, as `YYYYMMDD HHMMSS`."""
+    """When a picture was taken, as `YYYYMMDD HHMMSS`: tag 36867, else tag 306, else the first such time of the head."""
+    tags = exif_tags(data)
+    said = tags.get("exif", {}).get(36867) or tags.get("main", {}).get(306)
+    if isinstance(said, str) and (known := re.fullmatch(r"(\d{4}):(\d\d):(\d\d) (\d\d):(\d\d):(\d\d)", said)):
+        return "{}{}{} {}{}{}".format(*known.groups())
     found = re.search(rb"(\d{4}):(\d\d):(\d\d) (\d\d):(\d\d):(\d\d)", data[:65536]) if b"Exif" in data[:4096] else None
     return "{}{}{} {}{}{}".format(*(x.decode() for x in found.groups())) if found else None
 
@@ -161,7 +231,7 @@ def wav_seconds(data: bytes) -> float | None:
 
 
 def media_facts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, taken, seconds, warning) of images and sounds."""
+    """(path, width, height, taken, latitude, longitude, seconds, warning) of pictures, sounds and films."""
 
     ship(spark)
 
@@ -170,17 +240,19 @@ def media_facts(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for where, data in zip(pdf["path"], pdf["content"]):
                 size = taken = seconds = warning = None
+                position = (None, None)
                 try:
                     data = bytes(data)
                     size, taken = image_size(data), exif_time(data)
-                    seconds = wav_seconds(data) if data[:4] == b"RIFF" else None
+                    position = gps_position(exif_tags(data))
+                    seconds = wav_seconds(data) if data[:4] == b"RIFF" else mp4_seconds(data) if data[4:8] == b"ftyp" else None
                 except Exception as e:  # as in read_texts
                     warning = f"{type(e).__name__}: {e}"[:200]
-                rows.append((where, *(size or (None, None)), taken, seconds, warning))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "taken", "seconds", "warning"]).astype({"width": "Int64", "height": "Int64"})
+                rows.append((where, *(size or (None, None)), taken, *position, seconds, warning))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "taken", "latitude", "longitude", "seconds", "warning"]).astype({"width": "Int64", "height": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(decode, "path string, width long, height long, taken string, seconds double, warning string")
+    return files.mapInPandas(decode, "path string, width long, height long, taken string, latitude double, longitude double, seconds double, warning string")
 
 
 def gps_decimal(degrees: Column, minutes: Column, seconds: Column, side: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,37 @@ def markdown_report(cases: DataFrame, totals: DataFrame, axes: tuple[str, ...])
     for r in cases.orderBy("case_id").collect():
         lines.append(f"| {r['case_id']} | {r['score']:.2f} | {' | '.join(f'{r[a]:.2f}' for a in axes)} | {r['regressions']} |")
     return "\n".join(lines) + "\n"
+
+
+def artefact_path(ingested_at: str, key: str) -> Column:
+    """`artefacts/YYYY/MM/<id>`, by the time of ingestion; without one it is year and month 0."""
+    year, month = F.coalesce(F.date_format(ingested_at, "yyyy"), F.lit("0000")), F.coalesce(F.date_format(ingested_at, "MM"), F.lit("00"))
+    return F.concat_ws("/", F.lit("artefacts"), year, month, F.col(key))
+
+
+def write_artefacts(files: DataFrame, key: str, path: str, ingested_at: str = "ingested_at") -> DataFrame:
+    """files(key, content, ingested_at) as a table of contents in folders of year and month; returns (key, logical_path, size_bytes).
+    A content is found again by its folder and id."""
+    at = F.col(ingested_at)
+    rows = files.withColumn("year", F.coalesce(F.year(at), F.lit(0))).withColumn("month", F.coalesce(F.month(at), F.lit(0)))
+    rows.select(key, "content", "year", "month").write.mode("append").partitionBy("year", "month").parquet(path)
+    return files.select(key, artefact_path(ingested_at, key).alias("logical_path"), F.length("content").alias("size_bytes"))
+
+
+def read_artefact(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col(key) == value).select(key, "content")
+
+
+def without_artefact(spark: SparkSession, path: str, key: str, value: str, to: str) -> None:
+    """Writes the contents without one of them under another path."""
+    spark.read.parquet(path).where(F.col(key) != value).write.partitionBy("year", "month").parquet(to)
+
+
+def write_indexed(df: DataFrame, path: str, unique: list[str], order: list[str], partitions: int | None = None) -> None:
+    """A table whose lookups by a unique column read few row groups (bloom filters) and whose scans by the order columns
+    skip most of them (rows are dealt by range and sorted). What a document store would index."""
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    writer = ranged.sortWithinPartitions(*order).write.mode("overwrite")
+    for c in unique:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
