@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, dates, text
+from ..session import kept
 from . import confidence_of
 from .ranking import best
 
@@ -81,9 +82,9 @@ def clean(value: Column) -> Column:
 
 def distinct_ci(values: Column) -> Column:
     """The values in order, each once whatever its case; nulls go."""
-    seen = lambda kept, v: F.exists(kept, lambda k: F.lower(k) == F.lower(v))
+    seen = lambda have, v: F.exists(have, lambda k: F.lower(k) == F.lower(v))
     empty = F.array().cast("array<string>")
-    return F.aggregate(F.coalesce(values, empty), empty, lambda kept, v: F.when(v.isNull() | seen(kept, v), kept).otherwise(F.array_append(kept, v)))
+    return F.aggregate(F.coalesce(values, empty), empty, lambda have, v: F.when(v.isNull() | seen(have, v), have).otherwise(F.array_append(have, v)))
 
 
 def first_of(value: Column, pattern: str, group: int = 1) -> Column:
@@ -193,7 +194,7 @@ def clinical_entities(value: Column) -> Column:
     real = F.filter(pairs, lambda m: m["name"].isNotNull() & m["dose"].isNotNull() & ~F.lower(m["name"]).isin(NO_MEDICINES))
     same = lambda k, m: (F.lower(k["name"]) == F.lower(m["name"])) & (F.lower(k["dose"]) == F.lower(m["dose"]))
     none = F.array().cast("array<struct<name:string,dose:string>>")
-    medicines = F.aggregate(real, none, lambda kept, m: F.when(F.exists(kept, lambda k: same(k, m)), kept).otherwise(F.array_append(kept, m)))
+    medicines = F.aggregate(real, none, lambda have, m: F.when(F.exists(have, lambda k: same(k, m)), have).otherwise(F.array_append(have, m)))
     provider = F.coalesce(first_of(t, SINGLE["provider_label"]), first_of(t, PROVIDER_BEFORE_CRM), first_of(t, PROVIDER_TITLE))
     day, hour = first_of(t, SINGLE["attendance_date"]), first_of(t, SINGLE["attendance_time"])
     return F.struct(
@@ -214,8 +215,8 @@ def date_candidates(value: Column) -> Column:
     found = F.filter(F.concat(numeric, words, stamps), lambda x: x["date_iso"].isNotNull())
     same = lambda a, b: (a["literal"] == b["literal"]) & (a["date_iso"] == b["date_iso"])
     none = F.array().cast("array<struct<literal:string,date_iso:string,kind:string>>")
-    put = lambda kept, x: F.transform(kept, lambda k: F.when(same(k, x), x).otherwise(k))
-    return F.aggregate(found, none, lambda kept, x: F.when(F.exists(kept, lambda k: same(k, x)), put(kept, x)).otherwise(F.array_append(kept, x)))
+    put = lambda have, x: F.transform(have, lambda k: F.when(same(k, x), x).otherwise(k))
+    return F.aggregate(found, none, lambda have, x: F.when(F.exists(have, lambda k: same(k, x)), put(have, x)).otherwise(F.array_append(have, x)))
 
 
 # --- names and their scores ------------------------------------------------------------------------------------------
@@ -298,9 +299,14 @@ def page_people(pages: DataFrame, keep: list[str], value: str = "text") -> DataF
     """pages(keep, text) -> (keep, role, name, raw_score, confidence, review_state) of patient, mother and provider. A
     mother's name doesn't share four fifths of the patient's words."""
     t = F.col(value)
-    own = pages.withColumn("__b", basic_entities(t)).withColumn("__c", clinical_entities(t))
-    label = {"patient": F.array("__b.patient_name"), "mother": F.array("__b.mother_name"), "provider": F.concat(F.array("__c.provider_name"), all_of(F.coalesce(t, F.lit("")), PROVIDER_TITLE))}
-    rows = {role: candidate_rows(own, keep, F.concat(F.transform(first, clean), F.col("__b.person_candidates")), value) for role, first in label.items()}
+    return people_of(kept(pages.select(*keep, t.alias("text"), basic_entities(t).alias("basic"), clinical_entities(t).alias("clinical")), "pages"), keep)
+
+
+def people_of(own: DataFrame, keep: list[str]) -> DataFrame:
+    """page_people() of pages whose entities are known: own(keep, text, basic, clinical)."""
+    titled = all_of(F.coalesce("text", F.lit("")), PROVIDER_TITLE)
+    label = {"patient": F.array("basic.patient_name"), "mother": F.array("basic.mother_name"), "provider": F.concat(F.array("clinical.provider_name"), titled)}
+    rows = {role: candidate_rows(own, keep, F.concat(F.transform(first, clean), F.col("basic.person_candidates")), "text") for role, first in label.items()}
     rows = {role: df.where(checks.person_name(F.col("name"))) for role, df in rows.items()}
     patient = choose(rows["patient"], keep, patient_score(F.col("name")))
     words = lambda c: F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 2)
@@ -361,11 +367,12 @@ def analyse(pages: DataFrame, keep: list[str], value: str = "text", spans: DataF
     from . import medico_legal
 
     t = F.col(value)
-    own = pages.select(*keep, t.alias("text"), medico_legal.page_type(t).alias("__t"), basic_entities(t).alias("basic"), clinical_entities(t).alias("clinical"), date_candidates(t).alias("dates"))
-    people = page_people(pages, keep, value).groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct("name", "confidence", "review_state")))).alias("people"))
+    own = kept(pages.select(*keep, t.alias("text"), medico_legal.page_type(t).alias("__t"), basic_entities(t).alias("basic"), clinical_entities(t).alias("clinical"), date_candidates(t).alias("dates")), "pages")
+    people = people_of(own, keep).groupBy(*keep).agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct("name", "confidence", "review_state")))).alias("people"))
     evidence = own.join(people, keep, "left").select(*keep, "text", F.col("__t.value").alias("page_type"), F.col("__t.confidence").alias("type_confidence"), "people", "basic", "clinical", "dates")
+    evidence = kept(evidence, "evidence")
     named = lambda role: F.try_element_at("people", F.lit(role))["name"].alias(role)
     found = evidence.select(*keep, named("patient"), named("mother"), named("provider"), F.col("clinical.service").alias("service"), F.col("clinical.specialty").alias("specialty"), F.col("basic.crm").alias("crms"), F.col("clinical.cids").alias("cids"), "dates")
     rows = anchors(found, keep)
     rows = rows.withColumn("bbox", F.lit(None).cast("array<double>")) if spans is None else place_anchors(rows, spans, keep)
-    return evidence, zones(rows)
+    return evidence, kept(zones(rows), "zones")

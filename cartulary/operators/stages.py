@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
+from ..session import kept
 from . import canonical, confidence_of, document_types, medico_legal, page_entities, segment
 from .ranking import best, keep_first
 
@@ -45,6 +46,7 @@ def units(pages: DataFrame, anchors: DataFrame, grain: list[str]) -> DataFrame:
     pages: evidence with unit_id; anchors: zones of page_entities (document_id, page, label, value, bbox, snippet, ord).
     A unit's lists are those of its pages; texts are joined in the order of pages."""
     key = grain[0]
+    pages = kept(pages, "unit-pages")
     first_box = best(anchors, [key, "page", "label", "value"], [F.col("bbox").isNull(), F.col("ord")]).select(key, "page", "label", "value", F.col("bbox").alias("box"), F.col("snippet").alias("shown"))
 
     role_rows = None

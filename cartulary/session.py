@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings for large inputs; sizes of partitions are left to the cluster.
 SETTINGS = {
@@ -24,6 +25,22 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder.config(map=SETTINGS)
 
 
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the folder that all machines share (``spark.checkpoint.dir``), so that what reads it
+    several times doesn't compute it again. Where that is unset and everything runs in one process, the session gets a
+    folder of its own; on a cluster that is an error."""
+    spark = df.sparkSession
+    if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        at = f"file://{tempfile.mkdtemp(prefix='cartulary-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/cartulary-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the Python workers, once a context, unless they find it by PYTHONPATH or by the folder that
     they start in."""
