@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, text_blocks
+from .common import materialise, text_blocks
 
 WINDOW = 35
 #: Rounds of pairs, and those of them that a round of runs precedes. After six rounds a symbol spans 5 words or so.
@@ -238,8 +238,6 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", column: str = "text",
     text = F.coalesce(F.col(column), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(text).alias("t"), F.xxhash64(F.lit("again"), text).alias("t2"), text.alias("text"))
     whole = rows.select("t", "t2", "text")
-    parts = shuffle_partitions(docs.sparkSession)
-
     copies = rows.groupBy("t", "t2").agg(F.count("*").alias("copies"))
     clash = copies.groupBy("t").agg((F.count("*") > 1).alias("clash"))
     copies = materialise(copies.join(clash, "t").select("t", "t2", "copies", "clash"), "copies")
@@ -248,10 +246,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", column: str = "text",
     spans = materialise(_alone(spans, ["key"], "p"), "grounds")
 
     def joined(*more: DataFrame) -> DataFrame:
-        out = whole.mapInArrow(_distinct_in_task, whole.schema).repartition(parts, "t", "t2").join(copies.hint("shuffle_hash"), ["t", "t2"])
+        """The texts with what is known of them. Joins are by sort and merge, which spill, and adaptive execution chooses and
+        splits their partitions; what is joined to the texts is small and is put together first."""
+        known = copies
         for df in more:
-            out = out.join(df.hint("shuffle_hash"), ["t", "t2"], "left")
-        return out
+            known = known.join(df, ["t", "t2"], "left")
+        return whole.mapInArrow(_distinct_in_task, whole.schema).join(known, ["t", "t2"])
 
     windows = joined(spans).select("t", "t2", "text", "clash", "ps").mapInArrow(lambda b: _windows(b, window), "h1 long, h2 long, t long, t2 long, s long")
     alone = materialise(_alone(windows, ["h1", "h2"], "s"), "windows")
