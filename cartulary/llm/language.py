@@ -28,7 +28,7 @@ _SPACED = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 def trigram_cells(texts: list[str | None], of: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words of the texts, one after the other: cells of trigrams, where each word's trigrams start, and where
     each text's words start (one entry more than texts). A trigram starts at the space before a word, or at one of its
-    bytes but the last."""
+    bytes but the last, so no trigram reaches into the next word or text."""
     data = [b" " + b" ".join(((x or "").lower().encode(errors="surrogatepass")).translate(_SPACED).split()) for x in texts]
     whole = np.frombuffer(b"".join(data) + b"  ", np.uint8).astype(np.uint32)
     first = whole == 32
@@ -37,8 +37,10 @@ def trigram_cells(texts: list[str | None], of: int = CELLS) -> tuple[np.ndarray,
     starts = np.flatnonzero(first)
     lengths = np.array([len(x) for x in data], np.int64)
     bounds = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+    inside = whole[1:-1] != 32  # a trigram whose second byte is a space would join two words
+    starts = (np.cumsum(inside) - 1)[starts]
     h = (whole[:-2] * np.uint32(0x9E3779B1)) ^ (whole[1:-1] * np.uint32(0x85EBCA77)) ^ (whole[2:] * np.uint32(0xC2B2AE3D))
-    return ((h ^ (h >> np.uint32(15))) & np.uint32(of - 1)).astype(np.int32), starts, bounds
+    return ((h ^ (h >> np.uint32(15))) & np.uint32(of - 1)).astype(np.int32)[inside], starts, bounds
 
 
 def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang", of: int = CELLS) -> DataFrame:
