@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, hashing, text
-from ..operators import classify, extract, ranking, readmodel, segment
+from ..operators import classify, extract, readmodel, segment
 from .registry import query, table
 
 _FROM, _TO = text.ACCENTED, text.PLAIN
@@ -195,34 +195,13 @@ def accent_fold_tokens(spark, sf):
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
 
 
-_SETS_SQL = f"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)) AS t FROM documents),
- b AS (SELECT item_id, list_distinct(regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)) AS u FROM benchmark),
- p AS (SELECT doc_id, item_id, t, u FROM d JOIN b ON d.doc_id % 40 = b.item_id)"""
-
-
-def _token_pairs(spark, sf):
-    """Each document beside one benchmark item: an equi join on a key made of the id."""
-    items = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.tokens("text")).alias("u"))
-    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(text.tokens("text")).alias("t"), (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(items, "item_id")
-
-
-@query(_SETS_SQL + " SELECT doc_id, item_id, round(CASE WHEN least(len(t), len(u)) > 0 THEN len(list_intersect(t, u)) / least(len(t), len(u)) ELSE 0 END :: DOUBLE, 6) AS overlap FROM p")
-def token_overlap_minsize(spark, sf):
-    return _token_pairs(spark, sf).select("doc_id", "item_id", F.round(text.overlap_of_smaller(F.col("t"), F.col("u")), 6).alias("overlap"))
-
-
-@query(_SETS_SQL + " SELECT doc_id, item_id, round(CASE WHEN len(t) + len(u) > 0 THEN len(list_intersect(t, u)) / (len(t) + len(u) - len(list_intersect(t, u))) ELSE 0 END :: DOUBLE, 6) AS jaccard FROM p")
-def token_jaccard(spark, sf):
-    return _token_pairs(spark, sf).select("doc_id", "item_id", F.round(text.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)) AS t FROM documents),
  b AS (SELECT item_id, list_distinct(regexp_extract_all({_FOLD}, '([a-z0-9]+)', 1)) AS u FROM benchmark),
  p AS (SELECT doc_id, item_id, len(t) AS n, len(u) AS m, len(list_intersect(t, u)) AS c FROM d, b)
  SELECT doc_id, item_id, round((c / least(n, m)) :: DOUBLE, 6) AS overlap, round((c / (n + m - c)) :: DOUBLE, 6) AS jaccard FROM p WHERE c > 0""")
 def token_pairs_by_content(spark, sf):
-    """Every document beside every item that shares a token with it. Shared tokens are counted before the shuffle."""
+    """Every document beside every item that shares a token with it: the overlap of the smaller set, and Jaccard's. Shared
+    tokens are counted before the shuffle."""
     one = lambda name, key, n: table(spark, sf, name).select(key, F.array_distinct(text.tokens("text")).alias("t")).select(key, F.size("t").alias(n), F.explode("t").alias("token"))
     shared = one("documents", "doc_id", "n").join(one("benchmark", "item_id", "m"), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
     return shared.select("doc_id", "item_id", F.round(F.col("c") / F.least("n", "m"), 6).alias("overlap"), F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("jaccard"))
@@ -244,22 +223,6 @@ def search_snippet(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), F.lit("anth")).alias("snippet"))
 
 
-@query("""SELECT i.item_id, line_no, round(score :: DOUBLE, 4) AS score FROM (
-   SELECT item_id, line_no, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, line_no) AS rn FROM (
-     SELECT b.item_id, l.line_no, CASE WHEN lower(b.text) = lower(l.line) THEN 20 WHEN contains(lower(b.text), lower(l.line)) OR contains(lower(l.line), lower(b.text)) THEN 10 ELSE 0 END
-        + 10 * CASE WHEN least(len(bt), len(lt)) > 0 THEN len(list_intersect(bt, lt)) / least(len(bt), len(lt)) ELSE 0 END AS score
-     FROM (SELECT item_id, text, list_distinct(string_split(lower(text), ' ')) AS bt FROM benchmark) b
-     JOIN (SELECT doc_id, i AS line_no, ls[i + 1] AS line, list_distinct(string_split(lower(ls[i + 1]), ' ')) AS lt FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) l ON l.doc_id = b.item_id)
-   WHERE score >= 1) i WHERE rn = 1""")
-def span_best_match(spark, sf):
-    """For each item the line of the document of its id that matches it best: equal, contained, or by shared words."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value"), F.array_distinct(F.split(F.lower("text"), " ")).alias("bt"))
-    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
-    v, line = F.lower("value"), F.lower("line")
-    score = F.when(v == line, 20).when(F.contains(v, line) | F.contains(line, v), 10).otherwise(0) + 10 * text.overlap_of_smaller(F.col("bt"), F.array_distinct(F.split(line, " ")))
-    return ranking.best_match(items, lines, ["item_id"], ["item_id"], score, 1.0, ["line_no"]).select("item_id", "line_no", F.round("score", 4).alias("score"))
-
-
 _WORDS_SQL = "list_filter(list_distinct(string_split(lower({}), ' ')), lambda w : w <> '')"
 
 

@@ -179,13 +179,15 @@ def timeline_summary(spark, sf):
     return timeline.summary(rows, "user_id")
 
 
-@query("""WITH u AS (SELECT event_id, ts, user_id, 0 AS doc_ord FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, ts + INTERVAL 1 HOUR, user_id, 1 FROM events WHERE event_id % 3 = 0),
+@query("""WITH u AS (SELECT event_id, ts, user_id, 0 AS doc_ord FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, ts + INTERVAL 1 HOUR, user_id, 1 FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT event_id, ts, user_id, 2 FROM events),
  k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY doc_ord) AS rn FROM u)
  SELECT user_id, event_id, CAST(doc_ord AS INT) AS doc_ord, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) :: INT AS merged_pos FROM k WHERE rn = 1""")
 def case_merge(spark, sf):
+    """Three documents of a case: one of even ids, one that has every third event an hour later, and one with all of them."""
     events = table(spark, sf, "events").select("event_id", "ts", "user_id")
     later = events.where("event_id % 3 = 0").withColumn("ts", F.expr("ts + INTERVAL 1 HOUR"))
-    merged = timeline.merge([events.where("event_id % 2 = 0"), later], "event_id", "ts")
+    merged = timeline.merge([events.where("event_id % 2 = 0"), later, events], "event_id", "ts")
     return timeline.in_order(merged, ["user_id"], [F.col("ts").asc_nulls_last(), F.col("event_id")]).select("user_id", "event_id", "doc_ord", "merged_pos")
 
 
