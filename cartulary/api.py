@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import medico_legal, readmodel, segment, timeline
+from .operators import causal, document_types, legal_fields, medico_legal, process, readmodel, segment, stages, timeline
 from .operators.ranking import best
+from .sources import files, sinks
 
 
 @dataclass
@@ -20,6 +22,9 @@ class Collection:
     zones: DataFrame | None = None
     read_models: DataFrame | None = None
     ntep: list[tuple[str, str]] | None = None
+    facts: DataFrame | None = None
+    spans: DataFrame | None = None
+    _tables: list[process.Tables] = field(default_factory=list, repr=False)
 
     def page_types(self) -> DataFrame:
         return self.pages.withColumn("t", medico_legal.page_type(F.col("text"))).select("*", F.col("t.value").alias("page_type"), F.col("t.confidence").alias("type_confidence")).drop("t")
@@ -55,3 +60,81 @@ class Collection:
 
     def search_text(self, query: str, limit: int = 20) -> DataFrame:
         return readmodel.search(self.read_models, "document_id", "search_text", query, min(limit, 100))
+
+    def search_all(self, skip: int = 0, limit: int = 20) -> DataFrame:
+        """Every document, latest first."""
+        return readmodel.page(self.read_models, "date_canonical", "document_id", skip, limit)
+
+    # --- the whole way, from pages ---------------------------------------------------------------------------------
+
+    @staticmethod
+    def health(spark: SparkSession) -> DataFrame:
+        return spark.range(1).select(F.lit("ok").alias("status"), F.lit(spark.version).alias("engine"))
+
+    @staticmethod
+    def ingest(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+        return files.ingest(spark, path, known)
+
+    @classmethod
+    def of_files(cls, spark: SparkSession, path: str, known: DataFrame | None = None, **options) -> Collection:
+        """Accepted files below path with their pages: the id of a document is the hash of its content."""
+        accepted = files.ingest(spark, path, known).where("status = 'accepted'")
+        texts = files.read_texts(spark, path).join(accepted.select("path", F.col("content_sha256").alias("document_id")), "path")
+        media = files.media_facts(spark, path).drop("warning")
+        facts = accepted.join(media, "path", "left").select(F.col("content_sha256").alias("document_id"), "media", F.lit("upload").alias("origin"), F.col("path").alias("artifact_uri"), "width", "height", "taken", "seconds")
+        return cls(pages=texts.select("document_id", "page", F.coalesce("text", F.lit("")).alias("text")), facts=facts, **options)
+
+    def processed(self) -> process.Tables:
+        """All tables of the collection, made once."""
+        if not self._tables:
+            facts = self.facts
+            if facts is None:
+                nothing = {"width": "long", "height": "long", "taken": "string", "seconds": "double", "origin": "string", "artifact_uri": "string"}
+                facts = self.pages.select("document_id").distinct().select("document_id", F.lit("documento").alias("media"), *[F.lit(None).cast(t).alias(n) for n, t in nothing.items()])
+            self._tables.append(process.process(self.pages, facts, self.spans))
+        return self._tables[0]
+
+    def extract(self, document_id) -> DataFrame:
+        """The evidence of a document's pages."""
+        return self.processed().evidence.where(F.col("document_id") == document_id).orderBy("page")
+
+    def infer_context(self, document_id) -> DataFrame:
+        """The type of a document and of what it is about."""
+        t = self.processed()
+        facts = self.facts if self.facts is not None else t.models.select("document_id", F.col("media_type").alias("media"), *[F.lit(None).cast("string").alias(c) for c in ("width", "height", "taken", "seconds")])
+        rows = facts.join(t.documents.select("document_id", "text", F.col("document_type").alias("canonical_type")), "document_id", "left")
+        return stages.context(rows.where(F.col("document_id") == document_id))
+
+    def narrative(self, document_id) -> DataFrame:
+        return process.narrative(self.processed().models.where(F.col("document_id") == document_id))
+
+    def case(self, document_id) -> DataFrame:
+        """Everything about one document: model, timeline, review, legal part and where it comes from."""
+        t, one = self.processed(), F.col("document_id") == document_id
+        texts = t.documents.where(one).select("document_id", document_types.legal_type(F.col("text"))["value"].alias("doc_type"), "text")
+        fields = legal_fields.text_fields(texts)
+        legal = legal_fields.legal_section(fields, legal_fields.facts(fields), fields.limit(0))
+        items = t.review.where(one).withColumn("source", F.col("item_type"))
+        view = readmodel.case_view(t.models.where(one).withColumnRenamed("timeline", "timeline_summary"), t.events.where(one), items)
+        return view.join(legal, "document_id", "left").withColumn("provenance", stages.provenance(F.coalesce(F.size("timeline"), F.lit(0)) > 0))
+
+    def dossier(self, document_id) -> DataFrame:
+        t, one = self.processed(), F.col("document_id") == document_id
+        whole = t.models.where(one).select("document_id", "title", "media_type", "doc_type", "date_canonical", "artefacts")
+        return stages.dossier_payload(whole, t.events.where(one), t.summary.where(one), t.review.where(one))
+
+    def causal_timeline(self, scope: str = "case") -> tuple[DataFrame, DataFrame]:
+        """(events, links) of the whole collection as one case, in order."""
+        rows = self.processed().events.withColumn("ts", F.try_to_timestamp("date_iso")).withColumn("cid", F.get("codes", F.lit(0))).withColumn("provider_activity", F.lit(None).cast("string"))
+        merged = timeline.in_order(rows.withColumn("scope_id", F.lit(scope)), ["scope_id"], [F.col("ts").asc_nulls_last(), F.col("event_id")], "pos")
+        links = causal.in_order(medico_legal.causal_links(merged, self.ntep or []), ["scope_id"], list(medico_legal.RULE_CONFIDENCE))
+        return medico_legal.causal_timeline(merged, links), links
+
+    def stage(self, df: DataFrame, function: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+        """What a stage of the user's makes of a table, and its log."""
+        return stages.run_stage(df, function, name, "user")
+
+    def save(self, path: str) -> DataFrame:
+        """The read models as a table that is searched by id and read in the order of dates."""
+        sinks.write_indexed(self.processed().models, path, ["document_id"], ["date_canonical"])
+        return self.pages.sparkSession.read.parquet(path)
