@@ -47,11 +47,18 @@ def phone(digits: Column) -> Column:
     )
 
 
-def person_name(name: Column, least: int = 2, most: int = 8, stops: list[str] = ()) -> Column:
-    """Whether a string looks like a person's name: so many words, no digits, none of the stop phrases."""
+#: Words that no name of a person has.
+NO_NAME_WORDS = r"(?iu)\b(?:medicamentos?|subst[âa]ncias?|emitente|fornecedor|comprador|identifica[cç][aã]o|estado)\b"
+
+
+def person_name(name: Column, least: int = 2, most: int = 8, stops: list[str] = (), never: str | None = NO_NAME_WORDS) -> Column:
+    """Whether a string looks like a person's name: so many words, no digits, none of the stop phrases, and no word of the
+    pattern ``never``."""
     clean = F.trim(F.regexp_replace(name, r"\s+", " "))
     n = F.size(F.split(clean, " "))
     ok = (n >= least) & (n <= most) & ~clean.rlike("[0-9]") & (F.length(clean) > 0)
+    if never:
+        ok = ok & ~clean.rlike(never)
     for stop in stops:
         ok = ok & ~F.contains(F.lower(clean), F.lit(stop))
     return F.coalesce(ok, F.lit(False))

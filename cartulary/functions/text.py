@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters that decompose to one of a to z and combining marks, and those letters."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))) for i in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(c, d[0]) for c, d in pairs if c.islower() and "a" <= d[0] <= "z" and len(d) > 1 and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def lit_or_col(x) -> Column:
@@ -17,8 +24,9 @@ def lit_or_col(x) -> Column:
 
 
 def accent_fold(text) -> Column:
-    """Trimmed lower case without the accents of western European languages."""
-    return F.translate(F.lower(F.trim(lit_or_col(text))), ACCENTED, PLAIN)
+    """Trimmed lower case without the accents of Latin letters. Plain ASCII has none and is left as it is."""
+    low = F.lower(F.trim(lit_or_col(text)))
+    return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.translate(low, ACCENTED, PLAIN))
 
 
 def tokens(text) -> Column:
@@ -69,14 +77,9 @@ def search_score(corpus: Column, query: str) -> Column:
     wanted = Counter(re.findall("[a-z0-9]+", phrase))
     if not wanted:
         return F.lit(0.0)
-    folded = accent_fold(corpus)
-    words = F.array(*[F.lit(w) for w in wanted])
-    found = F.array_intersect(words, F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), 1))
-    if max(wanted.values()) == 1:
-        hits = F.size(found)
-    else:
-        times = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-        hits = F.aggregate(found, F.lit(0), lambda n, w: n + times[w])
+    folded, hits = accent_fold(corpus), F.lit(0)
+    for word, times in wanted.items():  # each is sought until its first place; the words of the corpus are never listed
+        hits = hits + F.when(folded.rlike(rf"(?<![a-z0-9]){word}(?![a-z0-9])"), times).otherwise(0)
     return F.coalesce(F.least(F.lit(1.0), hits / F.lit(wanted.total()) + F.when(F.contains(folded, F.lit(phrase)), 0.25).otherwise(0.0)), F.lit(0.0))
 
 

@@ -139,6 +139,8 @@ def events(seed_rows: DataFrame, units: DataFrame, zones: DataFrame | None = Non
 # --- causes ---------------------------------------------------------------------------------------------------------
 
 
+#: Arrows of links are grey as in a timeline that names no colour, those of conflicts red.
+LINK_COLOUR, CONFLICT_COLOUR = "#6b7280", "#dc2626"
 #: What a rule says of a link, and the law that it rests on.
 NO_CODE = "N/A"
 LEGAL_BASIS = {
@@ -226,7 +228,7 @@ def causal_links(events_df: DataFrame, ntep: list[tuple[str, str]], scope: str =
     return out.select(
         scope, "event_a", "event_b", "ts_a", "ts_b", "rule_id", "confidence", "explanation", "legal_basis", "citations", factors.alias("weakening_factors"), (F.col("rule_id") == "rule_conflito_datas_cids").alias("is_conflict"),
         F.when(F.size(factors) > 0, "needs_review").otherwise(confidence.review_state(c)).alias("review_state"), confidence.causal_level(c).alias("level"), confidence.link_strength(c).alias("strength"),
-        F.when(c >= 0.9, 3).when(c >= 0.75, 2).otherwise(1).alias("thickness"),
+        F.when(c >= 0.9, 3).when(c >= 0.75, 2).otherwise(1).alias("thickness"), F.when(F.col("rule_id") == "rule_conflito_datas_cids", CONFLICT_COLOUR).otherwise(LINK_COLOUR).alias("arrow_colour"),
     )
 
 

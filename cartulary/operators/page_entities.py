@@ -337,8 +337,7 @@ def anchors(pages: DataFrame, keep: list[str]) -> DataFrame:
 def place_anchors(anchor_rows: DataFrame, spans: DataFrame, keep: list[str]) -> DataFrame:
     """Anchors with the box of the span of their page that matches them best, or none.
 
-    spans(keep, span_ord, text, bbox). Pairs are made where an anchor and a span share a word or are equal, which all pairs of
-    a score of 8 or more do but spans that hold the value within a word; those are met by the value's first word."""
+    spans(keep, span_ord, text, bbox). Pairs are those of one page, so their number is bounded by what a page holds."""
     from . import ranking
 
     value, said = F.lower(text.collapse_spaces("literal")), F.lower(text.collapse_spaces("text"))

@@ -83,3 +83,22 @@ def write_indexed(df: DataFrame, path: str, unique: list[str], order: list[str],
     for c in unique:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
+
+
+def upsert_buckets(new: DataFrame, key: str, path: str, buckets: int = 64) -> DataFrame:
+    """Replaces rows by key in a table that is dealt into buckets by a hash of the key: only buckets that new rows fall into
+    are read and written again. The first call makes the table."""
+    from ..session import kept
+
+    spark = new.sparkSession
+    rows = kept(new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "new-rows")
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+    try:
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    except Exception as e:  # the table isn't there yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = rows.limit(0)
+    merged = kept(old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return spark.read.parquet(path).drop("bucket")

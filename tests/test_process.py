@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.api import Collection
+from cartulary.functions import values
 from cartulary.operators import document_types, hard_entities, legal_fields, medico_legal, page_entities, process, readmodel, segment, stages
 from cartulary.sources import files, recognition, sinks
 
@@ -152,6 +153,23 @@ def test_small_expressions(spark):
     assert sides.select(text).first()[0] == "10 dias"
 
 
+def test_values(spark, tmp_path):
+    df = spark.createDataFrame([(0.125, "2024-05-06T07:08:09", "Boom", "tesseract process timeout after 8 s"), (0.135, "2024-05-06 and more", "Boom", ""), (None, "2024-13-40", "Boom", None)], "x double, t string, e string, m string")
+    assert [r[0] for r in df.select(values.round_half_even(F.col("x"))).collect()] == [0.12, 0.14, None]
+    assert [r[0] for r in df.select(values.day_string(F.col("t"))).collect()] == ["2024-05-06", "2024-05-06", None]
+    details = [r[0] for r in df.select(values.error_details(F.col("e"), F.col("m"))).collect()]
+    assert details[0]["code"] == "ocr_timeout" and details[0]["cause_message"].startswith("tesseract") and details[1]["message"] == "Boom" and details[2]["code"] is None
+    made = [r[0] for r in df.select(values.provenanced(F.col("x"), "s", "m", 0.9)).collect()]
+    assert [m["estado"] for m in made] == ["confirmado", "confirmado", "insuficiente"]
+    nested = df.select(F.struct(F.struct(F.col("t").alias("c")).alias("b")).alias("a"))
+    assert nested.select(values.path(nested, "a.b.c")).first()[0] == "2024-05-06T07:08:09" and nested.select(values.path(nested, "a.x.c", F.lit("none"))).first()[0] == "none"
+    assert values.inferred_offline(df, "t").first()["rules"] == ["llm_offline_missing_api_key"]
+    old = sinks.upsert_buckets(spark.range(100).select(F.col("id"), F.lit("old").alias("v")), "id", f"{tmp_path}/t", 8)
+    assert old.count() == 100
+    now = sinks.upsert_buckets(spark.createDataFrame([(5, "new"), (500, "new")], "id long, v string"), "id", f"{tmp_path}/t", 8)
+    assert now.count() == 101 and now.where("v = 'new'").count() == 2 and now.where("id = 5").count() == 1
+
+
 def test_candidates_and_blocks(collection):
     docs = collection.processed().documents
     rows = {(r["document_id"], r["field"]): r for r in stages.candidates(docs, ["document_id"]).collect()}
