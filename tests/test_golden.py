@@ -38,3 +38,51 @@ def test_scores(spark, tmp_path):
     assert got["late"].timeline_consistency == 0.0 and got["late"].confiabilidade == round(100 * 7 / 8, 2)
     totals = golden.totals(golden.evaluate(golden.read_cases(spark, str(tmp_path)))).first()
     assert totals.cases == 4 and totals.entidades == round((100 + 0 + 50 + 100) / 4, 2)
+
+
+def _published(i):
+    """A case with five checks of entities, made for this test; nothing in it fails."""
+    item = lambda **v: {**v, "provenance_status": "exact", "confidence": 0.9, "evidence": GOOD}
+    event = {"event_type": "exame", "title": "t", "description": "d", "date_iso": "2024-01-02", "provenance_status": "exact", "review_state": "auto_confirmed", "confidence": 0.9, "entities": {"patient": "Ana"}, "evidence": GOOD}
+    return {
+        "id": i, "title": i,
+        "expected": {"document_type": "laudo", "entities": {"patient": "ANA", "provider": "RUI", "cids": ["S72"], "document_date": "2024-01-02"}, "events": [{"event_type": "exame", "date_iso": "2024-01-02"}], "forbidden_document_dates": ["1980-01-01"]},
+        "actual": {"document_type": "laudo", "entities": {"patient": item(value="Ana"), "provider": item(value="Rui"), "document_date": item(date_iso="2024-01-02"), "cids": [item(code="S72")]}, "events": [event]},
+    }
+
+
+def test_published_scores_follow_from_cases_of_that_make(spark, tmp_path):
+    """Eleven cases that fail where the published ones do give the published axes, case by case and overall, and the gate."""
+    cases = {i: _published(i) for i in (*golden.CLEAN, *golden.SENTINELS, "009_evento_inferido_sem_lastro_exato")}
+    birth = cases["003_regressao_data_nascimento"]
+    birth["actual"]["entities"]["document_date"]["date_iso"] = "1980-01-01"
+    birth["expected"]["events"] = [{"event_type": "exame", "date_iso": d} for d in ("2024-01-02", "2024-01-03")]
+    birth["expected"]["forbidden_events"] = [{"event_type": "birth_date"}]
+    birth["actual"]["events"] = [{"event_type": t, "provenance_status": "exact", "confidence": 0.9} for t in ("birth_date", "outro")]
+    birth["actual"]["timeline_consistency_score"] = 0
+    cases["004_receituario_vs_atestado"]["actual"]["document_type"] = "receituario"
+    for field in ("patient", "provider"):
+        cases["007_prestador_falso_positivo"]["actual"]["entities"][field]["value"] = "outro"
+    spurious = cases["008_cid_espurio"]
+    spurious["expected"]["forbidden_entities"] = {"cids": ["S30"]}
+    spurious["actual"]["entities"]["cids"].append({"code": "S30", "provenance_status": "inferred", "confidence": 0.5})
+    inferred = cases["009_evento_inferido_sem_lastro_exato"]
+    inferred["expected"]["entities"] = {"patient": "ANA"}
+    inferred["actual"]["entities"] = {"patient": {"value": "Ana", "provenance_status": "inferred", "review_state": "needs_review", "confidence": 0.7}}
+    inferred["actual"]["events"][0] |= {"provenance_status": "inferred", "review_state": "review_recommended"}
+    inferred["actual"]["events"].append({"event_type": "fim_estimado", "provenance_status": "exact", "confidence": 0.9})
+    for i, c in cases.items():
+        (tmp_path / f"{i}.json").write_text(json.dumps(c))
+    scores = golden.evaluate(golden.read_cases(spark, str(tmp_path)))
+    got = {r.case_id[:3]: (r.score, *[r[a] for a in scoring.AXES], r.regressions) for r in scores.collect()}
+    want = {
+        "003": (54.46, 80.0, 0.0, 100.0, 92.31, 0.0, 5), "004": (96.0, 80.0, 100.0, 100.0, 100.0, 100.0, 1), "007": (92.0, 60.0, 100.0, 100.0, 100.0, 100.0, 2),
+        "008": (93.33, 83.33, 100.0, 83.33, 100.0, 100.0, 3), "009": (87.5, 100.0, 100.0, 50.0, 87.5, 100.0, 3),
+    }
+    assert {k: got[k] for k in want} == want and all(v == (100.0,) * 6 + (0,) for k, v in got.items() if k not in want)
+    total = golden.totals(scores).first()
+    assert (total.overall, *[total[a] for a in scoring.AXES]) == (93.03, 91.21, 90.91, 93.94, 98.16, 90.91)
+    assert (total.human_review, total.timeline_consistency, total.regressions, total.cases) == (87.88, 90.91, 14, 11)
+    named = lambda ids: spark.createDataFrame([(i,) for i in ids], "case_id string")
+    gate = scoring.gate(scores, named(golden.CLEAN), named(golden.SENTINELS), 90.0)
+    assert gate.where("NOT ok").count() == 0 and gate.count() == 10
