@@ -30,6 +30,11 @@ def textual_day(text: Column) -> Column:
     return F.when(month.isNotNull(), F.try_to_date(F.format_string("%s-%02d-%s", year, month, F.lpad(day, 2, "0")), "yyyy-MM-dd"))
 
 
+def plus_days(start: Column, days: Column) -> Column:
+    """The day so many days after another one; null without either."""
+    return F.date_add(start.cast("date"), days.cast("int"))
+
+
 def floor_days(start: Column, end: Column) -> Column:
     """Whole days from start to end, rounded down, so two hours over midnight are 0 and back again are -1."""
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))

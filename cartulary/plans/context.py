@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, hard_entities, legal_fields, medico_legal, page_entities, stages
+from ..operators import causal, hard_entities, legal_fields, medico_legal, page_entities, relations, stages, timeline
 from .pages import _CODES, _name_sql, _pages, _pick, _pick_sql
 from .registry import query, table
 
@@ -276,3 +276,31 @@ def context_types(spark, sf):
     return stages.context(docs).select("document_id", "event_type", "confidence")
 
 
+_UNITS = """u AS (SELECT o_custkey AS d, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN 'bia' ELSE 'analima' END AS p,
+   CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 3 THEN 'rui' ELSE 'leo' END AS v, CASE o_orderkey % 3 WHEN 0 THEN 'F32' WHEN 1 THEN 'M54' END AS c, o_orderkey % 7 = 0 AS gap FROM orders),
+ q AS (SELECT a.d, a.id AS source, b.id AS target, coalesce(a.p = b.p, false) AS sp, coalesce(a.v = b.v, false) AS sv, coalesce(abs(a.day - b.day) <= 30, false) OR coalesce(a.c = b.c, false) AS near, b.ord = a.ord + 1 AS next, coalesce(a.p <> b.p, false) AS other, a.gap OR b.gap AS gap
+   FROM u a JOIN u b ON a.d = b.d AND a.ord < b.ord)"""
+
+
+@query(f"""WITH {_UNITS} SELECT d AS document_id, kind AS relation_type, count(*) AS n FROM (SELECT d, unnest(list_filter([CASE WHEN sp THEN 'same_patient' END, CASE WHEN sv THEN 'same_provider' END, CASE WHEN sp AND near THEN 'same_episode' END, CASE WHEN next AND sp AND sv THEN 'same_document_continuation' END,
+   CASE WHEN other THEN 'conflict' END, CASE WHEN NOT sp AND NOT sv AND NOT other AND gap THEN 'unknown' END], lambda x : x IS NOT NULL)) AS kind FROM q) GROUP BY ALL""")
+def unit_relation_kinds(spark, sf):
+    """Orders of a customer as the sub-documents of a document: all six kinds of edges."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("document_id"), k.alias("unit_id"), F.col("o_orderdate").cast("date").alias("document_date"), F.when(k % 4 == 2, "Bia").when(k % 4 < 2, F.when(k % 4 == 0, "Ana Lima").otherwise("ANA lima.")).alias("patient"),
+        F.when(k % 5 == 3, "Rui").when(k % 5 < 3, "Leo").alias("provider"), F.array_compact(F.array(F.when(k % 3 == 0, "F32").when(k % 3 == 1, "M54"))).alias("codes"), (k % 7 == 0).alias("has_gap"),
+    )
+    rows = timeline.in_order(rows, ["document_id"], [F.col("unit_id").asc()], "unit_ord")
+    return relations.unit_relations(rows).groupBy("document_id", "relation_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_UNITS} SELECT d AS document_id, min(source) AS source, count(*) AS n FROM q WHERE sp GROUP BY d""")
+def same_patient_pairs(spark, sf):
+    """Units of one patient, by an equality of names within the document: a rule with keys."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 4 == 2, "bia").when(k % 4 < 2, "analima")
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), k.alias("pos"), k.alias("event_id"), F.col("o_orderdate").alias("ts"), name.alias("code"))
+    rule = causal.Rule("same_patient", causal.Test(F.lit(True), F.array("code")), 0.97)
+    found = causal.links(rows, ["document_id"], [rule])
+    return found.groupBy("document_id").agg(F.min("event_a").alias("source"), F.count("*").alias("n"))

@@ -113,7 +113,7 @@ def floor_days(spark, sf):
 
 @query("SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) + CAST(o_custkey % 90 AS INT) AS DATE) AS VARCHAR) AS estimated_end FROM orders")
 def leave_estimated_end(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_custkey") % 90).cast("int")).cast("string").alias("estimated_end"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.plus_days(F.col("o_orderdate"), F.col("o_custkey") % 90).cast("string").alias("estimated_end"))
 
 
 @query("""WITH p AS (SELECT a.o_custkey, a.o_orderkey AS source, b.o_orderkey AS target, a.o_orderstatus = b.o_orderstatus AS same, abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 30 AS close, a.o_orderpriority <> b.o_orderpriority AS differ, a.o_orderkey % 3 = 0 OR b.o_orderkey % 3 = 0 AS gap

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import canonical, extract, legal, medico_legal, ranking
+from ..operators import canonical, extract, legal, medico_legal, ranking, timeline
 from ..sources import signals, sinks
 from .registry import query, table
 
@@ -56,10 +56,10 @@ def lines_near_mark(spark, sf):
 
 @query("""SELECT user_id, event_id, rn :: INT AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events WHERE event_type IN ('click', 'error')) WHERE rn <= 2""")
 def core_zones_top2(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id")
-    return table(spark, sf, "events").where("event_type IN ('click', 'error')").withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("user_id", "event_id", "rank")
+    """Zones of a page as those of a user: the events of core kinds, the first two by value."""
+    core = table(spark, sf, "events").where("event_type IN ('click', 'error')")
+    first = ranking.best(core, ["user_id"], [F.col("value").desc(), F.col("event_id").asc()], 2)
+    return timeline.in_order(first, ["user_id"], [F.col("value").desc(), F.col("event_id").asc()], "rank").select("user_id", "event_id", "rank")
 
 
 @query("""SELECT o_custkey AS document_id, arg_min(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) AS first_value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_custkey""")

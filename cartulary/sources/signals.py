@@ -27,12 +27,13 @@ def decode(signals: DataFrame, key: str, schema: str | None = None) -> tuple[Dat
 
 
 def benchmark_cases(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Cases in `*.json` and `*/case.json` below path, with case_path and case_ord in the order of their paths."""
+    """Cases in `*.json` and `*/case.json` below path, with case_path and case_ord in the order of their paths. A case is a
+    file that a person wrote, so the paths are sorted on the driver."""
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     df = (reader.schema(schema) if schema else reader).json(path).withColumn("case_path", F.input_file_name())
-    from pyspark.sql import Window
-
-    return df.withColumn("case_ord", F.row_number().over(Window.orderBy("case_path")))
+    paths = sorted(r[0] for r in df.select("case_path").distinct().collect())
+    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths, 1)], "case_path string, case_ord int")
+    return df.join(order, "case_path")
 
 
 def contract(df: DataFrame, key: str, *layers: str) -> DataFrame:
