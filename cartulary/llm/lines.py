@@ -254,7 +254,7 @@ types AS (SELECT line, min({{'d': doc_id, 'n': no}}) AS place FROM occ WHERE tri
 fuzzy AS (SELECT line, place, len(string_split(line, ' ')) >= {MIN_WORDS} AS by_words,
                  CASE WHEN len(string_split(line, ' ')) >= {MIN_WORDS} THEN string_split(line, ' ') ELSE string_split(line, '') END AS w
           FROM types WHERE len(string_split(line, ' ')) >= {MIN_WORDS} OR length(line) >= {MIN_CHARS}),
-parts AS (SELECT line, by_words, place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), CASE WHEN by_words THEN ' ' ELSE '' END) AS rest
+parts AS (SELECT line, by_words, place, i, CASE WHEN by_words THEN array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') ELSE array_to_string(list_concat(w[1:i - 1], w[i + 1:]), '') END AS rest
           FROM (SELECT line, by_words, place, w, unnest(range(1, len(w) + 1)) AS i FROM fuzzy)),
 pos AS (SELECT by_words, rest, i, min(place) AS near FROM parts GROUP BY by_words, rest, i HAVING count(*) > 1),
 per AS (SELECT by_words, rest, min(place) AS near FROM parts GROUP BY by_words, rest),
