@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it and whether or not that is within another
+    function of arrays. Spark would compute it each time it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round_half_even(value: Column, places: int = 2) -> Column:
     """Halves go to the even digit: what scores that are compared with published ones are rounded by."""
     return F.bround(value, places)

@@ -7,33 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.values import let
+
 
 def keyword_score(text: Column, keywords: Sequence[str]) -> Column:
     """How many of the keywords the text holds."""
     return sum((F.contains(text, F.lit(k)).cast("int") for k in keywords), F.lit(0))
 
 
+def ranked(scores: Sequence[tuple[str, Column]]) -> Column:
+    """An array of struct(s, o, label); its greatest element is the highest score, of equal ones the first."""
+    return F.array(*[F.struct(s.cast("double").alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("label")) for i, (label, s) in enumerate(scores)])
+
+
 def first_best(scores: Sequence[tuple[str, Column]], default: str) -> Column:
     """The label of the highest score above 0; the first label wins among equals."""
-    ranked = F.array(*[F.struct(s.cast("double").alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("label")) for i, (label, s) in enumerate(scores)])
-    top = F.array_max(ranked)
-    return F.when(top["s"] > 0, top["label"]).otherwise(default)
+    return let(F.array_max(ranked(scores)), lambda top: F.when(top["s"] > 0, top["label"]).otherwise(default))
 
 
 def taxonomy(text: Column, sets: dict[str, Sequence[str]], generic: Sequence[str], composite: str = "composite", generic_label: str = "generic", unknown: str = "unknown") -> Column:
     """struct(value, confidence): the label with most keywords; the composite label where two reach two; the generic
     one at 0.55; unknown at 0.20."""
-    scores = [(label, keyword_score(text, words)) for label, words in sets.items()]
-    active = sum(((s >= 2).cast("int") for _, s in scores), F.lit(0))
-    top = F.greatest(*[s for _, s in scores]) if len(scores) > 1 else scores[0][1]
-    label = first_best(scores, unknown)
     row = lambda v, c: F.struct(v.alias("value"), c.cast("double").alias("confidence"))
-    return (
-        F.when(active >= 2, row(F.lit(composite), F.lit(0.92)))
-        .when(top >= 2, row(label, F.least(0.70 + 0.08 * top, F.lit(0.95))))
-        .when(keyword_score(text, generic) > 0, row(F.lit(generic_label), F.lit(0.55)))
-        .otherwise(row(F.lit(unknown), F.lit(0.20)))
-    )
+
+    def decide(found: Column) -> Column:
+        top, active = F.array_max(found["scores"]), F.size(F.filter(found["scores"], lambda x: x["s"] >= 2))
+        return (
+            F.when(active >= 2, row(F.lit(composite), F.lit(0.92)))
+            .when(top["s"] >= 2, row(top["label"], F.least(0.70 + 0.08 * top["s"], F.lit(0.95))))
+            .when(found["generic"] > 0, row(F.lit(generic_label), F.lit(0.55)))
+            .otherwise(row(F.lit(unknown), F.lit(0.20)))
+        )
+
+    scores = lambda t: F.struct(ranked([(label, keyword_score(t, words)) for label, words in sets.items()]).alias("scores"), keyword_score(t, generic).alias("generic"))
+    return let(let(text, scores), decide)
 
 
 class Rule:

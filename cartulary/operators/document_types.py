@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import let
 from . import classify, segment
 
 # --- fixed values: vocabularies in order of precedence ---------------------------------------------------------------
@@ -87,7 +88,10 @@ def _low(value: Column) -> Column:
 
 
 def _any(low: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)) if words else F.lit(False)
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(low, F.lit(w))
+    return found
 
 
 def _typed(label: Column | str, confidence: Column | float) -> Column:
@@ -97,18 +101,19 @@ def _typed(label: Column | str, confidence: Column | float) -> Column:
 
 def legal_type(value: Column) -> Column:
     """struct(value, confidence): the legal type with most of its words in the text, the first among equals."""
-    low = _low(value)
-    scores = [(k, classify.keyword_score(low, words)) for k, words in LEGAL_TYPES.items()]
-    top = F.greatest(*[s for _, s in scores])
-    return F.when(top == 0, _typed("UNKNOWN", 0.10)).otherwise(_typed(classify.first_best(scores, "UNKNOWN"), F.least(0.50 + 0.10 * top, F.lit(0.97))))
+    best = let(_low(value), lambda low: F.array_max(classify.ranked([(k, classify.keyword_score(low, words)) for k, words in LEGAL_TYPES.items()])))
+    return let(best, lambda top: F.when(top["s"] == 0, _typed("UNKNOWN", 0.10)).otherwise(_typed(top["label"], F.least(0.50 + 0.10 * top["s"], F.lit(0.97)))))
 
 
 def header_type(value: Column) -> Column:
     """The type of a page by the words of headers; a page that only looks medical is a clinical record."""
-    low = _low(value)
-    medical = F.when(_any(low, ["hospital", "crm", "paciente"]), "MED_PRONTUARIO_CLINICO").otherwise("UNKNOWN")
-    found = classify.first_best([(k, classify.keyword_score(low, words)) for k, words in PAGE_HEADERS.items()], "UNKNOWN")
-    return F.when(found == "UNKNOWN", medical).otherwise(found)
+
+    def decide(low: Column) -> Column:
+        medical = F.when(_any(low, ["hospital", "crm", "paciente"]), "MED_PRONTUARIO_CLINICO").otherwise("UNKNOWN")
+        found = classify.first_best([(k, classify.keyword_score(low, words)) for k, words in PAGE_HEADERS.items()], "UNKNOWN")
+        return let(found, lambda f: F.when(f == "UNKNOWN", medical).otherwise(f))
+
+    return let(_low(value), decide)
 
 
 def header_subdocuments(pages: DataFrame, by: str, page: str = "page", value: str = "text") -> DataFrame:
@@ -131,8 +136,10 @@ def signals(value: Column, uri: Column, media: Column) -> Column:
 
 def generic_type(value: Column) -> Column:
     """struct(confidence, label) of invoice, identity paper or receipt; null if it is none of them."""
-    low = _low(value)
+    return let(_low(value), _generic)
+
 
+def _generic(low: Column) -> Column:
     def rule(label: str, words: tuple, supported: Column) -> classify.Rule:
         strong, _, sure, less = words
         return classify.Rule(label, _any(low, strong) | supported, F.when(_any(low, strong), sure).otherwise(less))

@@ -5,10 +5,13 @@ the lines around them, and the best candidate of each role is chosen."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, dates, text
+from ..functions.values import let
 from ..session import kept
 from . import confidence_of
 from .ranking import best
@@ -154,7 +157,10 @@ def name_lines(value: Column) -> Column:
 
 def _mother_fallback(value: Column, patient: Column) -> Column:
     """Beside or below the first line that speaks of the mother, unless that is the patient."""
-    lines = _lines(value)
+    return let(_lines(value), lambda lines: _beside_mother(lines, patient))
+
+
+def _beside_mother(lines: Column, patient: Column) -> Column:
     other = lambda x: F.when(F.lower(x) != F.lower(F.coalesce(patient, F.lit(""))), x)
     says = lambda x: F.lower(x).rlike("mãe|mae|filiação|filiacao")
     found = F.transform(
@@ -169,7 +175,7 @@ def basic_entities(value: Column) -> Column:
     are left out."""
     t = F.coalesce(value, F.lit(""))
     single = {n: first_of(t, SINGLE[n]) for n in ("patient_name", "mother_name", "birth_date", "sex", "age", "rghc", "address_line", "city", "uf")}
-    single["mother_name"] = F.coalesce(single["mother_name"], _mother_fallback(t, single["patient_name"]))
+    single["mother_name"] = F.coalesce(single["mother_name"], let(single["patient_name"], lambda p: _mother_fallback(t, p)))
     digits = lambda x: F.regexp_replace(x, r"\D", "")
     cep = digits(F.regexp_extract(t, SINGLE["cep"], 1))
     single["cep"] = F.when(F.length(cep) == 8, F.concat_ws("-", F.left(cep, F.lit(5)), F.right(cep, F.lit(3))))
@@ -231,24 +237,25 @@ PRESCRIPTION_CONTEXT = r"(?iu)uso oral|medicamentos|subst[âa]ncias|emitente|est
 PROVIDER_LABEL = r"(?iu)\b(prestador|m[eé]dico|emitente|profissional)\s*:"
 NO_PATIENT = r"(?iu)\b(?:estado|emitente|medicamentos?|subst[âa]ncias?|fornecedor|comprador)\b"
 NO_PROVIDER = r"(?iu)\b(?:medicamentos?|subst[âa]ncias?|emitente|fornecedor|comprador|identifica[cç][aã]o|estado)\b"
+#: A character that stands for a name in a text.
+MARK = "\x01"
 NO_PERSON = ["hospital", "prefeitura", "secretaria", "receituário", "receituario", "atestado", "são paulo", "sao paulo", "universidade", "instituto", "faculdade"]
 
 
 def candidate_rows(pages: DataFrame, keep: list[str], candidates: Column, value: str = "text") -> DataFrame:
-    """pages -> (keep, name, line, window, line_no, page_text): each candidate name beside the first line that holds it and
-    the lines next to that one. A page's candidates are few, so its lines are searched in place."""
+    """pages -> (keep, name, around): each candidate name with a struct of the name, the first line that holds it, its number,
+    the lines next to it as a window, and the text in lower case with a mark in place of the name, so that patterns
+    around names are the same for all. A page's candidates are few, so its lines are searched in place."""
     lines = _lines(F.coalesce(F.col(value), F.lit("")))
     rows = pages.select(*keep, F.col(value).alias("page_text"), lines.alias("__lines"), F.explode(distinct_ci(candidates)).alias("name"))
     places = F.transform("__lines", lambda x, i: F.when(F.contains(F.lower(x), F.lower(F.col("name"))), i))
-    rows = rows.withColumn("line_no", F.array_min(places))
-    at = lambda shift: F.when(F.col("line_no") + shift >= 0, F.get("__lines", F.col("line_no") + shift))
-    return rows.select(*keep, "name", "page_text", "line_no", at(0).alias("line"), F.concat_ws(" ", at(-1), at(0), at(1)).alias("window"))
+    marked = F.replace(F.lower("page_text"), F.lower("name"), F.lit(MARK))
 
+    def around(n: Column) -> Column:
+        at = lambda shift: F.when(n + shift >= 0, F.get("__lines", n + shift))
+        return F.struct(F.col("name").alias("name"), n.alias("line_no"), at(0).alias("line"), F.concat_ws(" ", at(-1), at(0), at(1)).alias("window"), marked.alias("marked"))
 
-def _beside(before: str, name: Column, after: str = "") -> Column:
-    """Whether the page has a name right after, or right before, a pattern. Names are quoted, so none is a pattern."""
-    quoted = F.concat(F.lit(r"\Q"), F.lower(name), F.lit(r"\E"))
-    return F.regexp_like(F.lower("page_text"), F.concat(F.lit(f"(?u){before}"), quoted, F.lit(after)))
+    return rows.select(*keep, "name", let(F.array_min(places), around).alias("around"))
 
 
 def _points(*terms: tuple[Column, float]) -> Column:
@@ -258,31 +265,43 @@ def _points(*terms: tuple[Column, float]) -> Column:
     return out
 
 
-def patient_score(name: Column) -> Column:
-    there, window, line = F.col("line_no").isNotNull(), F.col("window"), F.col("line")
+def patient_score(around: Column) -> Column:
+    there, window, line, name = _parts(around)
+    beside = _beside(around)
     said = [
         (there & line.rlike(PATIENT_LABEL), 12.0), (there & window.rlike(PATIENT_CONTEXT), 5.0), (there & window.rlike(MOTHER_CONTEXT), -6.0), (there & window.rlike(DOCTOR_CONTEXT), -6.0),
-        (there & line.rlike(PRESCRIPTION_CONTEXT), -12.0), (there & (F.col("line_no") <= 6), 1.0), (_beside(r"\b", name, r"\b"), 1.0),
-        (_beside(r"(?:nome\s+paciente|paciente|nome(?!\s+da\s+m[ãa]e))\s*[:\-]?\s*", name), 10.0), (_beside(r"(?:esteve\s+internado\(a\)|afastado\(a\)|paciente|sr\.?\(a\)?)\D{0,20}", name), 6.0),
-        (_beside("", name, r"\D{0,20}(?:esteve\s+internado\(a\)|afastado\(a\))"), 6.0), (_beside("", name, r"\s+(?:nascimento|sexo|rghc|cpf)\b"), 2.0),
+        (there & line.rlike(PRESCRIPTION_CONTEXT), -12.0), (there & (around["line_no"] <= 6), 1.0), (beside(r"(?<!\w)", r"(?!\w)"), 1.0),
+        (beside(r"(?:nome\s+paciente|paciente|nome(?!\s+da\s+m[ãa]e))\s*[:\-]?\s*"), 10.0), (beside(r"(?:esteve\s+internado\(a\)|afastado\(a\)|paciente|sr\.?\(a\)?)\D{0,20}"), 6.0),
+        (beside("", r"\D{0,20}(?:esteve\s+internado\(a\)|afastado\(a\))"), 6.0), (beside("", r"\s+(?:nascimento|sexo|rghc|cpf)\b"), 2.0),
     ]
     return F.when(_is_no_person(name), -20.0).when(name.rlike(NO_PATIENT), -15.0).otherwise(_points(*said))
 
 
-def mother_score(name: Column) -> Column:
-    there, window = F.col("line_no").isNotNull(), F.col("window")
-    return _points((there & window.rlike(MOTHER_CONTEXT), 6.0), (there & window.rlike(PATIENT_CONTEXT), -5.0), (there & window.rlike(MOTHER_LABEL), 8.0), (_beside(r"(?:m[aã]e|filia[cç][aã]o|genitora)\D{0,20}", name), 6.0))
+def mother_score(around: Column) -> Column:
+    there, window, _, _ = _parts(around)
+    close = _beside(around)(r"(?:m[aã]e|filia[cç][aã]o|genitora)\D{0,20}")
+    return _points((there & window.rlike(MOTHER_CONTEXT), 6.0), (there & window.rlike(PATIENT_CONTEXT), -5.0), (there & window.rlike(MOTHER_LABEL), 8.0), (close, 6.0))
 
 
-def provider_score(name: Column) -> Column:
-    there, window, line = F.col("line_no").isNotNull(), F.col("window"), F.col("line")
+def provider_score(around: Column) -> Column:
+    there, window, line, name = _parts(around)
+    beside = _beside(around)
     said = [
         (there & line.rlike(PROVIDER_LABEL), 10.0), (there & window.rlike("(?i)crm"), 5.0), (there & window.rlike(MOTHER_CONTEXT), -8.0), (there & window.rlike(PATIENT_CONTEXT), -6.0),
-        (_beside(r"(?:prestador|m[eé]dico|emitente|profissional)\s*[:\-]?\s*", name), 8.0), (_beside("", name, r"\D{0,20}crm"), 4.0),
+        (beside(r"(?:prestador|m[eé]dico|emitente|profissional)\s*[:\-]?\s*"), 8.0), (beside("", r"\D{0,20}crm"), 4.0),
     ]
     return F.when(_is_no_person(name), -20.0).when(name.rlike(NO_PROVIDER), -15.0).otherwise(_points(*said))
 
 
+def _parts(around: Column) -> tuple[Column, Column, Column, Column]:
+    return around["line_no"].isNotNull(), around["window"], around["line"], around["name"]
+
+
+def _beside(around: Column) -> Callable[..., Column]:
+    """Whether the page has the name right after a pattern and right before another one."""
+    return lambda before, after="": around["marked"].rlike(f"(?u){before}{MARK}{after}")
+
+
 def _is_no_person(name: Column) -> Column:
     return F.exists(F.array(*[F.lit(x) for x in NO_PERSON]), lambda x: F.contains(F.lower(name), x))
 
@@ -290,9 +309,10 @@ def _is_no_person(name: Column) -> Column:
 SCORES = {"patient": patient_score, "mother": mother_score, "provider": provider_score}
 
 
-def choose(rows: DataFrame, unit: list[str], score: Column) -> DataFrame:
-    """The best name of each page: the highest score above 0, of equal ones the last by name."""
-    return best(rows.withColumn("raw_score", score).where("raw_score > 0"), unit, [F.col("raw_score").desc(), F.col("name").desc()])
+def choose(rows: DataFrame, unit: list[str], score: Callable[[Column], Column]) -> DataFrame:
+    """The best name of each page: the highest score above 0, of equal ones the last by name. The bound comes after the
+    ranking, so a score is computed once."""
+    return best(rows.withColumn("raw_score", let(F.col("around"), score)), unit, [F.col("raw_score").desc(), F.col("name").desc()]).where("raw_score > 0")
 
 
 def page_people(pages: DataFrame, keep: list[str], value: str = "text") -> DataFrame:
@@ -308,12 +328,12 @@ def people_of(own: DataFrame, keep: list[str]) -> DataFrame:
     label = {"patient": F.array("basic.patient_name"), "mother": F.array("basic.mother_name"), "provider": F.concat(F.array("clinical.provider_name"), titled)}
     rows = {role: candidate_rows(own, keep, F.concat(F.transform(first, clean), F.col("basic.person_candidates")), "text") for role, first in label.items()}
     rows = {role: df.where(checks.person_name(F.col("name"))) for role, df in rows.items()}
-    patient = choose(rows["patient"], keep, patient_score(F.col("name")))
+    patient = choose(rows["patient"], keep, patient_score)
     words = lambda c: F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) >= 2)
     other = rows["mother"].join(patient.select(*keep, F.col("name").alias("__patient")), keep, "left")
     other = other.where(F.coalesce(text.overlap_of_smaller(words(F.col("name")), words(F.col("__patient"))) < 0.8, F.lit(True)))
     found = None
-    for role, df in (("patient", patient), ("mother", choose(other, keep, mother_score(F.col("name")))), ("provider", choose(rows["provider"], keep, provider_score(F.col("name"))))):
+    for role, df in (("patient", patient), ("mother", choose(other, keep, mother_score)), ("provider", choose(rows["provider"], keep, provider_score))):
         sure = confidence_of.raw_score(role, F.col("raw_score"))
         df = df.select(*keep, F.lit(role).alias("role"), "name", "raw_score", sure.alias("confidence"), confidence_of.review(sure, 0.82).alias("review_state"))
         found = df if found is None else found.unionByName(df)
