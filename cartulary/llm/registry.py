@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bpe, decontaminate, gif, language, lines, pipeline, quality, shards, simhash, substrings, wavelet
+from . import bpe, decontaminate, gif, language, lines, merkle, pipeline, quality, shards, simhash, substrings, tries, urls, wavelet
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_report(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +93,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_mixture": op8_language_mixture,
         "op9_decontaminate": op9_decontaminate,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_url_filters": op11_url_filters,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
     return {name: _shipped(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_line_dedup": lines.SQL, "op4_recompression": substrings.SQL, "op9_decontaminate": OP9_SQL}
+    found = {"op3_line_dedup": lines.SQL, "op4_recompression": substrings.SQL, "op9_decontaminate": OP9_SQL, "op11_url_filters": urls.SQL, "op12_prefix_trie": tries.SQL, "op13_merkle_manifest": merkle.SQL}
     return found | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})
 
 
