@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import partial
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
@@ -90,8 +91,9 @@ def common(a: bytes, b: bytes) -> int:
 class Sweep:
     """The nodes of one range of sorted conversations; ``rows`` gathers what they give, as tuples of OUT."""
 
-    def __init__(self, part: int) -> None:
-        self.part, self.stack, self.now, self.first, self.run, self.rows = part, [root()], b"", None, array("q"), []
+    def __init__(self, part: int, block: int = BLOCK) -> None:
+        self.part, self.block = part, block
+        self.stack, self.now, self.first, self.run, self.rows = [root()], b"", None, array("q"), []
 
     def add(self, string: bytes, points: list[int], conv: int) -> None:
         if self.first is None:
@@ -106,7 +108,7 @@ class Sweep:
         self.now = string
         self.stack[-1].meet(conv, 1)
         self.run.append(conv)
-        if len(self.run) >= BLOCK:
+        if len(self.run) >= self.block:
             self.write_block()
 
     def write_block(self) -> None:
@@ -151,11 +153,11 @@ def _flush(rows: list[tuple]) -> pa.RecordBatch:
     return out
 
 
-def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sweep(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     state = None
     for b in batches:
         for string, points, conv, part in zip(*[b.column(c).to_pylist() for c in ("string", "points", "conv_id", "part")]):
-            state = state or Sweep(part)
+            state = state or Sweep(part, block)
             state.add(string, points, conv)
             if len(state.rows) >= 5_000:
                 yield _flush(state.rows)
@@ -235,7 +237,7 @@ def rebuilt(turns: DataFrame, hundred: int = HUNDRED, heads: int = HEADS) -> Dat
     return arrays.withColumns({"first": F.coalesce(first, none), "h": h}).select("conv_id", F.concat(F.slice("first", F.lit(1), F.col("h")), F.slice("own", F.col("h") + 1, F.size("own"))).alias("own"))
 
 
-def trie(arrays: DataFrame) -> DataFrame:
+def trie(arrays: DataFrame, block: int = BLOCK) -> DataFrame:
     """arrays(conv_id, own) as of turn_arrays() -> the nodes of their trie: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256.
 
@@ -245,7 +247,7 @@ def trie(arrays: DataFrame) -> DataFrame:
     spark, parts = arrays.sparkSession, shuffle_partitions(arrays.sparkSession)
     strings = arrays.select("conv_id", F.unhex(F.array_join(F.transform("own", lambda x: x["symbol"]), "")).alias("string"), F.transform("own", lambda x: x["points"]).alias("points"))
     dealt = strings.repartitionByRange(parts, "string", "conv_id").sortWithinPartitions("string", "conv_id").withColumn("part", F.spark_partition_id())
-    found = materialise(dealt.mapInArrow(sweep, DDL), "nodes")
+    found = materialise(dealt.mapInArrow(partial(sweep, block=block), DDL), "nodes")
     whole = materialise(found.where(F.col("kind") == PARTIAL).repartition(1).sortWithinPartitions("part", "side", "depth").mapInArrow(stitch, DDL), "spines")
     if (top := whole.where("depth = 0").first()) is None:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
