@@ -258,6 +258,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, key: str = "doc_id
     changed = leaf_of([F.col("__now") if f == column else F.col(f) for f in fields])
     rows = docs.select(*[F.col(f) for f in dict.fromkeys((key, group, *fields))], now.alias("__now"))
     rows = rows.select(F.col(group).cast("string").alias("grp"), F.col(key).cast("long").alias("key"), F.unhex(leaf_of([F.col(f) for f in fields])).alias("node"), F.when(F.col("__now").isNotNull(), F.unhex(changed)).alias("changed"), F.monotonically_increasing_id().alias("row"))
+    rows = materialise(rows, "leaf-rows")  # texts are read once, not once more for the bounds of ranges
     below = grow(rows, ["key", "node", "row"])
     above = grow(below.tops().select(F.lit("").alias("grp"), F.col("grp").alias("name"), "node"), ["name"])
     if (top := above.tops().first()) is None:
