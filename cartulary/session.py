@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +21,16 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 _SHIPPED: set[str] = set()
+_SCRATCH: list[list[str]] = []
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder.config(map=SETTINGS)
 
 
-def kept(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the folder that all machines share (``spark.checkpoint.dir``), so that what reads it
-    several times doesn't compute it again. Where that is unset and everything runs in one process, the session gets a
-    folder of its own; on a cluster that is an error."""
-    spark = df.sparkSession
+def kept_path(spark: SparkSession, what: str) -> str:
+    """A new folder's name below the one that all machines share (``spark.checkpoint.dir``). Where that is unset and everything
+    runs in one process, the session gets a folder of its own; on a cluster that is an error."""
     if (at := spark.conf.get("spark.checkpoint.dir", None)) is None:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
@@ -37,8 +38,30 @@ def kept(df: DataFrame, what: str) -> DataFrame:
         at = f"file://{tempfile.mkdtemp(prefix='cartulary-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/cartulary-{what}-{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.append(path)
+    return path
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that what reads it several times doesn't compute it again."""
+    path = kept_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Drops the tables that are kept within it when it ends: for work whose results are written elsewhere before that."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            root = spark._jvm.org.apache.hadoop.fs.Path(path)
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,31 +1,32 @@
 """Files as tables: ingestion by content hash, and texts, pages and media facts of files.
 
 Decoders run in Arrow batches beside the executors' file reads. What a decoder can't read gives a row with a warning
-and no text; optional libraries are looked for where they are used."""
+and no text."""
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
 import io
+import itertools
 import re
 import struct
 import wave
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.classify import media_type
 from ..session import ship
+from . import pdf
 
 #: MIME types by suffix.
 MIME = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "wav": "audio/wav", "mp3": "audio/mpeg", "mp4": "video/mp4", "txt": "text/plain", "csv": "text/csv", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 LEAST_NATIVE_CHARS = 20
-#: Fixed value: pages of a file whose layout is read; texts are read from all pages.
-LAYOUT_PAGES = 300
 
 
 def suffix(path: str | Column) -> Column:
@@ -59,8 +60,6 @@ def ingest(spark: SparkSession, path: str, known: DataFrame | None = None) -> Da
 
 def ingest_stream(spark: SparkSession, path: str, delay: str = "1 day") -> DataFrame:
     """The same as a stream: each content once within the watermark."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(path)
     rows = files.where("length > 0").select("path", F.sha2("content", 256).alias("content_sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("ingested_at"))
@@ -95,41 +94,53 @@ def xlsx_text(data: bytes) -> str:
     return "\n".join(lines)
 
 
-def pdf_pages(data: bytes) -> list[tuple[str, int]] | None:
-    """(native text, number of images) of each page; None without a PDF library."""
-    if importlib.util.find_spec("pypdf") is None:
-        return None
-    reader = importlib.import_module("pypdf").PdfReader(io.BytesIO(data))
-    return [(p.extract_text() or "", len(p.images)) for p in reader.pages]
+def each_file(files: DataFrame, decode: Callable[[str, bytes], Iterable[tuple]], schema: str, most: int = 5_000) -> DataFrame:
+    """(path, schema): the rows that decode(path, content) gives for each of files(path, content). One file's content and at most
+    so many of its rows are held at once beside the batch that Spark sends."""
+    ship(files.sparkSession)
+    kinds = to_arrow_schema(T.StructType.fromDDL(f"path string, {schema}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, where in enumerate(b.column("path").to_pylist()):
+                rows = ((where, *r) for r in decode(where, b.column("content")[i].as_py() or b""))
+                while some := list(itertools.islice(rows, most)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*some), kinds)], schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, f"path string, {schema}")
+
+
+def any_case(kind: str) -> str:
+    """A glob pattern of files of a suffix."""
+    return "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in kind)
+
+
+def contents(spark: SparkSession, path: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content) of the files below path, of these suffixes if any are given."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (files.option("pathGlobFilter", "{" + ",".join(map(any_case, kinds)) + "}") if kinds else files).load(path).select("path", "content")
+
+
+TEXTS = {"txt": lambda data: data.decode("utf-8", "ignore"), "csv": lambda data: data.decode("utf-8", "ignore"), "docx": docx_text, "xlsx": xlsx_text, "xlsm": xlsx_text}
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page, text, n_images, source, warning): a row a page for PDF, one a file for the rest."""
-
-    ship(spark)
-
-    def decode(batches):
-        for pdf in batches:
-            rows = []
-            for where, data in zip(pdf["path"], pdf["content"]):
-                kind = where.rsplit(".", 1)[-1].lower()
-                try:
-                    if kind in ("txt", "csv"):
-                        rows.append((where, 1, bytes(data).decode("utf-8", "ignore"), 0, "text", None))
-                    elif kind == "docx":
-                        rows.append((where, 1, docx_text(bytes(data)), 0, "docx", None))
-                    elif kind in ("xlsx", "xlsm"):
-                        rows.append((where, 1, xlsx_text(bytes(data)), 0, "xlsx", None))
-                    elif kind == "pdf" and (pages := pdf_pages(bytes(data))) is not None:
-                        rows += [(where, i, t, n, "native", None if len(t) >= LEAST_NATIVE_CHARS else "little native text") for i, (t, n) in enumerate(pages, 1)]
-                    else:
-                        rows.append((where, 1, None, 0, "none", f"no decoder for {kind}"))
-                except Exception as e:  # a broken file is a row with a warning, whatever its decoder raised
-                    rows.append((where, 1, None, 0, "none", f"{type(e).__name__}: {e}"[:200]))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "n_images", "source", "warning"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(decode, "path string, page int, text string, n_images int, source string, warning string")
+    """(path, page, text, n_images, source, warning): a row a page for PDF, one a file for the rest. What can't be read is a row with
+    a warning and no text; the contents of files without a decoder are not read at all."""
+
+    def decode(where: str, data: bytes) -> list[tuple]:
+        kind = where.rsplit(".", 1)[-1].lower()
+        try:
+            return [(1, TEXTS[kind](data), 0, "docx" if kind == "docx" else "xlsx" if kind.startswith("xls") else "text", None)]
+        except Exception as e:  # a broken file is a row with a warning, whatever its decoder raised
+            return [(1, None, 0, "none", f"{type(e).__name__}: {e}"[:200])]
+
+    plain = each_file(contents(spark, path, tuple(TEXTS)), decode, "page int, text string, n_images int, source string, warning string")
+    short = F.when(F.length("text") < LEAST_NATIVE_CHARS, "little native text")
+    native = pdf.read(spark, path).select("path", F.greatest("page", F.lit(1)).alias("page"), "text", "n_images", F.when(F.col("text").isNull(), "none").otherwise("native").alias("source"), F.coalesce("warning", short).alias("warning"))
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").withColumn("kind", F.lower(F.element_at(F.split("path", r"\."), -1)))
+    rest = names.where(~F.col("kind").isin("pdf", *TEXTS)).select("path", F.lit(1).alias("page"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n_images"), F.lit("none").alias("source"), F.concat(F.lit("no decoder for "), "kind").alias("warning"))
+    return plain.unionByName(native).unionByName(rest)
 
 
 # --- media ----------------------------------------------------------------------------------------------------------
@@ -233,26 +244,18 @@ def wav_seconds(data: bytes) -> float | None:
 def media_facts(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, taken, latitude, longitude, seconds, warning) of pictures, sounds and films."""
 
-    ship(spark)
-
-    def decode(batches):
-        for pdf in batches:
-            rows = []
-            for where, data in zip(pdf["path"], pdf["content"]):
-                size = taken = seconds = warning = None
-                position = (None, None)
-                try:
-                    data = bytes(data)
-                    size, taken = image_size(data), exif_time(data)
-                    position = gps_position(exif_tags(data))
-                    seconds = wav_seconds(data) if data[:4] == b"RIFF" else mp4_seconds(data) if data[4:8] == b"ftyp" else None
-                except Exception as e:  # as in read_texts
-                    warning = f"{type(e).__name__}: {e}"[:200]
-                rows.append((where, *(size or (None, None)), taken, *position, seconds, warning))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "taken", "latitude", "longitude", "seconds", "warning"]).astype({"width": "Int64", "height": "Int64"})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(decode, "path string, width long, height long, taken string, latitude double, longitude double, seconds double, warning string")
+    def decode(_: str, data: bytes) -> list[tuple]:
+        size = taken = seconds = warning = None
+        position = (None, None)
+        try:
+            size, taken = image_size(data), exif_time(data)
+            position = gps_position(exif_tags(data))
+            seconds = wav_seconds(data) if data[:4] == b"RIFF" else mp4_seconds(data) if data[4:8] == b"ftyp" else None
+        except Exception as e:  # as in read_texts
+            warning = f"{type(e).__name__}: {e}"[:200]
+        return [(*(size or (None, None)), taken, *position, seconds, warning)]
+
+    return each_file(contents(spark, path), decode, "width long, height long, taken string, latitude double, longitude double, seconds double, warning string")
 
 
 def gps_decimal(degrees: Column, minutes: Column, seconds: Column, side: Column) -> Column:
