@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.patterns import group_counts
 from ..functions.values import let
 
 
@@ -20,6 +21,12 @@ def ranked(scores: Sequence[tuple[str, Column]]) -> Column:
     return F.array(*[F.struct(s.cast("double").alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("label")) for i, (label, s) in enumerate(scores)])
 
 
+def ranked_counts(text: Column, sets: dict[str, Sequence[str]]) -> Column:
+    """ranked() of keyword scores for many labels: the text is read once for all their keywords."""
+    labels = F.array(*[F.lit(k) for k in sets])
+    return F.transform(group_counts(text, list(sets.values())), lambda s, i: F.struct(s.cast("double").alias("s"), (-i).alias("o"), F.get(labels, i).alias("label")))
+
+
 def first_best(scores: Sequence[tuple[str, Column]], default: str) -> Column:
     """The label of the highest score above 0; the first label wins among equals."""
     return let(F.array_max(ranked(scores)), lambda top: F.when(top["s"] > 0, top["label"]).otherwise(default))

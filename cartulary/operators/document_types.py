@@ -81,6 +81,8 @@ DATE_WORDS, CURRENCY_WORDS, IDENTIFIER_WORDS = ["data", "date", "/20", "-20"], [
 #: Types of a document that hold whatever its text says, with their confidence; and those that an identity doesn't displace.
 STRONG_TYPES = {"atestado_medico": 0.97, "parecer_medico": 0.96, "laudo_medico": 0.93, "receituario": 0.92, "documento_composto": 0.90, "prontuario": 0.90, "relatorio_medico": 0.89, "recibo": 0.82}
 MEDICAL_PAPERS = ["documento_composto", "receituario", "laudo_medico", "prontuario", "relatorio_medico", "atestado_medico", "parecer_medico"]
+#: The words of medical pages, as a label of their own.
+MEDICAL = "medical page"
 
 
 def _low(value: Column) -> Column:
@@ -101,19 +103,18 @@ def _typed(label: Column | str, confidence: Column | float) -> Column:
 
 def legal_type(value: Column) -> Column:
     """struct(value, confidence): the legal type with most of its words in the text, the first among equals."""
-    best = let(_low(value), lambda low: F.array_max(classify.ranked([(k, classify.keyword_score(low, words)) for k, words in LEGAL_TYPES.items()])))
+    best = F.array_max(classify.ranked_counts(_low(value), LEGAL_TYPES))
     return let(best, lambda top: F.when(top["s"] == 0, _typed("UNKNOWN", 0.10)).otherwise(_typed(top["label"], F.least(0.50 + 0.10 * top["s"], F.lit(0.97)))))
 
 
 def header_type(value: Column) -> Column:
     """The type of a page by the words of headers; a page that only looks medical is a clinical record."""
 
-    def decide(low: Column) -> Column:
-        medical = F.when(_any(low, ["hospital", "crm", "paciente"]), "MED_PRONTUARIO_CLINICO").otherwise("UNKNOWN")
-        found = classify.first_best([(k, classify.keyword_score(low, words)) for k, words in PAGE_HEADERS.items()], "UNKNOWN")
-        return let(found, lambda f: F.when(f == "UNKNOWN", medical).otherwise(f))
+    def decide(found: Column) -> Column:
+        top, medical = F.array_max(F.filter(found, lambda x: x["label"] != MEDICAL)), F.exists(found, lambda x: (x["label"] == MEDICAL) & (x["s"] > 0))
+        return F.when(top["s"] > 0, top["label"]).when(medical, "MED_PRONTUARIO_CLINICO").otherwise("UNKNOWN")
 
-    return let(_low(value), decide)
+    return let(classify.ranked_counts(_low(value), PAGE_HEADERS | {MEDICAL: ["hospital", "crm", "paciente"]}), decide)
 
 
 def header_subdocuments(pages: DataFrame, by: str, page: str = "page", value: str = "text") -> DataFrame:

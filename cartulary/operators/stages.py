@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checks, text
+from ..functions.patterns import literal_pairs
 from ..session import kept
 from . import canonical, confidence_of, document_types, medico_legal, page_entities, segment
 from .ranking import best, keep_first
@@ -377,6 +378,15 @@ def artefact_uri(artefacts: DataFrame, key: str = "document_id") -> DataFrame:
     return best(artefacts, [key], [F.col("kind") != "original", F.col("ord")]).select(key, F.col("uri").alias("artifact_uri"))
 
 
+def candidate_dates(pages: DataFrame, key: str = "document_id") -> DataFrame:
+    """pages(key, page, text, dates) -> (key, births, first_candidate): days that stand in a line which speaks of a birth, and the first day of the
+    document that doesn't."""
+    line = lambda d: F.lower(F.coalesce(canonical.line_of(F.col("text"), d["literal"]), d["literal"]))
+    told = F.transform("dates", lambda d: F.struct(d["date_iso"].alias("day"), line(d).rlike(medico_legal.BIRTH_MARKERS).alias("birth")))
+    rows = pages.select(key, "page", told.alias("told")).select(key, "page", F.transform(F.filter("told", lambda x: x["birth"]), lambda x: x["day"]).alias("born"), F.try_element_at(F.filter("told", lambda x: ~x["birth"] & x["day"].isNotNull()), F.lit(1))["day"].alias("first"))
+    return rows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("born"))).alias("births"), F.min_by("first", F.when(F.col("first").isNotNull(), F.col("page"))).alias("first_candidate"))
+
+
 def normalised(documents: DataFrame, pages: DataFrame, is_birth: Callable[[Column], Column], key: str = "document_id") -> DataFrame:
     """documents(key, inferred_date, estimated_date, exif_date, document_date, first_candidate, document_type, codes) -> (key,
     date_canonical, period_label, place, tags)."""
@@ -457,11 +467,9 @@ def integrity(documents: DataFrame, artefacts: DataFrame, key: str = "document_i
 
 
 def event_rows_of_layout(candidates: DataFrame, spans: DataFrame, key: str = "document_id") -> DataFrame:
-    """candidates(key, ord, literal) and spans(key, span_ord, text, page, bbox) -> every pair whose span holds the literal, dates
-    and spans being split into words that are joined by equality."""
-    words = spans.select(key, "span_ord", "text", "page", "bbox", F.explode(F.array_distinct(F.split("text", r"[^0-9A-Za-zÀ-ÿ/\-]+"))).alias("word"))
-    first = candidates.withColumn("word", F.get(F.split("literal", " "), F.lit(0)))
-    return first.join(words, [key, "word"]).where(F.contains("text", F.col("literal"))).drop("word").dropDuplicates([key, "ord", "span_ord"])
+    """candidates(key, ord, literal) and spans(key, span_ord, text, page, bbox) -> every pair whose span holds the literal, wherever in
+    its words that begins and ends."""
+    return literal_pairs(candidates, spans, key)
 
 
 def implausible_issue_date(date_iso: Column, kind: Column) -> Column:
