@@ -60,12 +60,21 @@ def process(pages: DataFrame, facts: DataFrame, spans: DataFrame | None = None)
     return Tables(evidence, zones, units, documents, seeds, events, hard, summary, review, read_models(facts, documents, evidence, events, summary, review, same))
 
 
+def exif_date(taken: Column) -> Column:
+    """`YYYYMMDD HHMMSS` of a picture as an ISO time."""
+    return F.date_format(F.try_to_timestamp(taken, F.lit("yyyyMMdd HHmmss")), "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def read_models(facts: DataFrame, documents: DataFrame, evidence: DataFrame, events: DataFrame, summary: DataFrame, review: DataFrame, consistency: DataFrame) -> DataFrame:
-    """The searchable row of each document in facts: twenty columns, among them a text to search that is never empty."""
+    """The searchable row of each document in facts: twenty columns, among them a text to search that is never empty. facts may have
+    ``inferred_date`` and ``estimated_date``, as a model of context gives them."""
     none = F.array().cast("array<string>")
-    first = F.col("document_date.date_iso")
-    docs = documents.select("document_id", F.lit(None).cast("string").alias("inferred_date"), F.lit(None).cast("string").alias("estimated_date"), "document_date", first.alias("first_candidate"), "document_type", "codes", "text")
-    dated = stages.normalised(docs.withColumn("exif_date", F.lit(None).cast("string")), evidence, lambda d: F.lit(False))
+    docs = facts.select("document_id", exif_date(F.col("taken")).alias("exif_date"), *[F.col(c).cast("string").alias(c) if c in facts.columns else F.lit(None).cast("string").alias(c) for c in ("inferred_date", "estimated_date")])
+    docs = docs.join(documents.select("document_id", "document_date", "warnings", "document_type", "codes", "text"), "document_id", "left").join(stages.candidate_dates(evidence), "document_id", "left")
+    doubted = F.when(F.array_contains("warnings", "document_date_looks_like_birth_date"), F.array("document_date.date_iso"))
+    births = F.array_distinct(F.concat(F.coalesce("births", none), F.coalesce(doubted, none)))
+    docs = docs.withColumn("births", births).where(F.col("document_date").isNotNull() | F.col("text").isNotNull() | F.coalesce("exif_date", "inferred_date", "estimated_date").isNotNull())
+    dated = stages.normalised(docs, evidence, lambda d: F.coalesce(F.array_contains("births", F.substring(d, 1, 10)), F.lit(False)))
     kinds = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("date_iso", "priority", "event_id", "event_type"))), lambda e: e["event_type"]))
     anchored = F.exists("citations", lambda c: c["page"].isNotNull() & c["bbox"].isNotNull())
     happened = events.groupBy("document_id").agg(kinds.alias("event_types"), F.count("*").alias("total_events"), F.count_if(anchored).alias("anchored_events"))

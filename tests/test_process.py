@@ -186,3 +186,42 @@ def test_candidates_and_blocks(collection):
 def test_read_ntep(spark, tmp_path):
     (tmp_path / "ntep.csv").write_text("activity,code\nSoldador de arco,m54\nPintor,F3\n")
     assert medico_legal.read_ntep(spark, f"{tmp_path}/ntep.csv") == [("pintor", "F3"), ("soldador_de_arco", "M54")]
+
+
+def test_a_picture_has_the_day_it_was_taken(spark):
+    pages = spark.createDataFrame([("d1", 1, "Emitido em 01/02/2010"), ("d2", 1, "Data de nascimento: 03/04/1980\nEmitido em 01/02/2010"), ("d4", 1, "nascimento 03/04/1980")], "document_id string, page int, text string")
+    facts = spark.createDataFrame(
+        [("d1", "imagem", "20200102 101112", None), ("d2", "documento", None, "1980-04-03"), ("d3", "imagem", "20210102 000000", "2019-05-06"), ("d4", "documento", None, None)], "document_id string, media string, taken string, inferred_date string"
+    ).selectExpr("*", "'upload' AS origin", "'u' AS artifact_uri", "1L AS width", "1L AS height", "CAST(NULL AS double) AS seconds")
+    got = {r["document_id"]: r["date_canonical"] for r in Collection(pages=pages, facts=facts).processed().models.collect()}
+    assert got == {"d1": "2020-01-02", "d2": "2010-02-01", "d3": "2019-05-06", "d4": None}
+
+
+def test_alerts_activity_and_cases(spark):
+    leave = "CARTEIRA DE TRABALHO\ncontrato de trabalho\nCargo: Digitador\nData de admissão: 01/02/2015\nPaciente: ANA MARIA SOUZA\nCID F32.1 em 05/02/2015"
+    later = "ATESTADO MÉDICO\nNome paciente: ANA MARIA SOUZA\nCID M65.4, em 10/03/2024\nDr. Rui Melo Santos\nCRM 9999"
+    other = "PARECER MÉDICO\nPaciente: BEATRIZ LIMA COSTA\nCID M54.5 em 20/05/2024\nDr. Rui Melo Santos\nCRM 9999"
+    pages = spark.createDataFrame([("d1", 1, leave), ("d2", 1, later), ("d3", 1, other), ("d4", 1, "nada")], "document_id string, page int, text string")
+    got = Collection(pages=pages, ntep=[("digitador", "M6"), ("digitador", "M5")])
+    cases = {r["document_id"]: r["case_id"] for r in got.cases().collect()}
+    assert cases["d1"] == cases["d2"] == "patient:ana maria souza" and cases["d3"] == "patient:beatriz lima costa" and cases["d4"] == "document:d4"
+    assert [(r["document_id"], r["document_activity"].strip().lower()) for r in got.activities().collect()] == [("d1", "digitador")]
+    events, links = got.causal_timeline(cases=got.cases())
+    presumed = {(r["scope_id"], r["event_b"]) for r in links.where("rule_id = 'rule_presuncao_ntep'").collect()}
+    ids = {r["event_id"]: r["document_id"] for r in events.collect()}
+    assert {(s, ids[e]) for s, e in presumed} == {("patient:ana maria souza", "d2")}  # the other patient is another case
+    whole = {ids[r["event_b"]] for r in got.causal_timeline()[1].where("rule_id = 'rule_presuncao_ntep'").collect()}
+    assert whole == {"d2", "d3"}
+
+
+def test_alerts_are_evaluated_in_the_case(spark):
+    grant = "CARTA DE CONCESSÃO\nINSS benefício concedido\nEspécie: B31\nNB 123.456.789-0"
+    sick = "ATESTADO MÉDICO\nNome paciente: ANA MARIA SOUZA\nCID F32.1"
+    pages = spark.createDataFrame([("d1", 1, grant), ("d2", 1, sick)], "document_id string, page int, text string")
+    got = Collection(pages=pages)
+    cases = spark.createDataFrame([("d1", "c"), ("d2", "c")], "document_id string, case_id string")
+    types = {r["document_id"]: r["doc_type"] for r in got.legal_fields().select("document_id", "doc_type").distinct().collect()}
+    alerts = got.alerts(cases, F.to_date(F.lit("2024-06-01"))).collect()
+    assert [a["alert"] for a in alerts] and all(a["case_id"] == "c" for a in alerts), types
+    alone = got.case("d1").first()
+    assert alone["total_alerts"] == got.alerts().where("case_id = 'd1'").count()
