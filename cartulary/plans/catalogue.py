@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _part in ("documents", "evidence", "cases", "records", "pages", "context"):
+for _part in ("documents", "evidence", "cases", "records", "pages", "context", "retrieval"):
     importlib.import_module(f"{__package__}.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]
