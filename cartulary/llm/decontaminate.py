@@ -49,6 +49,12 @@ class Automaton:
             last = 0
             for w in item:
                 last = self._append(last, w)
+        order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        #: Of a state: that of its last ``window`` words, so that no chain of links is walked for it.
+        self.cut = list(range(len(self.link)))
+        for state in order:
+            if self.length[self.link[state]] >= window:
+                self.cut[state] = self.cut[self.link[state]]
         #: Of a state: the items that hold its last ``window`` words; and (length, item) of short items that are a suffix of it.
         self.holders: dict[int, set] = {}
         self.short: dict[int, list[tuple[int, object]]] = {}
@@ -57,10 +63,14 @@ class Automaton:
             for i, w in enumerate(item):
                 state = self.next[state][w] if w in self.next[state] else 0
                 if i + 1 >= window:
-                    state = self.shorten(state)
+                    state = self.cut[state]
                     self.holders.setdefault(state, set()).add(key)
             if len(item) < window:
                 self.short.setdefault(state, []).append((len(item), key))
+        #: Of a state: itself, or the next one up its links, that a short item ends in; 0 if there is none.
+        self.ends = [0] * len(self.link)
+        for state in order:
+            self.ends[state] = state if state in self.short else self.ends[self.link[state]]
         self.least = min((min(len(item), window) for _, item in numbered), default=window)
 
     def _append(self, last: int, w: int) -> int:
@@ -92,12 +102,6 @@ class Automaton:
             last = self.link[last]
         return half
 
-    def shorten(self, state: int) -> int:
-        """The state of the last ``window`` words."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of hit words, overlapping ones joined, and the items that have an occurring window."""
         known = bytes(map(self.vocabulary.__contains__, words))
@@ -121,15 +125,15 @@ class Automaton:
             hit = 0
             if matched >= self.window:
                 hit = matched
-                found |= self.holders[self.shorten(state)]
+                found |= self.holders[self.cut[state]]
             if self.short:
-                up = state
+                up = self.ends[state]
                 while up > 0:
-                    for n, key in self.short.get(up, ()):
+                    for n, key in self.short[up]:
                         if n <= matched:
                             hit = max(hit, n)
                             found.add(key)
-                    up = self.link[up]
+                    up = self.ends[self.link[up]]
             if hit:
                 start = i + 1 - hit
                 while spans and spans[-1][1] >= start:

@@ -239,10 +239,10 @@ def shown(data: bytes, most_pixels: int = MOST_PIXELS):
             canvas = before
 
 
-def frames_of(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+def frames_of(media: DataFrame, key: str = "doc_id", column: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row a frame: key, frame, start_ms and delay_ms, width, height, disposal, and histograms of what is shown:
     red, green, blue (counts of HISTOGRAM_BINS equal bins each) and n_clear (pixels that nothing has painted). Null media have no frames;
-    bytes that are no GIF give one row with the error. Repeated rows stay."""
+    bytes that are no GIF, or claim pictures of more than ``most_pixels``, give one row with the error. Repeated rows stay."""
     ints = "array<long>"
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
@@ -250,7 +250,7 @@ def frames_of(media: DataFrame, key: str = "doc_id", column: str = "media") -> D
         for k, data in zip(block.column(0).to_pylist(), block.column(1).to_pylist()):
             time = 0
             try:
-                for i, (f, canvas) in enumerate(shown(data) if data is not None else ()):
+                for i, (f, canvas) in enumerate(shown(data, most_pixels) if data is not None else ()):
                     seen = canvas[canvas[..., 3] > 0]
                     bins = [np.bincount(seen[:, c].astype(int) * HISTOGRAM_BINS >> 8, minlength=HISTOGRAM_BINS).tolist() for c in range(3)]
                     rows.append((k, i, time, f.delay * 10, f.width, f.height, f.disposal, *bins, int((canvas[..., 3] == 0).sum()), None))
@@ -277,10 +277,16 @@ def store(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFra
     return map_texts(docs.select(F.col(key).cast("long").alias(key), column), run, f"{key} long, n_bytes long, media binary", column)
 
 
+def colours(f: Frame, canvas: np.ndarray) -> list[list[int]]:
+    """Histograms of red, green and blue in the part of a canvas that a frame covers."""
+    part = canvas[f.top : f.top + f.height, f.left : f.left + f.width, :3].reshape(-1, 3)
+    return [np.bincount(np.ascontiguousarray(part[:, c]), minlength=256).reshape(HISTOGRAM_BINS, -1).sum(axis=1).tolist() for c in range(3)]
+
+
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """media(key, n_bytes, media) -> digests of the payload that is read back, and of what is stored; feature has the
     number of frames, their time in ms, and the histogram of their grey pixels. Pixels are read from the frames as they
-    are shown. frames has start and delay in ms and the histogram of each."""
+    are shown. frames has start and delay in ms and the histograms of the colours of each."""
 
     def run(block: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -289,18 +295,19 @@ def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             for f, canvas in shown(data):
                 part = canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
                 parts.append(part)
-                timed.append((time, 10 * f.delay, np.bincount(np.frombuffer(part, np.uint8) >> 4, minlength=HISTOGRAM_BINS).tolist()))
+                seen = colours(f, canvas)
+                timed.append((time, 10 * f.delay, seen[0], *seen))
                 time += 10 * f.delay
             pixels = b"".join(parts)
-            histogram = np.sum([h for *_, h in timed], axis=0)
+            histogram = np.sum([grey for _, _, grey, *_ in timed], axis=0)
             feature = f"{len(timed)} frames, {time} ms, grey {' '.join(map(str, histogram))}"
-            rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, [dict(zip(("start_ms", "delay_ms", "grey"), x)) for x in timed]))
-        frame = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("grey", pa.list_(pa.int64()))])
+            rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, [dict(zip(("start_ms", "delay_ms", "grey", "red", "green", "blue"), x)) for x in timed]))
+        frame = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("grey", "red", "green", "blue")]])
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame)]
         return pa.RecordBatch.from_arrays([*block.columns[:2], *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=names)
 
     names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
-    return map_texts(media.select(key, "n_bytes", "media"), run, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_ms: long, delay_ms: long, grey: array<long>>>", "media")
+    return map_texts(media.select(key, "n_bytes", "media"), run, f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_ms: long, delay_ms: long, grey: array<long>, red: array<long>, green: array<long>, blue: array<long>>>", "media")
 
 
 def media_report(docs: DataFrame) -> DataFrame:

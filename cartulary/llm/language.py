@@ -8,6 +8,8 @@ by the one that helps most while the penalised likelihood improves, up to all la
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +18,12 @@ from pyspark.sql import types as T
 
 from .common import extended, text_blocks
 
-#: Trigrams are hashed to so many cells a language, whatever the corpus. A model has MODEL_CELLS numbers at most (256 MB),
-#: which bounds what is sent to executors: beyond 256 languages the cells of each are halved until all fit.
-CELLS, MODEL_CELLS = 1 << 18, 1 << 26
+#: Trigrams are hashed to so many cells a language, whatever the corpus and the number of languages. A model of MODEL_CELLS numbers (256 MB) or
+#: less is a matrix; a larger one holds the cells that its languages have and what all others of a language have in common, which
+#: gives the same likelihoods. More than MODEL_ENTRIES of those (1 GB) are an error, not another model.
+CELLS, MODEL_CELLS, MODEL_ENTRIES = 1 << 18, 1 << 26, 1 << 27
+#: Words x languages that likelihoods are held for at once, besides one text that has more.
+MOST_LIKELIHOODS = 1 << 24
 SMOOTH, ROUNDS = 0.1, 6
 #: Price of one more language in a document, in units of the logarithm of its number of words.
 PRICE = 2.0
@@ -68,8 +73,35 @@ def count_trigrams(docs: DataFrame, column: str = "text", lang: str = "lang", of
     return docs.where(F.col(lang).isNotNull()).select(column, lang).mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
 
 
+class Sparse:
+    """Logarithms by cell where a language has it: of cell c, languages langs[first[c]:first[c + 1]] and what each has over base."""
+
+    def __init__(self, base: np.ndarray, cells: np.ndarray, langs: np.ndarray, logs: np.ndarray, of: int) -> None:
+        order = np.argsort(cells, kind="stable")
+        self.base, self.langs = base, langs[order]
+        self.over = (logs - base[langs])[order].astype(np.float32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(cells, minlength=of))))
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    @property
+    def size(self) -> int:
+        return self.over.size + self.base.size
+
+    def sums(self, cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of each word the sums over its trigrams, words x languages."""
+        k, sizes = len(self.base), np.diff(np.append(starts, len(cells)))
+        out = sizes[:, None] * self.base.astype(np.float64)
+        count = self.first[cells + 1] - self.first[cells]
+        word = np.repeat(np.repeat(np.arange(len(starts)), sizes), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[cells], count)
+        out += np.bincount(word * k + self.langs[at], self.over[at], len(starts) * k).reshape(len(starts), k)
+        return out.astype(np.float32)
+
+
 class Model:
-    def __init__(self, names: list[str], logs: np.ndarray):
+    def __init__(self, names: list[str], logs: np.ndarray | Sparse):
         self.names, self.logs = names, logs
 
     @property
@@ -81,7 +113,19 @@ class Model:
         cells, starts, bounds = trigram_cells(texts, self.cells)
         if not len(starts):
             return np.zeros((0, len(self.names)), np.float32), bounds, np.zeros(0, np.int64)
-        return np.add.reduceat(self.logs[cells], starts, axis=0), bounds, np.diff(np.append(starts, len(cells)))
+        sums = self.logs.sums(cells, starts) if isinstance(self.logs, Sparse) else np.add.reduceat(self.logs[cells], starts, axis=0)
+        return sums, bounds, np.diff(np.append(starts, len(cells)))
+
+    def runs(self, texts: list[str | None]) -> Iterator[slice]:
+        """Runs of texts whose likelihoods are held at once; a word takes two bytes of its text at least, with the space."""
+        start = held = 0
+        for i, x in enumerate(texts):
+            n = len(x or "") * len(self.names) // 2
+            if held and held + n > MOST_LIKELIHOODS:
+                yield slice(start, i)
+                start, held = i, 0
+            held += n
+        yield slice(start, len(texts))
 
     def infer(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: index of the main language (-1: no letters), its proportion in the chosen set, size of that set."""
@@ -146,21 +190,32 @@ class Model:
 
 
 def fit(docs: DataFrame, column: str = "text", lang: str = "lang") -> Model:
-    """The model of every language that docs name. The driver gets one row a language, of at most as many cells as the
-    model has for it, one after the other."""
-    names = sorted(r[0] for r in docs.where(F.col(lang).isNotNull()).select(lang).distinct().collect())
-    cells = CELLS
-    while cells > 1 and cells * len(names) > MODEL_CELLS:
-        cells //= 2
-    n = np.full((cells, max(len(names), 1)), SMOOTH, np.float32)
-    counts = count_trigrams(docs, column, lang, cells).groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    place, learned = {name: i for i, name in enumerate(names)}, set()
+    """The model of every language that docs name and that has words. The driver gets one row a language, of at most CELLS cells, one
+    after the other."""
+    counts = count_trigrams(docs, column, lang).groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    names, cells, counted, entries = [], [], [], 0
     for row in counts.select("lang", F.col("cells.cell").alias("cell"), F.col("cells.n").alias("n")).toLocalIterator():
-        n[np.array(row["cell"]), place[row["lang"]]] += np.array(row["n"])
-        learned.add(row["lang"])
-    with_words = [i for i, name in enumerate(names) if name in learned]
-    n = n[:, with_words] if with_words else n[:, :1]
-    return Model([names[i] for i in with_words], np.log(n / n.sum(axis=0, dtype=np.float64)).astype(np.float32))
+        names.append(row["lang"])
+        cells.append(np.array(row["cell"], np.int32))
+        counted.append(np.array(row["n"], np.float32))
+        entries += len(cells[-1])
+        if entries > MODEL_ENTRIES:
+            raise ValueError(f"more than {MODEL_ENTRIES} cells of languages: {len(names)} languages so far")
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return model_of([names[i] for i in order], [cells[i] for i in order], [counted[i] for i in order])
+
+
+def model_of(names: list[str], cells: list[np.ndarray], counted: list[np.ndarray], of: int = CELLS, most: int = MODEL_CELLS) -> Model:
+    """The model of languages whose cells have been counted."""
+    if of * len(names) <= most:
+        n = np.full((of, max(len(names), 1)), SMOOTH, np.float32)
+        for i, (c, x) in enumerate(zip(cells, counted)):
+            n[c, i] += x
+        return Model(names, np.log(n / n.sum(axis=0, dtype=np.float64)).astype(np.float32))
+    totals = np.array([x.sum(dtype=np.float64) + SMOOTH * of for x in counted])
+    langs = np.repeat(np.arange(len(names), dtype=np.int32), [len(c) for c in cells])
+    logs = np.log((np.concatenate(counted).astype(np.float64) + SMOOTH) / totals[langs])
+    return Model(names, Sparse(np.log(SMOOTH / totals), np.concatenate(cells), langs, logs, of))
 
 
 def predict(docs: DataFrame, model: Model, column: str = "text", of_all: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "n_langs")) -> DataFrame:
@@ -177,7 +232,8 @@ def predict(docs: DataFrame, model: Model, column: str = "text", of_all: bool =
         own = sent.value
         for batch in text_blocks(batches, column):
             texts = [x if x and any(map(str.isalpha, x)) else None for x in batch.column(at).to_pylist()]
-            best, share, chosen, posterior, known = own.judge(texts)
+            parts = [own.judge(texts[run]) for run in own.runs(texts)]
+            best, share, chosen, posterior, known = (np.concatenate(x) for x in zip(*parts))
             score = np.where(best >= 0, share * known if of_all else posterior, 0)
             made = [pa.array([own.names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(chosen, pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*own_names, *names])

@@ -67,11 +67,11 @@ def _text_hash(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit(""))).bitwiseAND(F.lit((1 << _TEXT_BITS) - 1).cast("long"))
 
 
-def _units() -> Column:
+def _units(min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> Column:
     """Units of a line: words as a positive number, characters as a negative one, 0 for lines that are not compared."""
     words = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     size = F.length("line")
-    return F.when(words >= MIN_WORDS, words).when(size >= MIN_CHARS, -size).otherwise(0).cast("int")
+    return F.when(words >= min_words, words).when(size >= min_chars, -size).otherwise(0).cast("int")
 
 
 def _unit_list() -> Column:
@@ -92,7 +92,7 @@ def _segments(n: Column, count: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), n, cut(ends[i], ends[i + 1])) for i in range(count)])
 
 
-def occurrences(docs: DataFrame, key: str, column: str, wide: bool = False) -> DataFrame:
+def occurrences(docs: DataFrame, key: str, column: str, wide: bool = False, units: tuple[int, int] = (MIN_WORDS, MIN_CHARS)) -> DataFrame:
     """(k, t, no, place, h1, h2, n, three keys of halves, and with wide those of segments) of every line that isn't blank."""
     n, segments = F.col("n"), None
     for least, replaced in REPLACED:
@@ -102,7 +102,7 @@ def occurrences(docs: DataFrame, key: str, column: str, wide: bool = False) -> D
         _rows(docs, key, column)
         .select("k", "t", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
         .where(F.trim("line") != "")
-        .withColumn("n", _units())
+        .withColumn("n", _units(*units))
         .select(
             *AT, _place().alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("again"), "line").alias("h2"), "n",
             _half("P", half).alias("p0"),
@@ -130,11 +130,11 @@ def _lines_at(docs: DataFrame, places: DataFrame, key: str, column: str) -> Data
     return _rows(docs, key, column).join(sought, ["k", "t"]).select("k", "t", F.inline(F.filter(lines, lambda x: F.get("flags", x["no"]))))
 
 
-def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str) -> DataFrame:
+def _neighbours(docs: DataFrame, types: DataFrame, key: str, column: str, units: tuple[int, int] = (MIN_WORDS, MIN_CHARS)) -> DataFrame:
     """(place, near): earliest places of distinct lines, and those of their earliest neighbours within one edit."""
     halves = types.where("n <> 0").select(*AT, F.explode(F.array("p0", "p1", "s0")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1")
-    lines = _lines_at(docs, halves.join(shared, "half", "left_semi"), key, column).withColumn("n", _units())
+    lines = _lines_at(docs, halves.join(shared, "half", "left_semi"), key, column).withColumn("n", _units(*units))
     words = materialise(lines.select(*AT, _place().alias("place"), F.signum("n").cast("int").alias("kind"), _unit_list().alias("words")), "line-words")
 
     # The few lines that are left are dealt out before they become words, so the window below needs no further shuffle.
@@ -203,13 +203,13 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False, units: tuple[int, int] = (MIN_WORDS, MIN_CHARS)) -> DataFrame:
     """(k, t, gone): the numbers, from 0, of the lines that go, for every row of docs that loses any."""
-    own = occurrences(docs, key, column, wide)
+    own = occurrences(docs, key, column, wide, units)
     first = ("n", "p0", "p1", "s0", *(["segments"] if wide else []))
     types = own.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in first])
     types = materialise(_with_parts(types), "line-types")
-    near = materialise(_neighbours(docs, types, key, column), "line-near")
+    near = materialise(_neighbours(docs, types, key, column, units), "line-near")
     if wide:
         near = near.union(_wide_neighbours(docs, types, key, column))
     copies = own.select(*AT, "place", "h1", "h2").join(types.select("h1", "h2", F.col("place").alias("first")), ["h1", "h2"]).where("place <> first").select(*AT)
@@ -217,9 +217,10 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wi
     return copies.union(changed).groupBy("k", "t").agg(F.collect_set("no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed"), units: tuple[int, int] = (MIN_WORDS, MIN_CHARS)) -> DataFrame:
     """docs with the text of column without its removed lines, and two counts, n_lines and n_removed or other names
-    (columns of these names in docs are replaced, all others stay as they are).
+    (columns of these names in docs are replaced, all others stay as they are). ``units``: the words from which on lines are compared
+    by words, and the characters from which on shorter ones are by characters; (1, 0) compares every line by its words.
 
     A null text stays null and has no lines; an empty text has one blank line. Documents that lose every line stay,
     with an empty text. Rows that repeat key and text count as one place: a line of theirs goes from all of them or
@@ -227,7 +228,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", column: str = "text", wide
     bits; rows whose hashes agree share what goes by line). Keys that are null keep their texts. A text of any length is one row, and
     its lines cost n log n steps. An empty table gives an empty result."""
     docs = docs.drop(*counts)
-    gone = removed_lines(docs.where(F.col(key).isNotNull()), key, column, wide)
+    gone = removed_lines(docs.where(F.col(key).isNotNull()), key, column, wide, units)
     gone = gone.select(F.col("k").alias("__line_k"), F.col("t").alias("__line_t"), F.size("gone").alias("__line_n"), _flags("gone").alias("__line_gone"))
     out = docs.withColumn("__line_k", F.col(key).cast("long")).withColumn("__line_t", _text_hash(column)).join(gone, ["__line_k", "__line_t"], "left")
     lines = F.split(column, "\n", -1)

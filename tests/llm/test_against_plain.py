@@ -295,3 +295,18 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
     empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_repetitive_items_cost_steps_in_proportion():
+    """No chain of links is walked for a window: twice the words take about twice the time."""
+    import time
+
+    def seconds(n):
+        words = [b"same"] * n
+        made = decontaminate.Automaton([("a", words), ("b", [b"same"] * 5)])
+        began = time.perf_counter()
+        assert made.match(words) == ([(0, n)], {"a", "b"})
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 25 * max(seconds(4_000), 1e-3)

@@ -243,3 +243,11 @@ def test_decontamination(spark, block_words):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, w in want.items() if not w[4])
     assert decontaminate.decontaminate(keyed(spark), table.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(empty(spark), table).count() == 0
+
+
+def test_short_lines_are_compared_as_one_likes(spark):
+    docs = spark.createDataFrame([(1, "one two three\nab\nq"), (2, "one two tree\nac\nq"), (3, "one two other")], "doc_id long, text string")
+    left = lambda **options: [r["text"] for r in lines.dedup_lines(docs, **options).orderBy("doc_id").collect()]
+    assert left() == ["one two three\nab\nq", "one two tree\nac", "one two other"]
+    assert left(units=(8, 2)) == ["one two three\nab\nq", "", "one two other"]
+    assert left(units=(2, 0))[1:] == ["", ""]

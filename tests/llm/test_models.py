@@ -193,3 +193,26 @@ def test_pipeline_stage_by_stage(spark):
     labels = groups_of(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
     assert kept_docs == set(labels.values())
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() <= len(kept_docs)
+
+
+def test_a_model_of_many_languages_has_the_same_likelihoods():
+    r = np.random.default_rng(3)
+    texts = ["".join(chr(97 + x % 26) if x % 7 else " " for x in r.integers(0, 26 * (i % 4 + 1), 900)) for i in range(30)]
+    counted = [np.unique(language.trigram_cells([t], 4096)[0], return_counts=True) for t in texts]
+    cells, n = [c for c, _ in counted], [x.astype(np.float32) for _, x in counted]
+    names = [f"l{i:02}" for i in range(30)]
+    whole, sparse = (language.model_of(names, cells, n, 4096, most) for most in (1 << 26, 0))
+    assert isinstance(sparse.logs, language.Sparse) and not isinstance(whole.logs, language.Sparse)
+    asked = [*texts[:5], texts[1][:200] + texts[2][:200], None, "", "123", "a", "unseen words here"]
+    for a, b in zip(whole.word_logs(asked), sparse.word_logs(asked)):
+        assert np.allclose(a, b, rtol=1e-5, atol=1e-3)
+    for a, b in zip(whole.judge(asked), sparse.judge(asked)):
+        assert np.allclose(a, b, atol=1e-3)
+
+
+def test_likelihoods_are_held_for_runs_of_texts():
+    model = language.Model(["a", "b"], np.zeros((8, 2), np.float32))
+    texts = ["x" * n for n in (5, 0, 1 << 24, 3, (1 << 24) - 2, 7)] + [None]
+    runs = list(model.runs(texts))
+    assert [(s.start, s.stop) for s in runs] == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 7)]
+    assert list(model.runs([])) == [slice(0, 0)]
