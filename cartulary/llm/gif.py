@@ -278,9 +278,12 @@ def store(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFra
 
 
 def colours(f: Frame, canvas: np.ndarray) -> list[list[int]]:
-    """Histograms of red, green and blue in the part of a canvas that a frame covers."""
-    part = canvas[f.top : f.top + f.height, f.left : f.left + f.width, :3].reshape(-1, 3)
-    return [np.bincount(np.ascontiguousarray(part[:, c]), minlength=256).reshape(HISTOGRAM_BINS, -1).sum(axis=1).tolist() for c in range(3)]
+    """Histograms of red, green and blue in the part of a canvas that a frame covers. Without transparency they follow from the palette."""
+    part = canvas[f.top : f.top + f.height, f.left : f.left + f.width, :3]
+    if f.transparent is None:
+        counts = np.bincount(f.pixels[: part.shape[0], : part.shape[1]].ravel(), minlength=len(f.palette))[: len(f.palette)]
+        return [np.bincount(f.palette[:, c].astype(int) * HISTOGRAM_BINS >> 8, counts, HISTOGRAM_BINS).astype(int).tolist() for c in range(3)]
+    return [np.bincount(part[..., c].ravel(), minlength=256).reshape(HISTOGRAM_BINS, -1).sum(axis=1).tolist() for c in range(3)]
 
 
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
