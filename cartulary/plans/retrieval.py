@@ -92,3 +92,26 @@ def model_dates(spark, sf):
     docs = docs.join(stages.candidate_dates(pages.select("document_id", "page", "text", "dates")), "document_id")
     nowhere = F.struct(F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("uf")).alias("basic")
     return stages.normalised(docs, pages.select("document_id", "page", nowhere), lambda d: F.coalesce(F.array_contains("births", d), F.lit(False))).select("document_id", "date_canonical")
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, count(DISTINCT i // {pdf.LINES_A_PAGE}) AS n_pages, count(*) AS n_spans, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM p WHERE line <> '' GROUP BY 1""")
+def printed_spans_sql(spark, sf):
+    """The spans of every document printed as a PDF file, by a table function in SQL."""
+    from ..sources import table_functions
+
+    table_functions.register(spark)
+    printed = pdf.write_documents(printed_lines(table(spark, sf, "documents")), "doc_id")
+    return spark.sql("SELECT doc_id, count(DISTINCT s.page) AS n_pages, count(s.text) AS n_spans, sum(length(rtrim(s.text))) AS n_chars FROM {printed} f, LATERAL pdf_spans(f.content) s WHERE s.text IS NOT NULL GROUP BY doc_id", printed=printed)
+
+
+@query("SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents")
+def records_round_trip(spark, sf):
+    """Every document as a record in the format ``records``, written by one job and read by runs of bytes."""
+    from ..session import kept_path
+    from ..sources import connector
+
+    connector.register(spark)
+    docs, at = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text"), kept_path(spark, "records")
+    docs.write.format("records").option("key", "doc_id").mode("append").save(at)
+    read = spark.read.format("records").schema(docs.schema).option("key", "doc_id").option("bytes", 1 << 20).load(at)
+    return read.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
