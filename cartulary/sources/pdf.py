@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -746,8 +746,3 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
     found = pages(files)
     return texts(found, lines(spans(found)))
-
-
-def any_space(c: Column) -> Column:
-    """Runs of white space as one space, as texts of pages are compared."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))

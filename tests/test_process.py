@@ -225,3 +225,27 @@ def test_alerts_are_evaluated_in_the_case(spark):
     assert [a["alert"] for a in alerts] and all(a["case_id"] == "c" for a in alerts), types
     alone = got.case("d1").first()
     assert alone["total_alerts"] == got.alerts().where("case_id = 'd1'").count()
+
+
+def test_scratch_tables_are_dropped(spark):
+    from cartulary.session import kept, scratch
+
+    with scratch(spark) as made:
+        assert kept(spark.range(3), "some").count() == 3 and len(made) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made[0])
+
+
+def test_a_broken_import_within_the_package_is_told(monkeypatch):
+    import __spark_entry__ as contract
+
+    def fails(name):
+        raise ModuleNotFoundError("x", name=name)
+
+    for name, told in (("cartulary.llm", False), ("cartulary.llm.registry", False), ("public_tokenizers", False), ("cartulary.sesion", True)):
+        monkeypatch.setattr(contract.importlib, "import_module", lambda _, name=name: fails(name))
+        if told:
+            with pytest.raises(ModuleNotFoundError):
+                contract._llm()
+        else:
+            assert contract._llm() is None
