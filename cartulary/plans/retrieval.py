@@ -75,7 +75,7 @@ def indexed_search_of_items(spark, sf):
  s AS (SELECT o.c, o.page, o.d, (how + page) % 3 = 0 AS birth FROM o JOIN n USING (c)),
  f AS (SELECT c, min(d) FILTER (WHERE birth) AS born, arg_min(d, page) FILTER (WHERE NOT birth) AS first, max(d) FILTER (WHERE NOT birth) AS last, max(d) AS taken FROM s GROUP BY c),
  b AS (SELECT DISTINCT c, d FROM s WHERE birth)
- SELECT f.c AS document_id, CASE WHEN how = 0 AND born NOT IN (SELECT d FROM b WHERE b.c = f.c) THEN strftime(born, '%Y-%m-%d') WHEN how = 2 AND last NOT IN (SELECT d FROM b WHERE b.c = f.c) THEN strftime(last, '%Y-%m-%d') WHEN how = 1 THEN strftime(taken, '%Y-%m-%dT10:20:30') ELSE strftime(first, '%Y-%m-%d') END AS date_canonical FROM f JOIN n USING (c)""")
+ SELECT f.c AS document_id, CASE WHEN how = 0 AND born IS NOT NULL AND born NOT IN (SELECT d FROM b WHERE b.c = f.c) THEN strftime(born, '%Y-%m-%d') WHEN how = 2 AND last IS NOT NULL AND last NOT IN (SELECT d FROM b WHERE b.c = f.c) THEN strftime(last, '%Y-%m-%d') WHEN how = 1 THEN strftime(taken, '%Y-%m-%dT10:20:30') ELSE strftime(first, '%Y-%m-%d') END AS date_canonical FROM f JOIN n USING (c)""")
 def model_dates(spark, sf):
     """The date of each customer's papers, an order a page: an inferred date counts unless it is a birth, then that of a picture, then the first day
     that doesn't stand in a line about a birth."""
