@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,15 +60,26 @@ def artefact_path(ingested_at: str, key: str) -> Column:
 
 def write_artefacts(files: DataFrame, key: str, path: str, ingested_at: str = "ingested_at") -> DataFrame:
     """files(key, content, ingested_at) as a table of contents in folders of year and month; returns (key, logical_path, size_bytes).
-    A content is found again by its folder and id."""
+    A content is found again by its folder and id. What a folder has already under an id isn't written again, so a job may be rerun."""
     at = F.col(ingested_at)
-    rows = files.withColumn("year", F.coalesce(F.year(at), F.lit(0))).withColumn("month", F.coalesce(F.month(at), F.lit(0)))
-    rows.select(key, "content", "year", "month").write.mode("append").partitionBy("year", "month").parquet(path)
+    rows = files.withColumn("year", F.coalesce(F.year(at), F.lit(0))).withColumn("month", F.coalesce(F.month(at), F.lit(0))).select(key, "content", "year", "month")
+    try:
+        there = files.sparkSession.read.parquet(path).select(key, "year", "month")
+        rows = rows.join(there, [key, "year", "month"], "left_anti")
+    except AnalysisException as e:  # the table isn't there yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    rows.write.mode("append").partitionBy("year", "month").parquet(path)
     return files.select(key, artefact_path(ingested_at, key).alias("logical_path"), F.length("content").alias("size_bytes"))
 
 
-def read_artefact(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col(key) == value).select(key, "content")
+def read_artefact(spark: SparkSession, path: str, key: str, value: str, logical_path: str | None = None) -> DataFrame:
+    """(key, content) of an id. With its logical path only the folder of that year and month is read."""
+    rows = spark.read.parquet(path).where(F.col(key) == value)
+    if logical_path is not None:
+        _, year, month, _ = logical_path.split("/", 3)
+        rows = rows.where((F.col("year") == int(year)) & (F.col("month") == int(month)))
+    return rows.select(key, "content")
 
 
 def without_artefact(spark: SparkSession, path: str, key: str, value: str, to: str) -> None:

@@ -128,6 +128,9 @@ def test_artefacts_are_stored_by_month(spark, tmp_path):
     got = {r["id"]: r["logical_path"] for r in sinks.write_artefacts(rows, "id", f"{tmp_path}/blobs").collect()}
     assert got == {"a": "artefacts/2024/03/a", "b": "artefacts/0000/00/b"}
     assert bytes(sinks.read_artefact(spark, f"{tmp_path}/blobs", "id", "a").first()["content"]) == b"xx"
+    sinks.write_artefacts(rows, "id", f"{tmp_path}/blobs")  # a rerun adds nothing
+    assert spark.read.parquet(f"{tmp_path}/blobs").count() == 2
+    assert sinks.read_artefact(spark, f"{tmp_path}/blobs", "id", "a", "artefacts/2024/03/a").count() == 1 and sinks.read_artefact(spark, f"{tmp_path}/blobs", "id", "a", "artefacts/2024/04/a").count() == 0
     sinks.without_artefact(spark, f"{tmp_path}/blobs", "id", "a", f"{tmp_path}/less")
     assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/less").collect()] == ["b"]
 
