@@ -57,3 +57,12 @@ def test_the_best_line_may_stand_in_any_document(spark, tmp_path):
     spark.createDataFrame([(1, "he quick brown fox jumps over it"), (2, "three two one four"), (3, "absent")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["item_id"]: (r["doc_id"], r["line_no"], r["score"]) for r in catalogue.QUERIES["span_best_line_of_all"](spark, str(tmp_path)).collect()}
     assert got == {1: (900, 1, 18.5714), 2: (1, 2, 10.0)}
+
+
+def test_a_line_that_just_meets_the_bound_is_native(spark, duck, tmp_path):
+    """66 letters of 90 characters: 0.3 for the length and 2.2 for the letters, 2.5 together. 84 of 120 likewise."""
+    docs = [(1, "a" * 66 + "." * 24 + "\nxyz"), (2, "b" * 84 + "." * 36 + "\nxyz"), (3, "b" * 65 + "." * 25 + "\nxyz")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["source"]: r["n"] for r in catalogue.QUERIES["page_merge_quality"](spark, str(tmp_path)).collect()}
+    want = duck.sql(catalogue.ORACLES["page_merge_quality"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert got == {"native": 2, "ocr": 1} == dict(want)
