@@ -66,3 +66,27 @@ def test_a_line_that_just_meets_the_bound_is_native(spark, duck, tmp_path):
     got = {r["source"]: r["n"] for r in catalogue.QUERIES["page_merge_quality"](spark, str(tmp_path)).collect()}
     want = duck.sql(catalogue.ORACLES["page_merge_quality"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     assert got == {"native": 2, "ocr": 1} == dict(want)
+
+
+def test_costly_pages_are_dealt_out_whatever_the_file(spark):
+    """A customer file of one row group is one task by itself."""
+    from cartulary.plans import pages
+
+    sizes = pages._pages(spark, SF).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 4 * spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 2
+
+
+def test_people_of_pages_meet_once(spark):
+    """Scores and names alone are shuffled, once; of equal scores the last name counts, and a mother isn't the patient."""
+    from pyspark.sql import functions as F
+
+    from cartulary.operators import page_entities
+
+    kind = "d int, text string, basic struct<patient_name:string,mother_name:string,person_candidates:array<string>>, clinical struct<provider_name:string>"
+    text = "Nome paciente: Ana Lima\nMãe: Bia Costa\nNome paciente: Eva Reis"
+    rows = [(1, text, ("Ana Lima", "Bia Costa", ["Eva Reis"]), (None,)), (2, "nada", (None, None, []), (None,)), (3, "Mãe: Ana Lima", (None, "Ana Lima", []), (None,))]
+    found = page_entities.people_of(spark.createDataFrame(rows, kind), ["d"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.d, r.role): r["name"] for r in found.collect()}
+    assert got[1, "patient"] == "Eva Reis" and got[1, "mother"] == "Bia Costa" and got[3, "mother"] == "Ana Lima" and not [k for k in got if k[0] == 2]
+    assert found.where(F.col("raw_score") <= 0).count() == 0
