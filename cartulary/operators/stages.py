@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, text
 from ..functions.patterns import literal_pairs
+from ..functions.values import let
 from ..session import kept
 from . import canonical, confidence_of, document_types, medico_legal, page_entities, segment
 from .ranking import best, keep_first
@@ -188,25 +189,30 @@ def escalation_details(mode: Column) -> Column:
     return F.when(after.isNotNull(), F.struct(mode.alias("from_mode"), after.alias("to_mode"), report("low_extract_quality_after_fast_path").alias("reason"), report("pipeline_fallback_to_standard").alias("warning_code"), report("standard_reprocess_after_fast_path").alias("degraded_mode")))
 
 
-def page_candidates(pages: DataFrame, key: str, role: str) -> DataFrame:
-    """(key, value): the best name of a role over the pages of a document, by confidence less for pages down the ranks, and
-    more for a provider beside a registration. The first page wins ties."""
-    p = F.try_element_at("people", F.lit(role))
+def page_names(pages: DataFrame, key: str) -> DataFrame:
+    """(key, __p_patient, __p_mother, __p_provider): the best name of each role over the pages of a document, by confidence less for
+    pages down the ranks, and more for a provider beside a registration. The first page wins ties. Pages are read once for all roles, and
+    what is shuffled is the best of each task."""
     rank = F.coalesce(F.try_element_at(_map(CONTEXT_RANK), F.lower("page_type")), F.lit(2))
-    score = F.coalesce(p["confidence"], F.lit(0.0)) - rank * 0.03
-    if role == "provider":
-        score = score + F.when(F.size(_list("basic.crm")) > 0, 0.05).otherwise(0.0)
-    value = text.trim_marks(p["name"])
-    rows = pages.select(key, "page", value.alias("value"), score.alias("score")).where(checks.person_name(F.col("value"), stops=canonical.NO_NAMES))
-    return best(rows, [key], [F.col("score").desc(), F.col("page")]).select(key, "value")
+
+    def candidate(role: str) -> Column:
+        p = F.try_element_at("people", F.lit(role))
+        score = F.coalesce(p["confidence"], F.lit(0.0)) - rank * 0.03
+        if role == "provider":
+            score = score + F.when(F.size(_list("basic.crm")) > 0, 0.05).otherwise(0.0)
+        plausible = lambda value: F.when(checks.person_name(value, stops=canonical.NO_NAMES), F.struct((-score).alias("s"), F.col("page").alias("page"), value.alias("value")))
+        return F.when(p["name"].isNotNull(), let(text.trim_marks(p["name"]), plausible)).alias(role)
+
+    roles = ("patient", "mother", "provider")
+    found = pages.select(key, *[candidate(r) for r in roles]).groupBy(key).agg(*[F.min(r).alias(r) for r in roles])
+    return found.select(key, *[F.col(r)["value"].alias(f"__p_{r}") for r in roles])
 
 
 def names(documents: DataFrame, pages: DataFrame, key: str = "document_id") -> DataFrame:
     """documents(key, patient, mother, provider structs) -> (key, patient, mother, provider): the canonical name if it is
     plausible, else the best of the pages."""
     out = documents.select(key, *[F.when(checks.person_name(F.col(r)["name"], stops=canonical.NO_NAMES), F.col(r)["name"]).alias(f"__{r}") for r in ("patient", "mother", "provider")])
-    for role in ("patient", "mother", "provider"):
-        out = out.join(page_candidates(pages, key, role).withColumnRenamed("value", f"__p_{role}"), key, "left")
+    out = out.join(page_names(pages, key), key, "left")
     return out.select(key, *[F.coalesce(f"__{r}", f"__p_{r}").alias(r) for r in ("patient", "mother", "provider")])
 
 

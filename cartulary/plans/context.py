@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import causal, hard_entities, legal_fields, medico_legal, page_entities, relations, stages, timeline
+from ..session import dealt
 from .pages import _CODES, _name_sql, _pages, _pick, _pick_sql
 from .registry import query, table
 
@@ -258,7 +259,7 @@ def names_of_documents(spark, sf):
     k = F.col("c_custkey")
     kind = "struct<name:string,confidence:double,review_state:string>"
     person = lambda n, c: F.struct(F.lit(n).alias("name"), F.lit(c).alias("confidence"), F.lit("s").alias("review_state"))
-    docs = table(spark, sf, "customer").select(k.alias("document_id"), F.when(k % 4 == 1, person("Alfa Lima", 0.9)).when(k % 4 == 2, person("Hospital 7", 0.99)).cast(kind).alias("patient"), F.lit(None).cast(kind).alias("mother"), F.lit(None).cast(kind).alias("provider"))
+    docs = dealt(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(k.alias("document_id"), F.when(k % 4 == 1, person("Alfa Lima", 0.9)).when(k % 4 == 2, person("Hospital 7", 0.99)).cast(kind).alias("patient"), F.lit(None).cast(kind).alias("mother"), F.lit(None).cast(kind).alias("provider"))
     pages = docs.select("document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page")).withColumn("page_type", F.when(F.col("page") == 1, "formulario_administrativo").otherwise("laudo_medico"))
     first = F.when(F.col("document_id") % 4 == 0, person("Beta Lima", 0.99)).otherwise(person("Beta Lima", 0.95))
     pages = pages.withColumn("people", F.create_map(F.lit("patient"), F.when(F.col("page") == 1, first).otherwise(person("Alfa Lima", 0.89)))).withColumn("basic", F.struct(F.array().cast("array<string>").alias("crm")))

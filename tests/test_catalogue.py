@@ -90,3 +90,19 @@ def test_people_of_pages_meet_once(spark):
     got = {(r.d, r.role): r["name"] for r in found.collect()}
     assert got[1, "patient"] == "Eva Reis" and got[1, "mother"] == "Bia Costa" and got[3, "mother"] == "Ana Lima" and not [k for k in got if k[0] == 2]
     assert found.where(F.col("raw_score") <= 0).count() == 0
+
+
+def test_names_of_all_roles_are_found_in_one_pass(spark):
+    """One pass over the pages, one shuffle of each side; equal scores go to the first page, implausible names to none."""
+    from cartulary.operators import stages
+
+    person = "struct<name:string,confidence:double,review_state:string>"
+    docs = spark.createDataFrame([(1, None, None, None), (2, None, None, None)], f"document_id int, patient {person}, mother {person}, provider {person}")
+    pages = spark.createDataFrame(
+        [(1, 2, "laudo_medico", {"patient": ("Bia Lima", 0.9, "s"), "provider": ("Rui Reis", 0.8, "s")}, (["1"],)), (1, 1, "laudo_medico", {"patient": ("Eva Lima", 0.9, "s"), "provider": ("Ivo Reis", 0.82, "s")}, ([],)), (2, 1, None, {"patient": ("Hospital 7", 0.9, "s")}, (None,)), (2, 2, None, None, None)],
+        f"document_id int, page int, page_type string, people map<string,{person}>, basic struct<crm:array<string>>",
+    )
+    found = stages.names(docs, pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan
+    assert {r.document_id: (r.patient, r.mother, r.provider) for r in found.collect()} == {1: ("Eva Lima", None, "Rui Reis"), 2: (None, None, None)}
