@@ -16,23 +16,43 @@ import uuid
 from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, accent_fold, snippet, tokens
-from ..session import kept_path
+from ..session import kept_path, ship
 
 #: Folders of words and of documents, and documents of a block, about.
 BUCKETS, BLOCK = 32, 4096
 #: Fixed value: what a whole phrase adds to the share of words.
 PHRASE = 0.25
 TABLES = ("texts", "postings", "terms")
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def _bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
+def word_counts(folded: Column) -> Column:
+    """The distinct words of a folded text with how often it has them."""
+    kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))
+
+    @F.arrow_udf("array<struct<token:string,n:int>>")
+    def count(texts: pa.Array) -> pa.Array:
+        words, counts, ends = [], [], [0]
+        for t in texts:
+            found = Counter(_TOKEN.findall(t.as_py() or ""))
+            words += found.keys()
+            counts += found.values()
+            ends.append(len(words))
+        items = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int32())], ["token", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items).cast(kind)
+
+    return count(folded)
+
+
 def words_of(query: str) -> tuple[str, Counter]:
     """The folded query, and its words with how often each stands in it."""
     phrase = query.strip().lower().translate(str.maketrans(ACCENTED, PLAIN))
@@ -63,13 +83,16 @@ class Index:
         once = rows.repartition("bucket").dropDuplicates(["bucket", "key", "row"])
         if known:
             once = once.join(self._read("texts").select("bucket", "key", "row"), ["bucket", "key", "row"], "left_anti")
-        once.withColumn("folded", accent_fold("text")).sortWithinPartitions("bucket", "row").write.partitionBy("bucket").parquet(at["texts"])
+        once.sortWithinPartitions("bucket", "row").write.partitionBy("bucket").parquet(at["texts"])
         said = self.spark.read.parquet(at["texts"])
         blocks = max(1, -(-said.count() // block))
-        each = said.select("key", "row", F.explode(tokens("folded")).alias("token")).groupBy("token", "key", "row").agg(F.count("*").cast("int").alias("n"))
-        lists = each.groupBy("token", F.pmod("row", F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("key", "row", "n"))).alias("docs"))
-        made = lists.withColumns({"bucket": _bucket(F.col("token"), self.buckets), "n_docs": F.size("docs")})
-        made.repartition("bucket").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(at["postings"])
+        # A row is one document, so its words are counted where it is read; postings are shuffled once, by the folder they go to.
+        ship(self.spark)
+        each = said.select("key", "row", F.explode(word_counts(accent_fold("text"))).alias("w")).select("key", "row", "w.token", "w.n")
+        each = each.withColumns({"bucket": _bucket(F.col("token"), self.buckets), "block": F.pmod("row", F.lit(blocks))}).repartition("bucket")
+        lists = each.groupBy("bucket", "token", "block").agg(F.sort_array(F.collect_list(F.struct("key", "row", "n"))).alias("docs"))
+        made = lists.withColumn("n_docs", F.size("docs"))
+        made.sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(at["postings"])
         terms = self.spark.read.parquet(at["postings"]).groupBy("bucket", "token").agg(F.sum("n_docs").alias("n_docs"))
         terms.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(at["terms"])
         return self
@@ -111,7 +134,7 @@ class Index:
             wide = wide.unionByName(self.postings(inner).select(F.explode("docs").alias("d"), F.concat(F.lit("="), "token").alias("part")))
         pairs = wide.select("d.key", "d.row", "part").distinct().groupBy("key", "row").agg(F.count("*").alias("n"))
         candidates = pairs.where(F.col("n") == len(tests) + len(inner)).select("key", "row")
-        return self.texts(candidates).where(F.contains("folded", F.lit(phrase))).select("key", "row")
+        return self.texts(candidates).where(F.contains(accent_fold("text"), F.lit(phrase))).select("key", "row")
 
     def search(self, query: str, limit: int = 20, least: float = 0.15) -> DataFrame:
         """(key, score, snippet): as readmodel.search over the same documents, where equal rows count once. Texts are read of the documents found, not of
@@ -131,10 +154,12 @@ class Index:
 
     def search_many(self, queries: DataFrame, key: str, text: str, limit: int = 5, least: float = 0.15) -> DataFrame:
         """(query, key, score, rank): the best documents of each of queries(key, text) by the share of its distinct words, ties by key.
-        Words of queries and of documents are joined by equality and counted before they are shuffled; a query's best rows are kept within each task first."""
+        The lists of the words that are asked are dealt out once, by their block: all words of a document are there, so counts need no further
+        shuffle, and a query's best rows are kept within each task first."""
         asked = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("token"), F.size(F.array_distinct(tokens(text))).alias("of"))
-        asked = asked.withColumn("bucket", _bucket(F.col("token"), self.buckets))
-        hits = self._read("postings").join(asked, ["bucket", "token"]).select("query", "of", F.explode("docs").alias("d"))
-        counted = hits.groupBy("query", "d.key", "d.row").agg((F.count("*") / F.max("of")).alias("score")).where(F.col("score") >= least)
+        asked = asked.groupBy("token").agg(F.collect_list(F.struct("query", "of")).alias("asks")).withColumn("bucket", _bucket(F.col("token"), self.buckets))
+        lists = self._read("postings").join(asked, ["bucket", "token"]).select("block", "asks", F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["row"].alias("row"))).alias("docs"))
+        hits = lists.repartition("block").select("block", F.explode("asks").alias("a"), "docs").select("block", "a.query", "a.of", F.explode("docs").alias("d"))
+        counted = hits.groupBy("block", "query", "d.key", "d.row").agg((F.count("*") / F.max("of")).alias("score")).where(F.col("score") >= least)
         best = Window.partitionBy("query").orderBy(F.col("score").desc(), "key", "row")
         return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "key", F.round("score", 6).alias("score"), "rank")

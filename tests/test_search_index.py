@@ -57,3 +57,12 @@ def test_many_searches_at_once(spark, index):
         wanted = set(spark.range(1).select(search_tokens(F.lit(text))).first()[0])
         best = sorted(((-len(wanted & t) / len(wanted), i) for i, t in docs if wanted & t and len(wanted & t) / len(wanted) >= 0.15), key=lambda x: x)[:4] if wanted else []
         assert [got[q, k + 1] for k in range(len(best))] == [(i, round(-s, 6)) for s, i in best] and (q, len(best) + 1) not in got
+
+
+def test_postings_of_many_searches_are_dealt_out_once(spark, index):
+    """Lists are shuffled by their block, and no longer pair by pair of a search and a document."""
+    queries = spark.createDataFrame([(1, "the and les"), (2, "dr silva")], "q int, said string")
+    found = index.search_many(queries, "q", "said")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block#" in plan and not any("key#" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line.split("[")[0])
+    assert {r["query"] for r in found.collect()} == {1, 2} and "folded" not in index._read("texts").columns
