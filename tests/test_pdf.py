@@ -1,5 +1,6 @@
 """PDF files made by hand and by the library's writer, read again."""
 
+import json
 import random
 import zlib
 
@@ -164,3 +165,16 @@ def test_from_files_to_the_better_reading(spark, tmp_path):
     assert calls.value == 4  # once a file
     boxes = {names[r["document_id"]] for r in got.spans.where("text = 'PARECER'").collect()}
     assert boxes == {"photo.png"}  # a page with native spans keeps them
+
+
+def test_pages_share_the_tables_of_their_fonts(monkeypatch):
+    pages = [p for p in pdf.read_pages(pdf.write_pdf([["one (1)", "Привет"], ["two", "três"], ["three"]]))]
+    fonts, read = json.dumps(json.loads(pages[0][5]) | {"only": "here"}), []
+    monkeypatch.setattr(pdf.json, "loads", lambda x, of=json.loads: read.append(x) or of(x))
+    drawn = [[s[0] for s in pdf.draw_page(p[4], fonts)] for p in pages]
+    assert drawn == [["one (1)", "Привет"], ["two", "três"], ["three"]] and read == [fonts]
+
+
+def test_rows_of_many_pages_travel_together():
+    sizes = lambda n, size: [b.num_rows for b in pdf._batches(((i,) for i in range(n)), ["i"], [pdf.pa.int64()], lambda row: size)]
+    assert sizes(9000, 8) == [4096, 4096, 808] and sizes(5, 1 << 19) == [2, 2, 1] and sizes(0, 8) == []
