@@ -1,12 +1,13 @@
 """An inverted index for text search, as three tables in one folder.
 
-* ``postings``: a row a word and block of documents, with the documents' keys and the word's counts in them; in folders by the hash of the word, sorted
-  by word, so a search reads the folders of its words and skips the rest of them by their statistics.
+* ``postings``: a row a word and block of documents, with the documents' numbers in the block and the word's counts in them; in folders by the hash of the
+  word, sorted by word, so a search reads the folders of its words and skips the rest of them by their statistics. A row without a word holds the keys of a
+  block's documents by their numbers, which ascend with the keys: lists of numbers below some thousand take a fraction of the room of lists of keys.
 * ``terms``: words with the number of documents that have them, in folders likewise.
 * ``texts``: documents by the hash of their key, for what a posting can't say: whole phrases and snippets.
 
-A document's blocks come from the hash of its key, so no list is longer than the documents of a block, however common its
-word. Documents are added by segments, which are read together.
+A block is a run of documents that one task reads: it turns them into lists of its own, which are shuffled as they are and not merged, so no list
+is longer than the documents of a block, however common its word. Documents are added by segments, which are read together.
 """
 
 from __future__ import annotations
@@ -14,17 +15,23 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import ACCENTED, PLAIN, accent_fold, snippet, tokens
 from ..session import kept_path, ship
 
-#: Folders of words and of documents, and documents of a block, about.
-BUCKETS, BLOCK = 32, 4096
+#: Folders of words and of documents, and most documents of a block. A block also ends with the document that fills so many places of its lists.
+BUCKETS, BLOCK, PLACES = 32, 4096, 1 << 20
+#: Words that a search names when it reads their postings; where more match, it reads all words' and tests each.
+NAMED = 1000
 #: Fixed value: what a whole phrase adds to the share of words.
 PHRASE = 0.25
 TABLES = ("texts", "postings", "terms")
@@ -35,22 +42,43 @@ def _bucket(c: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
-def word_counts(folded: Column) -> Column:
-    """The distinct words of a folded text with how often it has them."""
-    kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int32())]))
-
-    @F.arrow_udf("array<struct<token:string,n:int>>")
-    def count(texts: pa.Array) -> pa.Array:
-        words, counts, ends = [], [], [0]
-        for t in texts:
-            found = Counter(_TOKEN.findall(t.as_py() or ""))
-            words += found.keys()
-            counts += found.values()
-            ends.append(len(words))
-        items = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int32())], ["token", "n"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items).cast(kind)
-
-    return count(folded)
+def inverted(block: int, places: int = PLACES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folded texts (key, row, text) to lists of the documents that have a word, for each word of a block, and the block's keys. A block is named after its first row."""
+
+    def lists(docs: list[pa.RecordBatch], words: dict[str, int], codes: list[int], counts: list[int], sizes: list[int]) -> pa.RecordBatch:
+        held, by = pa.Table.from_batches(docs), np.array(codes, np.int32)
+        name, ranked = held.column("row")[0], pc.sort_indices(held, [("key", "ascending"), ("row", "ascending")])
+        rank = np.empty(held.num_rows, np.int32)
+        rank[ranked.to_numpy()] = np.arange(held.num_rows, dtype=np.int32)
+        nos = np.repeat(rank, sizes)
+        order = np.lexsort((nos, by))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(words)))]).astype(np.int32)
+        whole = lambda values: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.nulls(len(words), pa.list_(values.type))])
+        listed = lambda values: pa.ListArray.from_arrays(pa.array([None, *ends], pa.int32()), pa.array(values[order]))
+        keys, rows = (held.column(c).combine_chunks().take(ranked) for c in ("key", "row"))
+        columns = [pa.array([None, *words], pa.string()), pa.array(np.full(len(words) + 1, name.as_py())), whole(keys), whole(rows), listed(nos), listed(np.array(counts, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["token", "block", "keys", "rows", "nos", "ns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, words, codes, counts, sizes = [], {}, [], [], []
+        for batch in batches:
+            start, rows = 0, batch.select(["key", "row"])
+            for i, text in enumerate(batch.column("text")):
+                found = Counter(_TOKEN.findall(text.as_py()))
+                codes += [words.setdefault(w, len(words)) for w in found]
+                counts += found.values()
+                sizes.append(len(found))
+                if len(sizes) >= block or len(codes) >= places:
+                    docs.append(rows.slice(start, i + 1 - start))
+                    if codes:
+                        yield lists(docs, words, codes, counts, sizes)
+                    start, docs, words, codes, counts, sizes = i + 1, [], {}, [], [], []
+            if start < batch.num_rows:
+                docs.append(rows.slice(start))
+        if codes:
+            yield lists(docs, words, codes, counts, sizes)
+
+    return run
 
 
 def words_of(query: str) -> tuple[str, Counter]:
@@ -80,23 +108,31 @@ class Index:
         # A row's number is a hash of what it holds, so it is the same whenever it is computed.
         rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         rows = rows.withColumn("row", F.xxhash64("key", "text")).withColumn("bucket", _bucket(F.col("row"), self.buckets))
-        once = rows.repartition("bucket").dropDuplicates(["bucket", "key", "row"])
+        parts = self._parts(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        once = self._dealt(rows, "row", parts).dropDuplicates(["bucket", "row", "key", "part"]).drop("part")
         if known:
             once = once.join(self._read("texts").select("bucket", "key", "row"), ["bucket", "key", "row"], "left_anti")
-        once.sortWithinPartitions("bucket", "row").write.partitionBy("bucket").parquet(at["texts"])
-        said = self.spark.read.parquet(at["texts"])
-        blocks = max(1, -(-said.count() // block))
-        # A row is one document, so its words are counted where it is read; postings are shuffled once, by the folder they go to.
+        once.sortWithinPartitions("bucket", "row").write.partitionBy("bucket").option("compression", "zstd").parquet(at["texts"])
+        # A row is one document, so lists are made where it is read, and shuffled once: lists, not their places one by one.
         ship(self.spark)
-        each = said.select("key", "row", F.explode(word_counts(accent_fold("text"))).alias("w")).select("key", "row", "w.token", "w.n")
-        each = each.withColumns({"bucket": _bucket(F.col("token"), self.buckets), "block": F.pmod("row", F.lit(blocks))}).repartition("bucket")
-        lists = each.groupBy("bucket", "token", "block").agg(F.sort_array(F.collect_list(F.struct("key", "row", "n"))).alias("docs"))
-        made = lists.withColumn("n_docs", F.size("docs"))
-        made.sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(at["postings"])
-        terms = self.spark.read.parquet(at["postings"]).groupBy("bucket", "token").agg(F.sum("n_docs").alias("n_docs"))
-        terms.repartition("bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(at["terms"])
+        said = self.spark.read.parquet(at["texts"]).select("key", "row", accent_fold("text").alias("text"))
+        kinds = {"token": T.StringType(), "block": T.LongType(), "keys": T.ArrayType(said.schema["key"].dataType), "rows": T.ArrayType(T.LongType()), "nos": T.ArrayType(T.IntegerType()), "ns": T.ArrayType(T.IntegerType())}
+        made = said.mapInArrow(inverted(block), T.StructType([T.StructField(k, v) for k, v in kinds.items()])).withColumn("by", F.coalesce("token", F.col("block").cast("string")))
+        made = self._dealt(made.withColumn("bucket", _bucket(F.col("by"), self.buckets)), "by", max(parts, self._parts(2 * said.rdd.getNumPartitions()))).drop("part", "by").withColumn("n_docs", F.size("nos"))
+        made.sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(at["postings"])
+        terms = self.spark.read.parquet(at["postings"]).where(F.col("token").isNotNull()).select("bucket", "token", "n_docs").repartition("bucket").groupBy("bucket", "token").agg(F.sum("n_docs").alias("n_docs"))
+        terms.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(at["terms"])
         return self
 
+    def _parts(self, tasks: int) -> int:
+        """The parts of a folder for that many tasks, or some more."""
+        return max(1, -(-tasks // self.buckets))
+
+    def _dealt(self, df: DataFrame, by: str, parts: int) -> DataFrame:
+        """df with each folder's rows cut into parts by a hash; a part goes to one task and one file."""
+        part = F.col("bucket") * parts + F.pmod(F.shiftright(F.xxhash64(by), 20), F.lit(parts)).cast("int")
+        return df.withColumn("part", part).repartitionById(self.buckets * parts, "part")
+
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}").drop("segment")
 
@@ -104,6 +140,25 @@ class Index:
         """The postings of these words; other folders are not read, and within them only the row groups that may hold the words."""
         return self._read("postings").where(F.col("bucket").isin(*self._folders(words)) & F.col("token").isin(*words))
 
+    def _postings_where(self, test: Column) -> DataFrame:
+        """The postings of the words that a test on the token holds for."""
+        words = [r["token"] for r in self._read("terms").where(test).select("token").distinct().limit(NAMED + 1).collect()]
+        return self.postings(words) if len(words) <= NAMED else self._read("postings").where(test)
+
+    @staticmethod
+    def _places(postings: DataFrame, *more: Column | str) -> DataFrame:
+        """(block, no), and more columns, of each document in the lists of these postings."""
+        return postings.select("block", F.explode("nos").alias("no"), *more)
+
+    def _keys(self) -> DataFrame:
+        """(block, keys, rows): what the numbers of a block stand for."""
+        return self._read("postings").where(F.col("token").isNull()).select("block", "keys", "rows")
+
+    def _documents(self, places: DataFrame) -> DataFrame:
+        """Rows of (block, no) with the key and row of the document instead."""
+        known = self._keys().select("block", F.posexplode(F.arrays_zip("keys", "rows")).alias("no", "d")).select("block", "no", F.col("d.keys").alias("key"), F.col("d.rows").alias("row"))
+        return places.join(known, ["block", "no"]).drop("block", "no")
+
     def _folders(self, words: list[str]) -> list[int]:
         return sorted({r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"), self.buckets)).collect()})
 
@@ -126,14 +181,13 @@ class Index:
             tests = {"first": F.endswith(t, F.lit(ordered[0])), "last": F.startswith(t, F.lit(ordered[-1]))}
         wide = None
         for name, test in tests.items():
-            found = self.terms().where(test).select("bucket", "token").join(self._read("postings"), ["bucket", "token"])
-            found = found.select(F.explode("docs").alias("d"), F.lit(name).alias("part"))
+            found = self._places(self._postings_where(test)).withColumn("part", F.lit(name))
             wide = found if wide is None else wide.unionByName(found)
         inner = sorted(set(ordered[1:-1]))
         if inner:
-            wide = wide.unionByName(self.postings(inner).select(F.explode("docs").alias("d"), F.concat(F.lit("="), "token").alias("part")))
-        pairs = wide.select("d.key", "d.row", "part").distinct().groupBy("key", "row").agg(F.count("*").alias("n"))
-        candidates = pairs.where(F.col("n") == len(tests) + len(inner)).select("key", "row")
+            wide = wide.unionByName(self._places(self.postings(inner), F.concat(F.lit("="), "token").alias("part")))
+        pairs = wide.groupBy("block", "no").agg(F.count_distinct("part").alias("n"))
+        candidates = self._documents(pairs.where(F.col("n") == len(tests) + len(inner)).select("block", "no"))
         return self.texts(candidates).where(F.contains(accent_fold("text"), F.lit(phrase))).select("key", "row")
 
     def search(self, query: str, limit: int = 20, least: float = 0.15) -> DataFrame:
@@ -143,9 +197,9 @@ class Index:
         if not wanted:
             return self._read("texts").limit(0).select("key", F.lit(0.0).alias("score"), "text").withColumnRenamed("text", "snippet")
         times = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-        hits = self.postings(list(wanted)).select(F.explode("docs").alias("d"), times[F.col("token")].alias("times"))
-        hits = hits.select("d.key", "d.row", (F.col("times") / F.lit(wanted.total())).alias("part"), F.col("times").alias("hits"), F.lit(0.0).alias("bonus"))
-        whole = self.phrase_rows(phrase, list(wanted)).select("key", "row", F.lit(0.0).alias("part"), F.lit(0).alias("hits"), F.lit(PHRASE).alias("bonus"))
+        hits = self._places(self.postings(list(wanted)), times[F.col("token")].alias("times")).groupBy("block", "no").agg(F.sum("times").alias("hits"))
+        hits = self._documents(hits).withColumn("bonus", F.lit(0.0))
+        whole = self.phrase_rows(phrase, list(wanted)).select("key", "row", F.lit(0).cast("long").alias("hits"), F.lit(PHRASE).alias("bonus"))
         scored = hits.unionByName(whole).groupBy("key", "row").agg(F.least(F.lit(1.0), F.sum("hits") / F.lit(wanted.total()) + F.max("bonus")).alias("score"))
         top = scored.where(F.col("score") >= least).orderBy(F.col("score").desc(), "key", "row").limit(max(1, limit))
         texts = self._read("texts")
@@ -158,8 +212,12 @@ class Index:
         shuffle, and a query's best rows are kept within each task first."""
         asked = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("token"), F.size(F.array_distinct(tokens(text))).alias("of"))
         asked = asked.groupBy("token").agg(F.collect_list(F.struct("query", "of")).alias("asks")).withColumn("bucket", _bucket(F.col("token"), self.buckets))
-        lists = self._read("postings").join(asked, ["bucket", "token"]).select("block", "asks", F.transform("docs", lambda d: F.struct(d["key"].alias("key"), d["row"].alias("row"))).alias("docs"))
-        hits = lists.repartition("block").select("block", F.explode("asks").alias("a"), "docs").select("block", "a.query", "a.of", F.explode("docs").alias("d"))
-        counted = hits.groupBy("block", "query", "d.key", "d.row").agg((F.count("*") / F.max("of")).alias("score")).where(F.col("score") >= least)
+        lists = self._read("postings").join(asked, ["bucket", "token"]).select("block", "asks", "nos")
+        hits = self._places(lists.repartition("block").select("block", F.explode("asks").alias("a"), "nos"), "a.query", "a.of")
+        counted = hits.groupBy("block", "query", "no").agg((F.count("*") / F.max("of")).alias("score")).where(F.col("score") >= least)
+        # Numbers ascend with keys, so a block's best are known before their keys are.
+        near = Window.partitionBy("block", "query").orderBy(F.col("score").desc(), "no")
+        few = counted.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= limit).join(self._keys(), "block")
+        found = few.select("query", F.col("keys")[F.col("no")].alias("key"), F.col("rows")[F.col("no")].alias("row"), "score")
         best = Window.partitionBy("query").orderBy(F.col("score").desc(), "key", "row")
-        return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "key", F.round("score", 6).alias("score"), "rank")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "key", F.round("score", 6).alias("score"), "rank")

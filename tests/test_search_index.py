@@ -66,3 +66,22 @@ def test_postings_of_many_searches_are_dealt_out_once(spark, index):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(block#" in plan and not any("key#" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line.split("[")[0])
     assert {r["query"] for r in found.collect()} == {1, 2} and "folded" not in index._read("texts").columns
+
+
+def test_lists_hold_numbers_and_come_whole_from_their_tasks(spark, index):
+    """A posting is a small number beside its count; the keys stand once a block, in order, and no block is longer than was asked."""
+    lists, keys = index.postings(["the"]).collect(), {r["block"]: r for r in index._keys().collect()}
+    assert "keys" not in {f for r in lists for f in r.asDict() if r[f] is not None} and all(len(r["nos"]) == len(r["ns"]) == r["n_docs"] and r["nos"] == sorted(r["nos"]) for r in lists)
+    assert all(len(r["keys"]) <= 40 and r["keys"] == sorted(r["keys"]) for r in keys.values()) and all(max(r["nos"]) < len(keys[r["block"]]["keys"]) for r in lists)
+    got = sorted(keys[r["block"]]["keys"][i] for r in lists for i in r["nos"])
+    want = documents(spark).distinct().where("id IS NOT NULL").select("id", F.expr("coalesce(said, '')").alias("s")).where(F.array_contains(search_tokens("s"), "the"))
+    assert got == sorted(r["id"] for r in want.collect())
+
+
+def test_phrases_of_many_matching_words_are_found_too(spark, index, monkeypatch):
+    """Where more words match the ends of a phrase than are named, each posting is tested."""
+    from cartulary.operators import search_index
+
+    want = list(map(tuple, index.search("he an", 40).collect()))
+    monkeypatch.setattr(search_index, "NAMED", 0)
+    assert want and list(map(tuple, index.search("he an", 40).collect())) == want
