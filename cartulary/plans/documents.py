@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import checks, hashing, text
-from ..operators import classify, extract, readmodel, segment
+from ..operators import classify, extract, meeting, readmodel, segment
 from .registry import query, table
 
 _FROM, _TO = text.ACCENTED, text.PLAIN
@@ -234,23 +234,7 @@ _WORDS_SQL = "list_filter(list_distinct(string_split(lower({}), ' ')), lambda w
      JOIN (SELECT doc_id, i AS line_no, ls[i + 1] AS line, {_WORDS_SQL.format("ls[i + 1]")} AS lt FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) l ON len(list_intersect(bt, lt)) > 0)
    WHERE score >= 8) WHERE rn = 1""")
 def span_best_line_of_all(spark, sf):
-    """For each item the line of all documents that matches it best, from a score of 8 on, if they share a word.
-
-    Such pairs share all words of the smaller set but a fifth or but two, the ones that a containing text may cut. So any
-    choice of one word more has a shared one: the longest words of either side, joined with all words of the other."""
-
-    def keyed(df, column, prefix):
-        words = F.filter(F.array_distinct(F.split(F.lower(column), " ")), lambda w: w != "")
-        df = df.withColumn(prefix, words)
-        spare = F.greatest(F.size(prefix) - F.ceil(F.size(prefix) * 0.8), F.lit(2)).cast("int")
-        longest = F.transform(F.array_sort(F.transform(prefix, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-        return df.withColumn("some", F.slice(longest, 1, spare + 1))
-
-    items = keyed(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")), "value", "bt")
-    lines = keyed(table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")), "line", "lt")
-    side = lambda df, some: df.withColumn("word", F.explode(some)).drop("some")
-    met = side(items, "some").join(side(lines, "lt"), "word").unionByName(side(items, "bt").join(side(lines, "some"), "word"))
-    v, line = F.lower("value"), F.lower("line")
-    score = F.when(v == line, 20).when(F.contains(v, line) | F.contains(line, v), 10).otherwise(0) + 10 * text.overlap_of_smaller(F.col("bt"), F.col("lt"))
-    best = met.select("item_id", F.struct(score.alias("score"), (-F.col("doc_id")).alias("d"), (-F.col("line_no")).alias("l")).alias("s")).where("s.score >= 8").groupBy("item_id").agg(F.max("s").alias("s"))
-    return best.select("item_id", (-F.col("s.d")).alias("doc_id"), (-F.col("s.l")).cast("long").alias("line_no"), F.round("s.score", 4).alias("score"))
+    """For each item the line of all documents that matches it best, from a score of 8 on, if they share a word."""
+    one = lambda name, key, to: table(spark, sf, name).select(F.col(key).alias(to), F.lower("text").alias("text"))
+    best = meeting.best_lines(one("documents", "doc_id", "key"), one("benchmark", "item_id", "item"))
+    return best.select(F.col("item").alias("item_id"), F.col("key").alias("doc_id"), "line_no", F.round("score", 4).alias("score"))
