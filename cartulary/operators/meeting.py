@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import unaccented
 from ..session import ship
 
 #: Most items of a block, and characters of them, about.
@@ -56,6 +57,48 @@ def meet(texts: DataFrame, items: DataFrame, work: Work, found: dict[str, T.Data
     return dealt.mapInArrow(run, T.StructType([T.StructField("item", item), T.StructField("key", key), *(T.StructField(k, v) for k, v in found.items())]))
 
 
+def _shared_words(items: pa.Array, said: list[str]):
+    """Sums of rows of the table of words by items, for the words of each text."""
+    cut = lambda low: set(_TOKEN.findall(unaccented(low)))
+    sets = [cut(t) for t in said]
+    words = {w: i for i, w in enumerate(set().union(*sets))}
+    pairs = np.array([(words[w], i) for i, s in enumerate(sets) for w in s], np.int64).reshape(-1, 2)
+    owners, lengths = pairs[np.argsort(pairs[:, 0], kind="stable"), 1], np.bincount(pairs[:, 0], minlength=len(words))
+    starts, sizes, known, n = np.cumsum(lengths) - lengths, np.array([len(s) for s in sets], np.int32), frozenset(words), len(sets)
+    longest = int(lengths.max(initial=1))
+
+    def counted(keys: pa.Array, hits: list[int], n_hits: list[int], n_words: list[int]) -> pa.RecordBatch:
+        at = np.array(hits, np.int64)
+        many = lengths[at]
+        places = np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cells = np.repeat(np.repeat(np.arange(len(n_hits)) * n, n_hits), many) + owners[places]
+        shared = np.bincount(cells, minlength=n * len(n_hits))
+        some = np.flatnonzero(shared)
+        text, item = some // n, some % n
+        columns = [items.take(pa.array(item)), keys.take(pa.array(text)), pa.array(shared[some].astype(np.int32)), pa.array(np.array(n_words, np.int32)[text]), pa.array(sizes[item])]
+        return pa.RecordBatch.from_arrays(columns, ["item", "key", "c", "n", "m"])
+
+    def run(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+        start, hits, n_hits, n_words = 0, [], [], []
+        for i, text in enumerate(batch.column("text") if batch else ()):
+            found = cut(text.as_py())
+            shared = found & known
+            hits += [words[w] for w in shared]
+            n_hits.append(len(shared))
+            n_words.append(len(found))
+            if len(n_hits) * n >= CELLS or len(hits) * longest >= PLACES or i + 1 == batch.num_rows:
+                yield counted(batch.column("key").slice(start, i + 1 - start), hits, n_hits, n_words)
+                start, hits, n_hits, n_words = i + 1, [], [], []
+
+    return run
+
+
+def shared_words(texts: DataFrame, items: DataFrame, **sizes: int) -> DataFrame:
+    """(item, key, c, n, m) for each of texts(key, text) beside each of items(item, text) that shares a word with it: the distinct words that they share,
+    those of the text and those of the item. Texts are trimmed and lower case, words runs of a-z and digits when accents are off."""
+    return meet(texts, items, _shared_words, {"c": T.IntegerType(), "n": T.IntegerType(), "m": T.IntegerType()}, **sizes)
+
+
 def _spare(n: int) -> int:
     """How many words of the smaller set a pair of a line and an item may lack: a fifth, or the two that a containing text may cut."""
     return max(n // 5, 2)

@@ -201,10 +201,12 @@ def accent_fold_tokens(spark, sf):
  SELECT doc_id, item_id, round((c / least(n, m)) :: DOUBLE, 6) AS overlap, round((c / (n + m - c)) :: DOUBLE, 6) AS jaccard FROM p WHERE c > 0""")
 def token_pairs_by_content(spark, sf):
     """Every document beside every item that shares a token with it: the overlap of the smaller set, and Jaccard's. Shared
-    tokens are counted before the shuffle."""
-    one = lambda name, key, n: table(spark, sf, name).select(key, F.array_distinct(text.tokens("text")).alias("t")).select(key, F.size("t").alias(n), F.explode("t").alias("token"))
-    shared = one("documents", "doc_id", "n").join(one("benchmark", "item_id", "m"), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
-    return shared.select("doc_id", "item_id", F.round(F.col("c") / F.least("n", "m"), 6).alias("overlap"), F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6).alias("jaccard"))
+    tokens are counted in the task that reads the document, for all items at once."""
+    one = lambda name, key, to: table(spark, sf, name).select(F.col(key).alias(to), F.lower(F.trim("text")).alias("text"))
+    shared = meeting.shared_words(one("documents", "doc_id", "key"), one("benchmark", "item_id", "item"))
+    # Six digits by whole numbers: as round() has them, which makes a decimal of every row.
+    share = lambda of: F.expr(f"((2000000L * c + {of}) div (2L * {of})) / 1000000D")
+    return shared.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), share("least(n, m)").alias("overlap"), share("(n + m - c)").alias("jaccard"))
 
 
 QUERY = "the and die les missing"
