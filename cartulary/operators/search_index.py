@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ACCENTED, PLAIN, accent_fold, snippet, tokens
+from ..functions.text import ACCENTED, PLAIN, accent_fold, snippet, tokens, unaccented
 from ..session import kept_path, ship
 
 #: Folders of words and of documents, and most documents of a block. A block also ends with the document that fills so many places of its lists.
@@ -43,7 +43,7 @@ def _bucket(c: Column, buckets: int) -> Column:
 
 
 def inverted(block: int, places: int = PLACES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Folded texts (key, row, text) to lists of the documents that have a word, for each word of a block, and the block's keys. A block is named after its first row."""
+    """Trimmed lower-case texts (key, row, text) to lists of the documents that have a word, for each word of a block, and the block's keys. A block is named after its first row."""
 
     def lists(docs: list[pa.RecordBatch], words: dict[str, int], codes: list[int], counts: list[int], sizes: list[int]) -> pa.RecordBatch:
         held, by = pa.Table.from_batches(docs), np.array(codes, np.int32)
@@ -64,7 +64,7 @@ def inverted(block: int, places: int = PLACES) -> Callable[[Iterator[pa.RecordBa
         for batch in batches:
             start, rows = 0, batch.select(["key", "row"])
             for i, text in enumerate(batch.column("text")):
-                found = Counter(_TOKEN.findall(text.as_py()))
+                found = Counter(_TOKEN.findall(unaccented(text.as_py())))
                 codes += [words.setdefault(w, len(words)) for w in found]
                 counts += found.values()
                 sizes.append(len(found))
@@ -115,7 +115,7 @@ class Index:
         once.sortWithinPartitions("bucket", "row").write.partitionBy("bucket").option("compression", "zstd").parquet(at["texts"])
         # A row is one document, so lists are made where it is read, and shuffled once: lists, not their places one by one.
         ship(self.spark)
-        said = self.spark.read.parquet(at["texts"]).select("key", "row", accent_fold("text").alias("text"))
+        said = self.spark.read.parquet(at["texts"]).select("key", "row", F.lower(F.trim("text")).alias("text"))
         kinds = {"token": T.StringType(), "block": T.LongType(), "keys": T.ArrayType(said.schema["key"].dataType), "rows": T.ArrayType(T.LongType()), "nos": T.ArrayType(T.IntegerType()), "ns": T.ArrayType(T.IntegerType())}
         made = said.mapInArrow(inverted(block), T.StructType([T.StructField(k, v) for k, v in kinds.items()])).withColumn("by", F.coalesce("token", F.col("block").cast("string")))
         made = self._dealt(made.withColumn("bucket", _bucket(F.col("by"), self.buckets)), "by", max(parts, self._parts(2 * said.rdd.getNumPartitions()))).drop("part", "by").withColumn("n_docs", F.size("nos"))
